@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from canvasser import schema as M
 
@@ -34,7 +35,7 @@ def ratio(a: str | None, b: str | None) -> float | None:
     return 200.0 * _common_length(a, b) / total if total else 100.0
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def indel_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in pairs:
         yield pd.Series([ratio(a, b) for a, b in zip(left, right)], dtype="float64")
