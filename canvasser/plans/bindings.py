@@ -195,7 +195,7 @@ VIEWS: dict[str, str] = {
     "action_log": """
         SELECT e.event_id AS seq, CASE e.event_type WHEN 'click' THEN 'UPDATE' WHEN 'view' THEN 'ADD' WHEN 'error' THEN 'DELETE'
             WHEN 'purchase' THEN 'VERIFY' ELSE 'UPDATE' END AS op,
-          e.user_id AS school_id, 'Name ' || e.event_id AS name, e.event_type AS county, e.value > 50 AS is_verified, e.ts AS at
+          e.user_id AS school_id, 'Name ' || e.event_id AS name, e.event_type AS county, e.value > 50 AS is_verified, e.ts AS "at"
         FROM {events} e""",
     "action_base": """
         SELECT c_custkey AS school_id, c_name AS name, 'base' AS county, false AS is_verified,

@@ -1,4 +1,4 @@
 """All query modules; importing this fills the registry."""
 
-from canvasser.plans import load, measure, select  # noqa: F401
+from canvasser.plans import load, measure, merging, select  # noqa: F401
 from canvasser.plans.registry import callables, checks  # noqa: F401
