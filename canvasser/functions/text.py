@@ -88,13 +88,16 @@ def city_school_key(name) -> Column:
 def letter_title(c: Column | str) -> Column:
     """First letter of each run of letters upper, the others lower ("o'brien" -> "O'Brien")."""
     runs = F.regexp_extract_all(F.lower(_col(c)), F.lit(r"(\p{Ll}+|[^\p{Ll}]+)"), F.lit(1))
-    raised = F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), r.substr(F.lit(2), F.length(r))))
-    return F.array_join(raised, "")
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def word_title(c: Column | str) -> Column:
     """First character of each word upper, the others lower."""
-    return F.initcap(F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), BLANK, " ")))
+    words = F.split(F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), BLANK, " ")), " ", -1)
+    raised = F.transform(
+        words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))
+    )
+    return F.array_join(raised, " ")
 
 
 def normalize_facility_name(c: Column | str) -> Column:

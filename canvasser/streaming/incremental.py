@@ -15,7 +15,13 @@ from canvasser.streaming.tables import KeyedTable
 
 
 def read_parquet_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_run: int = 50, pattern: str | None = None) -> DataFrame:
-    """File stream of Parquet data; at most ``files_per_run`` new files per micro-batch."""
+    """File stream of Parquet data; at most ``files_per_run`` new files per micro-batch.
+
+    The path may be a folder or one file. A plain path is turned into a glob, as the file
+    source takes a plain path for a folder.
+    """
+    if not any(ch in path for ch in "*?[{"):
+        path = f"{path[:-1]}[{path[-1]}]"
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_run)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
