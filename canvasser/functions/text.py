@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from canvasser import schema as M
 
 BLANK = r"(?U)\s+"
+# The characters with the Unicode white-space property.
+_SPACES = (
+    " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def _col(c: Column | str) -> Column:
@@ -28,7 +33,12 @@ def labels(c: Column | str, mapping: Mapping[str, str], default: Column | None =
 
 def strip(c: Column | str) -> Column:
     """Trim every kind of white space from both ends."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(c), F.lit(_SPACES))
+
+
+def squeeze(c: Column | str) -> Column:
+    """Trimmed text with each run of white space as one space."""
+    return F.trim(F.regexp_replace(_col(c), BLANK, " "))
 
 
 def blank_to_null(c: Column | str) -> Column:
@@ -42,8 +52,7 @@ def clean_text(c: Column | str) -> Column:
 
 def normalize_text(c: Column | str) -> Column:
     """Lower case, trimmed, white-space runs as one space; null becomes empty."""
-    squeezed = F.regexp_replace(F.lower(_col(c).cast("string")), BLANK, " ")
-    return F.coalesce(F.trim(squeezed), F.lit(""))
+    return F.coalesce(squeeze(F.lower(_col(c).cast("string"))), F.lit(""))
 
 
 def safe_int(c: Column | str) -> Column:
@@ -93,7 +102,7 @@ def letter_title(c: Column | str) -> Column:
 
 def word_title(c: Column | str) -> Column:
     """First character of each word upper, the others lower."""
-    words = F.split(F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), BLANK, " ")), " ", -1)
+    words = F.split(squeeze(F.coalesce(_col(c), F.lit(""))), " ", -1)
     raised = F.transform(
         words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))
     )

@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvasser.functions import text as X
-from canvasser.functions.ordering import latest_per_key
 
 
 def _keyed(df: DataFrame, key: str, seq: str) -> DataFrame:
     """Last row per trimmed lower-case key, remembering the first position of the key."""
     rows = df.withColumn("_key", F.lower(X.strip(F.col(key).cast("string")))).filter("_key <> ''")
-    first = rows.groupBy("_key").agg(F.min(seq).alias("_pos"))
-    return latest_per_key(rows, ["_key"], seq).join(first, "_key")
+    best = rows.groupBy("_key").agg(F.max_by(F.struct(*df.columns), seq).alias("_row"), F.min(seq).alias("_pos"))
+    return best.select("_key", "_row.*", "_pos")
 
 
 def keyed_union(a: DataFrame, b: DataFrame, key: str, seq: str = "seq") -> DataFrame:
@@ -98,7 +97,7 @@ def list_classification(combined: DataFrame) -> DataFrame:
     )
 
 
-def merge_catalog(rules: DataFrame, still_working: DataFrame, completed: DataFrame) -> DataFrame:
+def merge_catalog(rules: DataFrame, still_working: DataFrame, completed: DataFrame, ordered: bool = True) -> DataFrame:
     """One row per school name over rules, unfinished and finished results.
 
     Later sources overlay non-empty fields; the spelling of the name comes from the first.
@@ -138,12 +137,13 @@ def merge_catalog(rules: DataFrame, still_working: DataFrame, completed: DataFra
         last(F.col("n_contacts"), F.col("n_contacts") > 0).alias("n_contacts"),
         last(F.col("error"), filled("error")).alias("error"),
     )
-    return merged.withColumns(
+    merged = merged.withColumns(
         {
             "pages_with_contacts": F.coalesce("pages_with_contacts", empty_pages),
             "n_contacts": F.coalesce("n_contacts", F.lit(0)),
         }
-    ).orderBy("_key").drop("_key")
+    )
+    return (merged.orderBy("_key") if ordered else merged).drop("_key")
 
 
 def export_lists(rules: DataFrame, still_working: DataFrame, completed: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def export_lists(rules: DataFrame, still_working: DataFrame, completed: DataFram
     lists = combined.select(F.explode(flags).alias("list_type"), "school_name")
     bare = rules.filter(F.coalesce(F.array_size("alt_urls"), F.lit(0)) == 0)
     bare = bare.select(F.lit("schools_with_empty_alt_urls").alias("list_type"), F.col("school").alias("school_name"))
-    names = merge_catalog(rules, still_working, completed)
+    names = merge_catalog(rules, still_working, completed, ordered=False)
     names = names.select(F.lit("all_school_names").alias("list_type"), "school_name")
     return lists.unionByName(bare).unionByName(names)
 

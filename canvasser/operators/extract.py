@@ -25,15 +25,18 @@ _MESSAGE = f"(?i){M.MESSAGE_PATTERN}"
 
 def extract_signals(df: DataFrame, key: str, text: str) -> DataFrame:
     """All e-mails, phones and message markers of a text: (key, kind, ord, value)."""
-    def found(pattern: str) -> Column:
-        return F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(1))
-
-    kinds = F.create_map(
-        F.lit("email"), found(M.EMAIL_PATTERN),
-        F.lit("phone"), found(M.PHONE_PATTERN),
-        F.lit("message"), found(_MESSAGE),
+    def found(kind: str, pattern: str, possible: Column) -> Column:
+        hits = F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(1))
+        return F.when(possible, F.struct(F.lit(kind).alias("kind"), hits.alias("values")))
+
+    # Cheap necessary conditions keep the expensive patterns off most texts.
+    low = F.lower(F.col(text))
+    kinds = F.array(
+        found("email", M.EMAIL_PATTERN, F.col(text).contains("@")),
+        found("phone", M.PHONE_PATTERN, F.col(text).rlike(r"\d{4}")),
+        found("message", _MESSAGE, low.contains("email") | low.contains("message")),
     )
-    rows = df.select(key, F.explode(kinds).alias("kind", "values"))
+    rows = df.select(key, F.inline(F.array_compact(kinds)))
     return rows.select(key, "kind", F.posexplode("values").alias("ord", "value"))
 
 
@@ -303,7 +306,7 @@ def text_contact(blocks: DataFrame) -> DataFrame:
     word of the name line counts as the line behind it.
     """
     def tidy(x: Column) -> Column:
-        squeezed = F.regexp_replace(F.regexp_replace(x, X.BLANK, " "), r"^[ \-:\t]+|[ \-:\t]+$", "")
+        squeezed = F.btrim(X.squeeze(x), F.lit(" -:"))
         words = F.filter(F.split(squeezed, " "), lambda w: (w != "") & ~F.lower(w).isin("title", "dept"))
         return F.array_join(words, " ")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,49 +53,57 @@ def _needed_grams(token: F.Column) -> F.Column:
     return F.when(F.length(token) >= 3, _grams(token, 3)).otherwise(F.array(token))
 
 
-def fuzzy_best_match(left: DataFrame, right: DataFrame, threshold: float = 70.0) -> DataFrame:
+def fuzzy_best_match(left: DataFrame, right: DataFrame, threshold: float = 70.0, on: Sequence[str] = ()) -> DataFrame:
     """Best label per school name: highest ratio strictly above the threshold, first on ties.
 
-    ``left`` (school_name), ``right`` (label, pos). A label qualifies if it has at most seven
-    words and contains the second and the last word of the name (some short words stand for
-    "high" and "school").
+    ``left`` (on..., school_name), ``right`` (on..., label, pos); ``on`` names the scope, as
+    the site whose links are compared with the names of its schools. A label qualifies if it
+    has at most seven words and contains the second and the last word of the name (some short
+    words stand for "high" and "school").
 
-    Every qualifying label contains each three-letter piece of both words. The join runs on
-    the piece found in the fewest labels, so it loses no pair and needs no cap; equal names
-    and labels are compared once.
+    Equal names and labels are compared once per scope. A label equal to the name is found by
+    an equi join, and as nothing beats it, such names need no comparison. For the others, each
+    qualifying label contains every three-letter piece of both words: the join runs on the
+    piece that the fewest labels of the scope have, and its condition checks the words and the
+    best ratio the two lengths allow. So no pair is lost and no cap is needed.
     """
+    on = list(on)
     words = F.split(F.lower(F.trim("school_name")), r"\s+")
     short = lambda w, long: F.when(w.isin(M.SCHOOL_ABBREVIATIONS), long).otherwise(w)
-    names = left.select("school_name").distinct().withColumn("_w", words)
-    names = names.filter(F.size("_w") >= 2).select(
+    names = left.select(*on, "school_name").distinct().withColumn("_w", words).filter(F.size("_w") >= 2)
+    names = names.select(
+        *on,
         "school_name",
+        F.lower(F.trim("school_name")).alias("_text"),
         short(F.element_at("_w", 2), "high").alias("_first"),
         short(F.element_at("_w", -1), "school").alias("_last"),
     )
-    labels = right.select(F.lower(F.trim("label")).alias("label"), "pos").filter(
+    labels = right.select(*on, F.lower(F.trim("label")).alias("label"), "pos").filter(
         (F.col("label") != "") & (F.size(F.split("label", r"\s+")) <= 7)
     )
-    labels = labels.groupBy("label").agg(F.min("pos").alias("pos"))
-    all_grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col("label"), n) for n in (1, 2, 3)])))
-    gram_rows = labels.select("label", "pos", F.explode(all_grams).alias("gram"))
-    spread = gram_rows.groupBy("gram").agg(F.count("*").alias("_n"))
+    labels = labels.groupBy(*on, "label").agg(F.min("pos").alias("pos"))
+    has_words = F.contains("label", "_first") & F.contains("label", "_last")
 
-    needs = names.withColumn(
-        "gram", F.explode(F.array_distinct(F.concat(_needed_grams(F.col("_first")), _needed_grams(F.col("_last")))))
-    )
+    same = names.join(labels.withColumn("_text", F.col("label")), [*on, "_text"]).filter(has_words)
+    same = same.select(*on, "school_name", "label", F.lit(100.0).alias("score"))
+    names = names.join(same.select(*on, "school_name"), [*on, "school_name"], "left_anti")
+
+    grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col("label"), n) for n in (1, 2, 3)])))
+    gram_rows = labels.select(*on, "label", "pos", F.explode(grams).alias("gram"))
+    spread = gram_rows.groupBy(*on, "gram").agg(F.count("*").alias("_n"))
+    needed = F.array_distinct(F.concat(_needed_grams(F.col("_first")), _needed_grams(F.col("_last"))))
     # A needed piece that no label has rules the name out; the left join keeps it as count 0.
-    needs = needs.join(spread, "gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    rarest = needs.groupBy("school_name", "_first", "_last").agg(
-        F.min(F.struct("_n", "gram"))["gram"].alias("gram")
+    needs = names.withColumn("gram", F.explode(needed)).join(spread, [*on, "gram"], "left")
+    rarest = needs.groupBy(*on, "school_name", "_text", "_first", "_last").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram")
     )
-    name_len, label_len = F.length(F.trim("school_name")), F.length("label")
+    name_len, label_len = F.length("_text"), F.length("label")
     # 200 * min / (sum) is the highest ratio two lengths allow.
     reachable = 200.0 * F.least(name_len, label_len) > F.lit(threshold) * (name_len + label_len)
-    pairs = rarest.join(gram_rows, "gram").filter(
-        F.contains("label", "_first") & F.contains("label", "_last") & reachable
-    )
-    scored = pairs.select("school_name", "label", "pos", indel_ratio("school_name", "label").alias("score"))
-    best = scored.filter(F.col("score") > threshold).groupBy("school_name").agg(
-        F.max(F.struct("score", (-F.col("pos")).alias("_back"), "label")).alias("b")
-    )
-    return best.select("school_name", F.col("b.label").alias("label"), F.col("b.score").alias("score"))
+    pairs = rarest.join(gram_rows, [*on, "gram"]).filter(has_words & reachable)
+    # The threshold is applied inside the aggregate: a filter would run the ratio twice.
+    scored = pairs.select(*on, "school_name", "label", "pos", indel_ratio("_text", "label").alias("score"))
+    rank = F.struct("score", (-F.col("pos")).alias("back"), "label")
+    best = scored.groupBy(*on, "school_name").agg(F.max(F.when(F.col("score") > threshold, rank)).alias("b"))
+    best = best.filter("b is not null").select(*on, "school_name", "b.label", "b.score")
+    return same.unionByName(best)

@@ -68,11 +68,11 @@ def school_facts(
 
 
 def _one_row(*parts: DataFrame) -> DataFrame:
-    """Side-by-side join of one-row global aggregates."""
-    out = parts[0].withColumn("_one", F.lit(1))
+    """One row with the columns of several one-row aggregates (no column is in two of them)."""
+    out = parts[0]
     for part in parts[1:]:
-        out = out.join(part.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
 
 
 def summary_metrics(schools: DataFrame, contacts: DataFrame, events: DataFrame, activities: DataFrame, as_of: AsOf) -> DataFrame:

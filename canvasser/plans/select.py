@@ -347,13 +347,14 @@ def resume_pending(v: Views) -> DataFrame:
 
 @query("fuzzy_best_match")
 def fuzzy_best_match(v: Views) -> DataFrame:
-    """Each product name against labels that repeat its words in another form."""
-    names = v.part.select(F.concat_ws(" ", "p_name", "p_type", F.lit("hs")).alias("school_name"))
+    """Each product name of a brand against labels of the brand that repeat its words in another form."""
+    names = v.part.select("p_brand", F.concat_ws(" ", "p_name", "p_type", F.lit("hs")).alias("school_name"))
     labels = v.part.select(
+        "p_brand",
         F.concat_ws(" ", F.lit("the"), "p_name", "p_type", F.when(F.col("p_size") % 2 == 0, "high").otherwise("jr"), F.lit("school")).alias("label"),
         F.col("p_partkey").alias("pos"),
     )
-    return fuzzy.fuzzy_best_match(names, labels)
+    return fuzzy.fuzzy_best_match(names, labels, on=["p_brand"])
 
 
 # --- first and last per key ---------------------------------------------------------------

@@ -49,10 +49,12 @@ class KeyedTable:
         """Replace the touched buckets by ``change(current rows of them or None, batch)``."""
         merged = change(self._touched(batch, whole), batch)
         staged = fresh_path(self.spark, "staged")
-        bucketed = self.bucket_of(merged)
-        bucketed.repartition("_bucket").write.parquet(staged)
+        # Rebalancing splits large buckets over several tasks and files and joins small ones.
+        bucketed = self.bucket_of(merged).hint("rebalance", "_bucket")
+        bucketed.write.parquet(staged)
         (
             self.spark.read.schema(bucketed.schema).parquet(staged)
+            .hint("rebalance", "_bucket")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("_bucket")
