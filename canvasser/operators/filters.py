@@ -11,12 +11,17 @@ from canvasser.functions import text as X
 from canvasser.functions.dates import AsOf, at
 
 
+def _keep(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on the school, with the ids of the other side reduced first."""
+    return df.join(other.select("school_id").distinct(), "school_id", how).select(*df.columns)
+
+
 def schools_with_contacts(schools: DataFrame, contacts: DataFrame) -> DataFrame:
-    return schools.join(contacts.select("school_id").distinct(), "school_id", "left_semi")
+    return _keep(schools, contacts, "left_semi")
 
 
 def schools_without_contacts(schools: DataFrame, contacts: DataFrame) -> DataFrame:
-    return schools.join(contacts.select("school_id").distinct(), "school_id", "left_anti")
+    return _keep(schools, contacts, "left_anti")
 
 
 def filter_schools(
@@ -62,13 +67,12 @@ def filter_contacts(
 
 def contacts_semi_school(contacts: DataFrame, schools: DataFrame, county: str | None = None, school_type: str | None = None) -> DataFrame:
     wanted = filter_schools(schools, county=county, school_type=school_type)
-    return contacts.join(wanted.select("school_id"), "school_id", "left_semi")
+    return _keep(contacts, wanted, "left_semi")
 
 
 def contacts_semi_event(contacts: DataFrame, participation: DataFrame, event_id) -> DataFrame:
     """Contacts of the schools taking part in one event."""
-    there = participation.filter(F.col("event_id") == event_id).select("school_id").distinct()
-    return contacts.join(there, "school_id", "left_semi")
+    return _keep(contacts, participation.filter(F.col("event_id") == event_id), "left_semi")
 
 
 def target_list(

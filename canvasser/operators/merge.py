@@ -405,9 +405,9 @@ def cascade_delete_school(schools: DataFrame, staff: DataFrame, junction: DataFr
     links = junction.join(gone, "staff_id", "left_anti").join(ids, "school_id", "left_anti")
     by_key = ids.withColumnRenamed("school_id", "facility_key")
     return SchoolTables(
-        schools.join(by_key, "facility_key", "left_anti"),
-        staff.join(gone, "staff_id", "left_anti"),
-        links,
+        schools.join(by_key, "facility_key", "left_anti").select(*schools.columns),
+        staff.join(gone, "staff_id", "left_anti").select(*staff.columns),
+        links.select(*junction.columns),
         gone,
     )
 
@@ -422,7 +422,7 @@ def mark_verified(target: DataFrame, ids: DataFrame, key: str, as_of: AsOf) -> D
             "is_verified": hit | F.coalesce("is_verified", F.lit(False)),
             "last_verified_at": F.when(hit, at(as_of)).otherwise(F.col("last_verified_at")),
         }
-    ).drop("_mark")
+    ).select(*target.columns)
 
 
 def patch_rows(target: DataFrame, patches: DataFrame, key: str, fields: Sequence[str], seq: str = "seq") -> DataFrame:
@@ -460,7 +460,7 @@ def patch_contacts(staff: DataFrame, junction: DataFrame, patches: DataFrame) ->
     renamed = F.when(F.col("_name"), X.full_name("first_name", "last_name")).otherwise(F.col("name"))
     out = done.withColumns({"name": renamed, "school_worked_at": F.col("school_id")})
     moved = out.filter("_school").select("school_id", "staff_id")
-    links = junction.select("school_id", "staff_id").join(moved.select("staff_id"), "staff_id", "left_anti")
+    links = junction.join(moved.select("staff_id"), "staff_id", "left_anti").select("school_id", "staff_id")
     return out.select(*staff.columns), links.unionByName(moved)
 
 

@@ -1,0 +1,125 @@
+"""Import checks, plausibility, and extraction from pages."""
+
+from conftest import rows
+from pyspark.sql import functions as F
+
+from canvasser.operators import extract, quality
+
+
+def test_mapping(spark):
+    assert quality.auto_map_columns([" Email Address ", "Name", "ZIP", "Shoe"], "schools") == {" Email Address ": "email", "Name": "name", "ZIP": "zipCode"}
+    assert quality.auto_map_columns(["name"], "contacts") == {"name": "firstName"}
+    raw = spark.createDataFrame([(1, "a", " b ", "x")], "row int, `first name` string, Name string, other string")
+    mapping = quality.auto_map_columns(["first name", "Name", "other"], "contacts")
+    assert rows(quality.map_row(raw, mapping, ["row"])) == [(1, "b")]
+
+
+def test_validation(spark):
+    cols = "row int, firstName string, lastName string, email string, schoolId string"
+    data = spark.createDataFrame(
+        [(0, "A", "B", "a@x.y", "ALPHA"), (1, "", None, "", ""), (2, "A", "B", "nope", "Nowhere"), (3, "A", "B", "OLD@x.y", "")], cols
+    )
+    contacts = spark.createDataFrame([("old@X.y",)], "email string")
+    schools = spark.createDataFrame([("Alpha",)], "name string")
+    issues = quality.validate_contacts(data, contacts, schools)
+    assert rows(issues) == [
+        (1, "email", "Missing email", "error"), (1, "firstName", "Missing first name", "error"), (1, "lastName", "Missing last name", "error"),
+        (2, "email", "Invalid email format", "error"), (2, "schoolId", 'School "Nowhere" not found — row will be skipped', "error"),
+        (3, "email", "Duplicate email (already exists)", "warning"),
+    ]
+    assert rows(quality.clean_rows(data, issues), "row") == [(0,), (3,)]
+    incoming = spark.createDataFrame([(0, "alpha", "Cook"), (1, "", "")], "row int, name string, county string")
+    assert [r[1:] for r in rows(quality.validate_schools(incoming, schools))] == [
+        ("name", "School already exists — will be skipped", "warning"), ("county", "Missing county", "error"), ("name", "Missing school name", "error")
+    ]
+    assert rows(quality.duplicate_names(incoming, schools), "row") == [(0,)]
+
+
+def test_reasons(spark):
+    names = [("", "T"), ("Al", None), ("J. R. R. T. Smith", "x"), ("Lincoln High 2", "x"), ("Ann Lee", " ")]
+    df = spark.createDataFrame(names, "name string, title string")
+    got = [r[0] for r in df.select(quality.contact_unlikely_reasons(F.col("name"), F.col("title"))).collect()]
+    assert got == [
+        ["name is empty"], ["name has too few letters", "missing title"], ["name has too many tokens"],
+        ["name contains digits", "name looks like organization text"], ["missing title"],
+    ]
+    recs = spark.createDataFrame(
+        [("late", ["c"], [], True), (None, ["c"], [], True), (None, ["c"], None, False), (None, [], [], False), (None, None, ["p"], True)],
+        "error string, contacts array<string>, pages array<string>, has_urls boolean",
+    )
+    got = [r[0] for r in recs.select(quality.school_unlikely_reasons(*[F.col(c) for c in recs.columns])).collect()]
+    assert got == [[], ["contacts found but pages_with_contacts is empty"], ["school_urls is missing"], [], ["contacts is not a list"]]
+
+
+def test_quarantine(spark):
+    flagged = spark.createDataFrame([(1, ["r"]), (2, ["r"]), (3, [])], "id int, reasons array<string>")
+    votes = spark.createDataFrame([(1, "error"), (2, "keep"), (3, "error")], "id int, decision string")
+    kept, errors = quality.quarantine(flagged, votes, ["id"])
+    assert rows(kept, "id") == [(2,), (3,)] and rows(errors, "id") == [(1,)]
+
+
+def test_signals(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@x.org, (618) 555-1234 x 5 or 1-618-555-9999; Send  Email"), (2, "none"), (3, None)], "id int, t string")
+    assert rows(extract.extract_signals(docs, "id", "t")) == [
+        (1, "email", 0, "a.b@x.org"), (1, "message", 0, "Send  Email"), (1, "phone", 0, "(618) 555-1234 x 5"), (1, "phone", 1, "1-618-555-9999")
+    ]
+
+
+PAGE = """<html><body><script>var a = "x@y.org";</script>
+<ul><li><p>JANE doe</p><p>To the team</p><p>Principal</p><p>Main Office</p><p>618-555-1234</p><a href="MAILTO:Jane@A.org?subject=x">Email</a></li>
+<li><p>Bob Roe</p><p>Student Services</p><a href="mailto:bob@a.org">bob@a.org</a></li>
+<li><p>Cat Poe</p><p>Dean</p><button>Send Message</button></li>
+<li><p>Cat Poe</p><p>Dean</p><button>Send Message</button></li></ul>
+<div class="pagination"><a href="/p2">more</a></div><a rel="next" href="https://o.org/n">x</a><a href="#a">2</a><a href="q?page=3">3</a>
+<li class="next"><a href="/p2">again</a></li></body></html>"""
+
+
+def test_cards(spark):
+    pages = spark.createDataFrame([(1, "https://a.org/staff", PAGE), (2, "u", None), (3, "u", "<p>x</p>")], "page_id bigint, url string, html string")
+    blocks = extract.extract_blocks(pages)
+    assert sorted(r.lines[0] for r in blocks.collect()) == ["Bob Roe", "Cat Poe", "JANE doe"]
+    got = rows(extract.assign_fields(blocks), "name", "title", "dept", "phone", "email")
+    # "Student Services" holds "es", so as a whole-line text it is no title here.
+    assert got == [("Cat Poe", "Dean", "", "", ""), ("Jane Doe", "Principal", "Main Office", "618-555-1234", "jane@a.org")]
+    assert rows(extract.pagination_links(pages), "ord", "target") == [(0, "https://a.org/p2"), (1, "https://o.org/n"), (2, "https://a.org/q?page=3")]
+
+
+def test_titles_and_links(spark):
+    df = spark.createDataFrame([("Student Services",), ("Assistant Principal",), ("DEAN",), ("Deanery",), (None,)], "x string")
+    got = [tuple(r) for r in df.select(extract.title_match(F.col("x")), extract.title_match(F.col("x"), "word")).collect()]
+    assert got == [(False, True), (False, False), (True, True), (True, False), (None, None)]
+    links = spark.createDataFrame([("mailto:a@b.c?x",), ("SendTo: q ",), ("http://mailto:x",), ("mailto:?s",)], "h string")
+    assert [r[0] for r in links.select(extract.link_email(F.col("h"))).collect()] == ["a@b.c", "q", None, None]
+
+
+def test_text_contacts(spark):
+    blocks = spark.createDataFrame(
+        [(1, ["- Ann Lee Roy Dean", "Title: counselor", "x@y.org"]), (2, ["Bo", "618-555-1234 principal", "a", "b", "Principal"]), (3, ["Title", "Dept"])],
+        "page_id int, lines array<string>",
+    )
+    assert rows(extract.text_contact(blocks), "page_id", "name", "title", "phone", "email") == [
+        (1, "Ann Lee", "Roy Dean", None, "x@y.org"), (2, "Bo", None, "618-555-1234", None)
+    ]
+
+
+def test_fallback_and_outcomes(spark):
+    first = spark.createDataFrame([("s1", "p2", "a"), ("s1", "p1", "b")], "school string, page_url string, name string")
+    second = spark.createDataFrame([("s1", "p9", "no"), ("s2", "p3", "c"), ("s2", "p3", "d")], "school string, page_url string, name string")
+    records, pages = extract.contacts_with_fallback(first, second)
+    assert rows(records, "school", "name") == [("s1", "a"), ("s1", "b"), ("s2", "c"), ("s2", "d")]
+    assert rows(pages) == [("s1", "p1"), ("s1", "p2"), ("s2", "p3")]
+    sites = spark.createDataFrame([("s1",), ("s9",)], "school string")
+    assert rows(extract.split_outcomes(sites, records)) == [("s1", 2, "completed"), ("s9", 0, "still_working")]
+    docs = spark.createDataFrame([(1, "Total Enrollment: 1,234 and enrollment: 5"), (2, "none")], "id int, t string")
+    assert rows(extract.extract_enrollment(docs, "id", "t")) == [(1, 1234), (2, None)]
+
+
+def test_signatures(spark):
+    cards = [("s", 1, i, "a") for i in range(4)] + [("s", 2, 10 + i, x) for i, x in enumerate(["b", "c", "c", "", "d", "b"])] + [("s", 3, 20 + i, "z") for i in range(9)]
+    df = spark.createDataFrame(cards, "site string, page_ord int, block_ord int, signature string")
+    assert rows(extract.dominant_signatures(df), "rank", "signature", "blocks") == [(1, "b", 2), (2, "c", 2)]
+
+
+def test_form_errors(spark):
+    df = spark.createDataFrame([("N", "C", "", "x", "IL", "1234")], "name string, county string, address string, city string, state string, zip_code string")
+    assert df.select(quality.school_form_errors()).first()[0] == ["address", "zip_code"]
