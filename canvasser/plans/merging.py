@@ -712,10 +712,10 @@ def upsert_calendar_events(v: Views) -> DataFrame:
     "load_summary",
     f"""WITH {LINKED_SQL}, {STAFF_TARGET_SQL},
     z AS (SELECT facility_key FROM fn GROUP BY 1), cy AS (SELECT DISTINCT {norm_sql('County')} AS cn FROM facility_list)
-    SELECT 'county' AS "table", 'insert' AS action, count(*) AS rows FROM cy WHERE cn <> '' GROUP BY ALL
-    UNION ALL SELECT 'schools', 'insert', count(*) FROM z GROUP BY ALL
+    SELECT 'county' AS "table", 'insert' AS action, count(*) AS rows FROM cy WHERE cn <> '' HAVING count(*) > 0
+    UNION ALL SELECT 'schools', 'insert', count(*) FROM z HAVING count(*) > 0
     UNION ALL SELECT 'staff', CASE WHEN staff_id IS NULL THEN 'insert' ELSE 'update' END, count(*) FROM mt GROUP BY ALL
-    UNION ALL SELECT 'staff', 'keep', count(*) FROM old WHERE staff_id NOT IN (SELECT staff_id FROM mt WHERE staff_id IS NOT NULL) GROUP BY ALL
+    UNION ALL SELECT 'staff', 'keep', count(*) FROM old WHERE staff_id NOT IN (SELECT staff_id FROM mt WHERE staff_id IS NOT NULL) HAVING count(*) > 0
     UNION ALL SELECT 'staff', 'skipped_unknown_school', count(*) FROM cp WHERE {norm_sql('nm')} NOT IN (SELECT name_key FROM fby)
     UNION ALL SELECT 'staff', 'unique_incoming', count(*) FROM inc""",
 )

@@ -19,6 +19,9 @@ RUNTIME_CONF = {
 }
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings; partition counts and memory stay with the cluster."""
     for key, value in RUNTIME_CONF.items():
@@ -30,16 +33,18 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, local mode) a temporary folder is made and
-    remembered in the session.
+    Only where the setting is absent (tests, local mode) one temporary folder is made per
+    application.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         master = spark.sparkContext.master
         if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        found = tempfile.mkdtemp(prefix="canvasser-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_DIRS:
+            _OWN_DIRS[app] = tempfile.mkdtemp(prefix="canvasser-")
+        found = _OWN_DIRS[app]
     return found.rstrip("/")
 
 
