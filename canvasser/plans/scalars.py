@@ -13,7 +13,7 @@ from canvasser.plans.bindings import Views
 from canvasser.plans.load import ROLE_SQL, WS, clean_sql, norm_sql, strip_sql
 from canvasser.plans.merging import CITY_KEY
 from canvasser.plans.registry import query
-from canvasser.plans.select import FACILITY_KEY_SQL, NORM_KEY_SQL, plain_name_sql
+from canvasser.plans.select import FACILITY_KEY_SQL, NORM_KEY_SQL, plain_name_sql, ratio_sql
 
 
 def case_sql(column: str, mapping: dict[str, str], default: str = "NULL") -> str:
@@ -193,25 +193,36 @@ def truncate_label(v: Views) -> DataFrame:
 EVENT_TEXT = "CASE event_id % 5 WHEN 0 THEN 'e_' || event_id WHEN 1 THEN 'se_' || event_id WHEN 2 THEN 's_' || event_id WHEN 3 THEN cast(event_id AS varchar) ELSE 'x' || event_id END"
 
 
-@query(
-    "parse_event_id",
-    f"SELECT event_id, 'e_' || event_id AS formatted, CASE WHEN event_id % 5 <> 4 THEN event_id END AS parsed FROM events",
-)
+@query("format_event_id", "SELECT event_id, 'e_' || event_id AS formatted FROM events")
+def format_event_id(v: Views) -> DataFrame:
+    return v.table("events").select("event_id", X.format_event_id("event_id").alias("formatted"))
+
+
+@query("parse_event_id", "SELECT event_id, CASE WHEN event_id % 5 <> 4 THEN event_id END AS parsed FROM events")
 def parse_event_id(v: Views) -> DataFrame:
-    events = v.table("events")
-    return events.select(
-        "event_id", X.format_event_id("event_id").alias("formatted"), X.parse_event_id(F.expr(EVENT_TEXT.replace("varchar", "string"))).alias("parsed")
-    )
+    text = F.expr(EVENT_TEXT.replace("varchar", "string"))
+    return v.table("events").select("event_id", X.parse_event_id(text).alias("parsed"))
 
 
 @query(
     "participants_split",
     """WITH p AS (SELECT event_id, list_filter(list_transform(string_split(coalesce(schools_involved, ''), ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM event_rows)
-    SELECT event_id, cast(len(l) AS integer) AS n, nullif(array_to_string(l, ','), '') AS joined FROM p""",
+    SELECT event_id, cast(len(l) AS integer) AS n, array_to_string(l, '|') AS ids FROM p""",
 )
 def participants_split(v: Views) -> DataFrame:
     parts = X.participants_split("schools_involved")
-    return v.event_rows.select("event_id", F.size(parts).alias("n"), X.participants_join(parts).alias("joined"))
+    return v.event_rows.select("event_id", F.size(parts).alias("n"), F.array_join(parts, "|").alias("ids"))
+
+
+@query(
+    "participants_join",
+    """SELECT event_id, nullif(concat_ws(',', CASE WHEN event_id % 3 > 0 THEN 'a' || event_id END, CASE WHEN event_id % 3 = 2 THEN 'b' END), '') AS schools_involved
+    FROM event_rows""",
+)
+def participants_join(v: Views) -> DataFrame:
+    k = F.col("event_id") % 3
+    ids = F.array_compact(F.array(F.when(k > 0, F.concat(F.lit("a"), F.col("event_id").cast("string"))), F.when(k == 2, F.lit("b"))))
+    return v.event_rows.select("event_id", X.participants_join(ids).alias("schools_involved"))
 
 
 @query(
@@ -241,24 +252,36 @@ def format_day(v: Views) -> DataFrame:
     return v.orders.select("o_orderkey", D.format_day(day).alias("day"))
 
 
-@query(
-    "to_db_date",
-    """SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_id % 7 = 0 THEN NULL ELSE strftime(ts, '%H:%M:00') END AS clock FROM events""",
-)
+@query("to_db_date", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events")
 def to_db_date(v: Views) -> DataFrame:
+    text = F.when(F.col("event_id") % 7 != 0, F.date_format("ts", "MM/dd/yyyy")).otherwise(F.date_format("ts", "dd.MM.yyyy"))
+    return v.table("events").select("event_id", D.to_db_date(text).alias("day"))
+
+
+@query("to_db_time", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE strftime(ts, '%H:%M:00') END AS clock FROM events")
+def to_db_time(v: Views) -> DataFrame:
     k, ts = F.col("event_id") % 7, F.col("ts")
     clock = F.when(k == 0, "soon").when(k < 4, F.date_format(ts, "h:mm a")).otherwise(F.date_format(ts, "HH:mm"))
-    return v.table("events").select("event_id", D.to_db_date(F.date_format(ts, "MM/dd/yyyy")).alias("day"), D.to_db_time(clock).alias("clock"))
+    return v.table("events").select("event_id", D.to_db_time(clock).alias("clock"))
 
 
 @query(
     "pct_round",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE cast(floor(100.0::double * (o_orderkey % 97) / (o_orderkey % 13) + 0.5) AS bigint) END AS pct,
-      CASE WHEN o_orderkey % 13 = 0 THEN 0.0 ELSE round((o_orderkey % 97)::double / (o_orderkey % 13), 1) END AS ratio FROM orders""",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 0 ELSE cast(floor(100.0::double * (o_orderkey % 97) / (o_orderkey % 13) + 0.5) AS bigint) END AS pct
+    FROM orders""",
 )
 def pct_round(v: Views) -> DataFrame:
     a, b = F.col("o_orderkey") % 97, F.col("o_orderkey") % 13
-    return v.orders.select("o_orderkey", X.pct_round(a, b).alias("pct"), X.one_decimal(a, b).alias("ratio"))
+    return v.orders.select("o_orderkey", X.pct_round(a, b).alias("pct"))
+
+
+@query(
+    "one_decimal",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 0.0 ELSE round((o_orderkey % 97)::double / (o_orderkey % 13), 1) END AS ratio FROM orders",
+)
+def one_decimal(v: Views) -> DataFrame:
+    a, b = F.col("o_orderkey") % 97, F.col("o_orderkey") % 13
+    return v.orders.select("o_orderkey", X.one_decimal(a, b).alias("ratio"))
 
 
 @query("split_event_timestamp", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M:%S') AS time FROM events")
@@ -266,11 +289,14 @@ def split_event_timestamp(v: Views) -> DataFrame:
     return v.table("events").select("event_id", D.split_event_timestamp(F.col("ts")).alias("p")).select("event_id", "p.*")
 
 
-@query("indel_ratio")
+@query(
+    "indel_ratio",
+    f"""WITH n AS (SELECT DISTINCT p_name AS a, lower(p_type || ' ' || p_name) AS b FROM part)
+    SELECT a, b, round({ratio_sql('a', 'b')}, 6) AS ratio FROM n""",
+)
 def indel_ratio(v: Views) -> DataFrame:
-    """Whole texts of the check set against their reversed word order."""
-    turned = F.array_join(F.reverse(F.split("text", " ")), " ")
-    return v.benchmark.select("item_id", F.round(fuzzy.indel_ratio("text", turned), 6).alias("ratio"))
+    names = v.part.select(F.col("p_name").alias("a"), F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("b")).distinct()
+    return names.select("a", "b", F.round(fuzzy.indel_ratio("a", "b"), 6).alias("ratio"))
 
 
 @query(

@@ -345,7 +345,26 @@ def resume_pending(v: Views) -> DataFrame:
     return joins.resume_pending(rows, done)
 
 
-@query("fuzzy_best_match")
+def ratio_sql(a: str, b: str) -> str:
+    """200 * LCS / (len a + len b) by the usual table, one list per row of it."""
+    chars = f"list_transform(string_split({b}, ''), lambda y: [unicode(y)::bigint])"
+    step = f"""list_reduce(list_transform(range(1, length({a}) + 1), lambda i: [i]), lambda done, i: list_append(done, greatest(done[i[1]], prev[i[1] + 1],
+      CASE WHEN unicode(substr({a}, i[1], 1)) = y[1] THEN prev[i[1]] + 1 ELSE 0 END)), [0::bigint])"""
+    table = f"list_reduce({chars}, lambda prev, y: {step}, list_resize([0::bigint], length({a}) + 1, 0::bigint))"
+    return f"200.0::double * {table}[length({a}) + 1] / (length({a}) + length({b}))"
+
+
+FUZZY_SQL = f"""nm AS (SELECT DISTINCT p_brand, p_name || ' ' || p_type || ' hs' AS school_name FROM part),
+    lb AS (SELECT p_brand, lower('the ' || p_name || ' ' || p_type || CASE WHEN p_size % 2 = 0 THEN ' high school' ELSE ' jr school' END) AS label,
+      min(p_partkey) AS pos FROM part GROUP BY ALL),
+    cd AS (SELECT p_brand, school_name, lower(school_name) AS t, label, pos FROM nm JOIN lb USING (p_brand)
+      WHERE contains(label, split_part(lower(school_name), ' ', 2)) AND contains(label, 'school')),
+    sp AS (SELECT t, label, {ratio_sql('t', 'label')} AS score FROM (SELECT DISTINCT t, label FROM cd) x),
+    rk AS (SELECT p_brand, school_name, label, score, row_number() OVER (PARTITION BY p_brand, school_name ORDER BY score DESC, pos) AS rn
+      FROM cd JOIN sp USING (t, label) WHERE score > 70)"""
+
+
+@query("fuzzy_best_match", f"WITH {FUZZY_SQL} SELECT p_brand, school_name, label, round(score, 6) AS score FROM rk WHERE rn = 1")
 def fuzzy_best_match(v: Views) -> DataFrame:
     """Each product name of a brand against labels of the brand that repeat its words in another form."""
     names = v.part.select("p_brand", F.concat_ws(" ", "p_name", "p_type", F.lit("hs")).alias("school_name"))
@@ -354,7 +373,7 @@ def fuzzy_best_match(v: Views) -> DataFrame:
         F.concat_ws(" ", F.lit("the"), "p_name", "p_type", F.when(F.col("p_size") % 2 == 0, "high").otherwise("jr"), F.lit("school")).alias("label"),
         F.col("p_partkey").alias("pos"),
     )
-    return fuzzy.fuzzy_best_match(names, labels, on=["p_brand"])
+    return fuzzy.fuzzy_best_match(names, labels, on=["p_brand"]).withColumn("score", F.round("score", 6))
 
 
 # --- first and last per key ---------------------------------------------------------------
