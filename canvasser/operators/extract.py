@@ -144,11 +144,16 @@ BLOCK_SCHEMA = "page_id bigint, url string, signal int, level int, link_email st
 
 
 def _blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["page_id", "url", "signal", "level", "link_email", "lines"]
+    rows: list[tuple] = []
     for pdf in batches:
         for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-            rows = [(page_id, url, *b) for b in page_blocks(html or "")]
-            if rows:
-                yield pd.DataFrame(rows, columns=["page_id", "url", "signal", "level", "link_email", "lines"])
+            rows.extend((page_id, url, *b) for b in page_blocks(html or ""))
+            if len(rows) >= 5000:
+                yield pd.DataFrame(rows, columns=columns)
+                rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def _term_pattern(terms: Sequence[str]) -> str:

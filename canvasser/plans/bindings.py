@@ -20,6 +20,15 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
+# Fields of the contact at position ``pos`` of the result ``seq``.
+RESULT_CONTACT = """
+          CASE (seq + pos) % 7 WHEN 0 THEN '' WHEN 1 THEN 'Main Office ' || pos WHEN 2 THEN 'J.' || pos
+               WHEN 3 THEN 'Ana Maria de la Cruz' ELSE ' Jo  Doe ' END AS name,
+          CASE (seq + pos) % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE 'Dean' END AS title,
+          CASE WHEN pos % 2 = 0 THEN NULL ELSE 'Dept' END AS dept,
+          CASE WHEN seq % 3 = 0 THEN '' ELSE '217-555-' || lpad(cast(seq % 10000 AS string), 4, '0') END AS phone,
+          CASE WHEN pos % 3 = 0 THEN '' ELSE 'Person' || seq % 50 || '@example.org' END AS email"""
+
 # The stream table shares its name with the outreach events, which read from `part`.
 VIEWS: dict[str, str] = {
     "school_rows": """
@@ -149,15 +158,9 @@ VIEWS: dict[str, str] = {
         SELECT 'still_working' AS source, c_custkey AS seq, c_name AS school_name, NULL AS base_url,
           'https://old' || c_custkey || '.example.org' AS alt_url, '/old' AS pages_csv, 1 AS n_contacts, NULL AS error
         FROM {customer} WHERE c_custkey % 3 = 2""",
-    "result_contacts": """
-        SELECT source, school_name, seq, pos,
-          CASE (seq + pos) % 7 WHEN 0 THEN '' WHEN 1 THEN 'Main Office ' || pos WHEN 2 THEN 'J.' || pos
-               WHEN 3 THEN 'Ana Maria de la Cruz' ELSE ' Jo  Doe ' END AS name,
-          CASE (seq + pos) % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE 'Dean' END AS title,
-          CASE WHEN pos % 2 = 0 THEN NULL ELSE 'Dept' END AS dept,
-          CASE WHEN seq % 3 = 0 THEN '' ELSE '217-555-' || lpad(cast(seq % 10000 AS string), 4, '0') END AS phone,
-          CASE WHEN pos % 3 = 0 THEN '' ELSE 'Person' || seq % 50 || '@example.org' END AS email
-        FROM (SELECT r.*, {explode:r.n_contacts:pos} FROM {result_rows} r WHERE n_contacts > 0) x""",
+    "result_contacts": f"""
+        SELECT source, school_name, seq, pos, {RESULT_CONTACT}
+        FROM (SELECT r.*, {{explode:r.n_contacts:pos}} FROM {{result_rows}} r WHERE n_contacts > 0) x""",
     "rule_rows": """
         SELECT c_custkey AS seq, CASE WHEN c_custkey % 6 = 0 THEN lower(c_name) ELSE c_name END AS school,
           CASE WHEN c_custkey % 8 = 0 THEN '' WHEN c_custkey % 8 = 1 THEN ' https://a.example.org , ,https://a.example.org'

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvasser import schema as M
 from canvasser.functions import text as X
 from canvasser.operators import catalog, filters, metrics
-from canvasser.plans.bindings import AS_OF, Views
+from canvasser.plans.bindings import AS_OF, RESULT_CONTACT, Views
 from canvasser.plans.registry import query
 from canvasser.session import fresh_path
 from canvasser.sources import files, sinks, tables
@@ -314,16 +316,14 @@ def rules(v: Views) -> DataFrame:
 
 
 def results(v: Views, source: str | None = None) -> DataFrame:
-    """Result map rows with their arrays of pages and contacts."""
-    contacts = v.result_contacts.withColumn("c", F.struct("pos", "name", "title", "dept", "phone", "email"))
-    # At most five contacts per row of the result map by construction of the view.
-    packed = contacts.groupBy("source", "school_name", "seq").agg(F.array_sort(F.collect_list("c")).alias("contacts"))
-    rows = v.result_rows.join(packed, ["source", "school_name", "seq"], "left")
-    pages = F.filter(F.split("pages_csv", ","), lambda p: p != "")
-    rows = rows.withColumns(
-        {"pages_with_contacts": pages, "contacts": F.coalesce("contacts", F.array().cast(packed.schema["contacts"].dataType))}
+    """Result map rows with their arrays of pages and contacts, made within each row."""
+    parts = [f.rsplit(" AS ", 1) for f in re.split(r",\n", RESULT_CONTACT)]
+    fields = ", ".join(f"'{name.strip()}', {value}" for value, name in [("pos", "pos"), *parts])
+    contacts = F.expr(
+        f"transform(if(n_contacts > 0, sequence(1, n_contacts), array()), pos -> named_struct({fields}))"
     )
-    rows = rows.drop("pages_csv", "n_contacts")
+    pages = F.filter(F.split("pages_csv", ","), lambda p: p != "")
+    rows = v.result_rows.withColumns({"pages_with_contacts": pages, "contacts": contacts}).drop("pages_csv", "n_contacts")
     return rows.filter(F.col("source") == source).drop("source") if source else rows
 
 
