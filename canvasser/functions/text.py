@@ -77,17 +77,13 @@ def normalize_facility_key(c: Column | str) -> Column:
 
 def facility_key(existing, county, name, city, zipcode, nces) -> Column:
     """An existing key, else county|name|city|zip, else nces|id, else null."""
-    own, n, ct = clean_text(existing), clean_text(name), clean_text(city)
-    part = lambda c: F.coalesce(clean_text(c), F.lit(""))
-    composed = F.when(
-        n.isNotNull() & ct.isNotNull(), F.concat_ws("|", part(county), n, ct, part(zipcode))
+    columns = (existing, county, name, city, zipcode, nces)
+    own, area, title, place, post, number = (F.coalesce(strip(c), F.lit("")) for c in columns)
+    return (
+        F.when(own != "", own)
+        .when((title != "") & (place != ""), F.concat_ws("|", area, title, place, post))
+        .when((number != "") & ~F.lower(number).isin(M.NULL_WORDS), F.concat(F.lit("nces|"), number))
     )
-    number = clean_text(nces)
-    by_nces = F.when(
-        number.isNotNull() & ~F.lower(number).isin(M.NULL_WORDS),
-        F.concat(F.lit("nces|"), number),
-    )
-    return F.coalesce(own, composed, by_nces)
 
 
 def city_school_key(name) -> Column:

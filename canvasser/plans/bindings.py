@@ -146,18 +146,18 @@ VIEWS: dict[str, str] = {
           CASE c.c_custkey % 4 WHEN 0 THEN '12' WHEN 1 THEN 'n/a' WHEN 2 THEN '7.0' ELSE NULL END AS StRep
         FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey""",
     "result_rows": """
-        SELECT CASE WHEN c_custkey % 3 = 0 THEN 'still_working' ELSE 'completed' END AS source, c_custkey AS seq,
+        SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'still_working' ELSE 'completed' END AS source, c_custkey AS seq,
           CASE WHEN c_custkey % 4 = 0 THEN upper(c_name) ELSE c_name END AS school_name,
           CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 'https://s' || c_custkey || '.example.org' END AS base_url,
           CASE WHEN c_custkey % 4 = 1 THEN 'https://alt' || c_custkey || '.example.org' ELSE NULL END AS alt_url,
           CASE WHEN c_custkey % 5 < 2 THEN '' ELSE '/staff,/faculty' END AS pages_csv,
-          CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey % 5 END AS n_contacts,
+          CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE c_custkey % 5 END AS n_contacts,
           CASE WHEN c_custkey % 13 = 0 THEN 'missing website' WHEN c_custkey % 29 = 0 THEN 'timeout' ELSE NULL END AS error
         FROM {customer}
         UNION ALL
         SELECT 'still_working' AS source, c_custkey AS seq, c_name AS school_name, NULL AS base_url,
           'https://old' || c_custkey || '.example.org' AS alt_url, '/old' AS pages_csv, 1 AS n_contacts, NULL AS error
-        FROM {customer} WHERE c_custkey % 3 = 2""",
+        FROM {customer} WHERE c_mktsegment = 'MACHINERY'""",
     "result_contacts": f"""
         SELECT source, school_name, seq, pos, {RESULT_CONTACT}
         FROM (SELECT r.*, {{explode:r.n_contacts:pos}} FROM {{result_rows}} r WHERE n_contacts > 0) x""",
@@ -203,7 +203,7 @@ VIEWS: dict[str, str] = {
     "action_base": """
         SELECT c_custkey AS school_id, c_name AS name, 'base' AS county, false AS is_verified,
           cast(NULL AS timestamp) AS last_verified_at
-        FROM {customer} WHERE c_custkey % 2 = 0""",
+        FROM {customer} WHERE c_acctbal >= 4000""",
     "stream_activities": """
         SELECT event_id AS activity_id, user_id AS school_id, event_type AS activity_type, ts AS date FROM {events}""",
     "site_pages": """

@@ -14,9 +14,9 @@ from canvasser.plans.select import FACILITIES_SQL, LINKED_SQL, completed_with_li
 
 # --- set operations -----------------------------------------------------------------------
 
-LISTS_SQL = """a AS (SELECT p_partkey AS seq, CASE WHEN p_partkey % 50 = 0 THEN ' ' ELSE ' ' || upper(p_name || ' ' || p_brand) END AS id,
-      p_type AS payload FROM part WHERE p_partkey % 2 = 0),
-    b AS (SELECT p_partkey AS seq, p_name || ' ' || p_brand AS id, p_type AS payload FROM part WHERE p_partkey % 3 = 0),
+LISTS_SQL = """a AS (SELECT p_partkey AS seq, CASE WHEN p_size = 50 THEN ' ' ELSE ' ' || upper(p_name || ' ' || p_brand) END AS id,
+      p_type AS payload FROM part),
+    b AS (SELECT p_partkey AS seq, p_name || ' Brand#' || p_size AS id, p_brand AS payload FROM part),
     ka AS (SELECT lower(trim(id)) AS k, *, min(seq) OVER (PARTITION BY lower(trim(id))) AS pos FROM a WHERE trim(id) <> ''
       QUALIFY row_number() OVER (PARTITION BY lower(trim(id)) ORDER BY seq DESC) = 1),
     kb AS (SELECT lower(trim(id)) AS k, *, min(seq) OVER (PARTITION BY lower(trim(id))) AS pos FROM b WHERE trim(id) <> ''
@@ -25,11 +25,11 @@ OUT = ["seq", "id", "payload", "pos"]
 
 
 def _lists(v: Views) -> tuple[DataFrame, DataFrame]:
-    rows = v.part.select(
-        F.col("p_partkey").alias("seq"), F.concat_ws(" ", "p_name", "p_brand").alias("id"), F.col("p_type").alias("payload")
-    )
-    shouted = F.when(F.col("seq") % 50 == 0, " ").otherwise(F.concat(F.lit(" "), F.upper("id")))
-    return rows.filter("seq % 2 = 0").withColumn("id", shouted), rows.filter("seq % 3 = 0")
+    seq = F.col("p_partkey").alias("seq")
+    shouted = F.when(F.col("p_size") == 50, " ").otherwise(F.concat(F.lit(" "), F.upper(F.concat_ws(" ", "p_name", "p_brand"))))
+    other = F.concat(F.col("p_name"), F.lit(" Brand#"), F.col("p_size").cast("string"))
+    a = v.part.select(seq, shouted.alias("id"), F.col("p_type").alias("payload"))
+    return a, v.part.select(seq, other.alias("id"), F.col("p_brand").alias("payload"))
 
 
 def _shape(df: DataFrame) -> DataFrame:
@@ -51,26 +51,27 @@ def keyed_difference(v: Views) -> DataFrame:
     return _shape(catalog.keyed_difference(*_lists(v), "id"))
 
 
-ROWS_SQL = "WITH a AS (SELECT p_name, p_brand FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_name, p_brand FROM part WHERE p_partkey % 3 = 0)"
+ROWS_SQL = "WITH a AS (SELECT p_name, p_brand FROM part), b AS (SELECT p_name, 'Brand#' || p_size AS p_brand FROM part)"
 
 
-def _rows(v: Views, n: int) -> DataFrame:
-    return v.part.filter(F.col("p_partkey") % n == 0).select("p_name", "p_brand")
+def _row_lists(v: Views) -> tuple[DataFrame, DataFrame]:
+    other = F.concat(F.lit("Brand#"), F.col("p_size").cast("string"))
+    return v.part.select("p_name", "p_brand"), v.part.select("p_name", other.alias("p_brand"))
 
 
 @query("row_union", f"{ROWS_SQL} SELECT * FROM a UNION SELECT * FROM b")
 def row_union(v: Views) -> DataFrame:
-    return catalog.row_union(_rows(v, 2), _rows(v, 3))
+    return catalog.row_union(*_row_lists(v))
 
 
 @query("row_intersect", f"{ROWS_SQL} SELECT * FROM a INTERSECT SELECT * FROM b")
 def row_intersect(v: Views) -> DataFrame:
-    return catalog.row_intersect(_rows(v, 2), _rows(v, 3))
+    return catalog.row_intersect(*_row_lists(v))
 
 
 @query("row_difference", f"{ROWS_SQL} SELECT * FROM a EXCEPT SELECT * FROM b")
 def row_difference(v: Views) -> DataFrame:
-    return catalog.row_difference(_rows(v, 2), _rows(v, 3))
+    return catalog.row_difference(*_row_lists(v))
 
 
 def _map(v: Views, source: str) -> DataFrame:
@@ -128,7 +129,7 @@ def merge_catalog(v: Views) -> DataFrame:
 
 ADDED_SQL = """r AS (SELECT seq, school, {u} AS urls FROM rule_rows),
     i AS (SELECT 'Customer#' || lpad(cast(p_partkey AS varchar), 9, '0') AS school, ['https://b.example.org', 'https://p' || p_size || '.example.org', ''] AS more
-      FROM part WHERE p_partkey % 2 = 0)""".replace("{u}", URL_CLEAN)
+      FROM part)""".replace("{u}", URL_CLEAN)
 
 
 def _ordered_distinct(c: str) -> str:
@@ -138,7 +139,7 @@ def _ordered_distinct(c: str) -> str:
 def _incoming_rules(v: Views) -> DataFrame:
     name = F.concat(F.lit("Customer#"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
     urls = F.array(F.lit("https://b.example.org"), F.concat(F.lit("https://p"), F.col("p_size").cast("string"), F.lit(".example.org")), F.lit(" "))
-    return v.part.filter("p_partkey % 2 = 0").select(name.alias("school"), urls.alias("alt_urls"))
+    return v.part.select(name.alias("school"), urls.alias("alt_urls"))
 
 
 @query(
@@ -294,30 +295,19 @@ FACILITY_COLUMNS = ["facility_key", "name", "phone_number", "admin", "city", "zi
 
 @query(
     "upsert_facilities",
-    f"""WITH {FACILITY_ROWS_SQL}, t AS (SELECT facility_key, 'old' AS name, 'kept' AS notes FROM fz WHERE seq % 2 = 0 UNION ALL SELECT 'gone|x', 'old', 'kept')
+    f"""WITH {FACILITY_ROWS_SQL}, t AS (SELECT facility_key, 'old' AS name, 'kept' AS notes FROM fz WHERE website IS NOT NULL UNION ALL SELECT 'gone|x', 'old', 'kept')
     SELECT coalesce(t.facility_key, z.facility_key) AS facility_key, coalesce(z.name, t.name) AS name, phone_number, admin, city, zipcode, website, county_name,
       t.notes, CASE WHEN t.facility_key IS NULL THEN 'insert' WHEN z.facility_key IS NULL THEN 'keep' ELSE 'update' END AS action
     FROM t FULL JOIN fz z ON t.facility_key = z.facility_key""",
 )
 def upsert_facilities(v: Views) -> DataFrame:
-    rows = merge.facility_rows(v.facility_list)
-    seqs = joins_seq(v)
-    old = rows.join(seqs, "facility_key").filter("seq % 2 = 0").select("facility_key")
+    old = merge.facility_rows(v.facility_list).filter("website is not null").select("facility_key")
     old = old.unionByName(v.region.filter("r_regionkey = 0").select(F.lit("gone|x").alias("facility_key")))
     empty = [F.lit(None).cast("string").alias(c) for c in FACILITY_COLUMNS[2:]]
     target = old.select("facility_key", F.lit("old").alias("name"), *empty, F.lit("kept").alias("notes"))
     return merge.upsert_facilities(target, v.facility_list).withColumnRenamed("_action", "action")
 
 
-def joins_seq(v: Views) -> DataFrame:
-    """Last list position per facility key."""
-    key = X.normalize_facility_key(
-        X.facility_key(*[F.col(c) for c in ("FacilityKey", "County", "FacilityName", "City", "Zip", "NCES_ID")])
-    )
-    keyed = v.facility_list.select(key.alias("facility_key"), "seq").filter("facility_key is not null")
-    return keyed.groupBy("facility_key").agg(F.max("seq").alias("seq"))
-
-
 CITY_KEY = f"'cps|' || regexp_replace(regexp_replace({norm_sql('school_name')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 DIRECTORY_SQL = f"""d AS (SELECT *, {CITY_KEY} AS facility_key, trim(school_name) AS nm FROM directory_rows WHERE is_high_school),
     p AS (SELECT facility_key, nm, phone, website, seq, u.* FROM d, LATERAL (
@@ -342,14 +332,14 @@ def contact_rank(v: Views) -> DataFrame:
 
 @query(
     "upsert_city_schools",
-    f"""WITH {DIRECTORY_SQL}, t AS (SELECT {CITY_KEY} AS facility_key, 'old' AS name FROM directory_rows WHERE seq % 3 = 0)
+    f"""WITH {DIRECTORY_SQL}, t AS (SELECT {CITY_KEY} AS facility_key, 'old' AS name FROM directory_rows WHERE trim(administrator_name) = '')
     SELECT coalesce(t.facility_key, d.facility_key) AS facility_key, coalesce(d.nm, t.name) AS name, d.phone AS phone_number, d.website, r.contact_name AS admin,
       CASE WHEN t.facility_key IS NULL THEN 'insert' WHEN d.facility_key IS NULL THEN 'keep' ELSE 'update' END AS action
     FROM t FULL JOIN d ON t.facility_key = d.facility_key LEFT JOIN r ON r.facility_key = d.facility_key AND rk = 1""",
 )
 def upsert_city_schools(v: Views) -> DataFrame:
     none = F.lit(None).cast("string")
-    target = v.directory_rows.filter("seq % 3 = 0").select(
+    target = v.directory_rows.filter("trim(administrator_name) = ''").select(
         X.city_school_key("school_name").alias("facility_key"), F.lit("old").alias("name"),
         none.alias("phone_number"), none.alias("website"), none.alias("admin"),
     )
@@ -360,9 +350,8 @@ def _key_sql(*cols: str) -> str:
     return ", ".join(norm_sql(c) for c in cols)
 
 
-STAFF_TARGET_SQL = f"""tg AS (SELECT row_number() OVER (ORDER BY name, phone, email, job_name, school_worked_at, seq, pos) AS rn, * FROM lk WHERE seq % 2 = 0),
-    inc AS (SELECT * FROM lk QUALIFY row_number() OVER (PARTITION BY {_key_sql('name', 'email', 'job_name', 'school_worked_at')} ORDER BY seq DESC, pos DESC) = 1),
-    old AS (SELECT seq * 10 + pos AS staff_id, upper(name) AS name, 'old' AS phone, email, job_name, school_worked_at, true AS is_verified FROM lk WHERE seq % 2 = 0),
+STAFF_TARGET_SQL = f"""inc AS (SELECT * FROM lk QUALIFY row_number() OVER (PARTITION BY {_key_sql('name', 'email', 'job_name', 'school_worked_at')} ORDER BY seq DESC, pos DESC) = 1),
+    old AS (SELECT seq * 10 + pos AS staff_id, upper(name) AS name, 'old' AS phone, email, job_name, school_worked_at, true AS is_verified FROM lk WHERE email IS NOT NULL),
     ok AS (SELECT {norm_sql('name')} AS k1, {norm_sql('email')} AS k2, {norm_sql('job_name')} AS k3, {norm_sql('school_worked_at')} AS k4, max(staff_id) AS staff_id
       FROM old GROUP BY ALL),
     mt AS (SELECT inc.*, ok.staff_id FROM inc LEFT JOIN ok ON k1 = {norm_sql('name')} AND k2 = {norm_sql('email')} AND k3 = {norm_sql('job_name')}
@@ -379,7 +368,7 @@ def _linked(v: Views) -> DataFrame:
 
 
 def _old_staff(linked: DataFrame) -> DataFrame:
-    return linked.filter("seq % 2 = 0").select(
+    return linked.filter("email is not null").select(
         (F.col("seq") * 10 + F.col("pos")).alias("staff_id"), F.upper("name").alias("name"), F.lit("old").alias("phone"), "email", "job_name",
         "school_worked_at", F.lit(True).alias("is_verified"), F.lit(None).cast("timestamp_ntz").alias("last_verified_at"),
     )
@@ -405,7 +394,7 @@ def reset_verification_on_change(v: Views) -> DataFrame:
 @query(
     "upsert_staff_city",
     f"""WITH {DIRECTORY_SQL}, inc AS (SELECT contact_name AS name, phone, job_name, facility_key AS school_worked_at, seq, slot FROM p),
-    o AS (SELECT seq * 10 + slot AS staff_id, name, job_name, school_worked_at FROM inc WHERE seq % 2 = 0)
+    o AS (SELECT seq * 10 + slot AS staff_id, name, job_name, school_worked_at FROM inc WHERE phone IS NOT NULL)
     SELECT o.staff_id, i.name, i.phone, cast(NULL AS varchar) AS email, i.job_name, i.school_worked_at,
       CASE WHEN o.staff_id IS NULL THEN 'insert' ELSE 'update' END AS action
     FROM inc i LEFT JOIN o ON o.name = i.name AND o.school_worked_at = i.school_worked_at AND o.job_name IS NOT DISTINCT FROM i.job_name""",
@@ -413,7 +402,7 @@ def reset_verification_on_change(v: Views) -> DataFrame:
 def upsert_staff_city(v: Views) -> DataFrame:
     rows = merge.city_staff_rows(_directory(v))
     slot = F.when(F.col("job_name") == "Principal", 0).otherwise(1)
-    old = rows.filter("seq % 2 = 0").select(
+    old = rows.filter("phone is not null").select(
         (F.col("seq") * 10 + slot).alias("staff_id"), "name", F.lit("x").alias("phone"), "email", "job_name", "school_worked_at"
     )
     return merge.upsert_staff(old, rows, ["seq", "pos"]).withColumnRenamed("_action", "action")
@@ -456,9 +445,10 @@ def upsert_by_optional_id(v: Views) -> DataFrame:
 # --- list files ---------------------------------------------------------------------------
 
 LIST_FIELDS = ["FacilityName", "City", "Website", "Telephone"]
-SCHOOL_LIST_SQL = f"""e AS (SELECT 0 AS src, seq, FacilityName, City, Website, Telephone FROM facility_list WHERE seq % 2 = 0),
-    i AS (SELECT 1 AS src, seq, CASE WHEN seq % 3 = 0 THEN upper(FacilityName) ELSE FacilityName END AS FacilityName, City,
-      CASE WHEN seq % 5 = 0 THEN NULL WHEN seq % 7 = 0 THEN '' ELSE Website END AS Website, cast(NULL AS varchar) AS Telephone FROM facility_list WHERE seq % 3 < 2),
+SCHOOL_LIST_SQL = f"""e AS (SELECT 0 AS src, seq, FacilityName, City, Website, Telephone FROM facility_list),
+    i AS (SELECT 1 AS src, seq, CASE seq % 4 WHEN 0 THEN upper(FacilityName) WHEN 1 THEN 'New ' || FacilityName ELSE FacilityName END AS FacilityName,
+      CASE WHEN seq % 4 = 2 THEN 'Elsewhere' ELSE City END AS City,
+      CASE WHEN seq % 5 = 0 THEN NULL WHEN seq % 7 = 0 THEN '' ELSE Website END AS Website, cast(NULL AS varchar) AS Telephone FROM facility_list),
     ek AS (SELECT *, lower({strip_sql("coalesce(FacilityName, '')")}) AS a, lower({strip_sql("coalesce(City, '')")}) AS b FROM e
       QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY seq) = 1),
     u AS (SELECT * FROM ek UNION ALL SELECT *, lower({strip_sql("coalesce(FacilityName, '')")}), lower({strip_sql("coalesce(City, '')")}) FROM i),
@@ -470,14 +460,16 @@ SCHOOL_LIST_SQL = f"""e AS (SELECT 0 AS src, seq, FacilityName, City, Website, T
 def _merged_list(v: Views) -> DataFrame:
     rows = v.facility_list.select("seq", *LIST_FIELDS)
     s = F.col("seq")
-    incoming = rows.filter("seq % 3 < 2").withColumns(
+    renamed = F.when(s % 4 == 0, F.upper("FacilityName")).when(s % 4 == 1, F.concat(F.lit("New "), "FacilityName"))
+    incoming = rows.withColumns(
         {
-            "FacilityName": F.when(s % 3 == 0, F.upper("FacilityName")).otherwise(F.col("FacilityName")),
+            "FacilityName": F.when(s % 4 < 2, renamed).otherwise(F.col("FacilityName")),
+            "City": F.when(s % 4 == 2, "Elsewhere").otherwise(F.col("City")),
             "Website": F.when(s % 5 == 0, F.lit(None)).when(s % 7 == 0, "").otherwise(F.col("Website")),
             "Telephone": F.lit(None).cast("string"),
         }
     )
-    return merge.merge_school_list(rows.filter("seq % 2 = 0"), incoming, LIST_FIELDS)
+    return merge.merge_school_list(rows, incoming, LIST_FIELDS)
 
 
 @query("merge_school_list", f'WITH {SCHOOL_LIST_SQL} SELECT "FacilityName", "City", "Website", "Telephone", action FROM g')
@@ -561,11 +553,11 @@ def dedupe_contacts(v: Views) -> DataFrame:
 
 
 def _delete(v: Views) -> merge.SchoolTables:
-    doomed = v.school_rows.filter("school_id % 5 = 0").select(F.col("facility_key").alias("school_id"))
+    doomed = v.school_rows.filter("not is_active").select(F.col("facility_key").alias("school_id"))
     return merge.cascade_delete_school(v.school_rows, v.staff_rows, v.junction_rows, doomed)
 
 
-GONE_SQL = """WITH d AS (SELECT facility_key FROM school_rows WHERE school_id % 5 = 0),
+GONE_SQL = """WITH d AS (SELECT facility_key FROM school_rows WHERE NOT is_active),
     g AS (SELECT staff_id FROM staff_rows WHERE school_worked_at IN (SELECT facility_key FROM d))"""
 
 
@@ -758,18 +750,18 @@ def apply_changes(v: Views) -> DataFrame:
 
 @query(
     "cascade_changes",
-    """WITH cuts AS (SELECT o_custkey % 60 AS parent, o_orderkey AS seq FROM orders WHERE o_orderkey % 11 = 0),
+    """WITH cuts AS (SELECT o_custkey % 60 AS parent, o_orderkey AS seq FROM orders WHERE o_orderpriority = '5-LOW'),
     base AS (SELECT p_partkey AS id, p_partkey % 60 AS parent FROM part),
-    w AS (SELECT o_custkey AS id, o_orderkey AS seq, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderkey % 60 END AS parent FROM orders WHERE o_orderkey % 11 <> 0),
+    w AS (SELECT o_custkey AS id, o_orderkey AS seq, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderkey % 60 END AS parent FROM orders WHERE o_orderpriority <> '5-LOW'),
     ver AS (SELECT id, seq, parent, lead(seq) OVER (PARTITION BY id ORDER BY seq) AS nxt FROM (SELECT id, -1 AS seq, parent FROM base UNION ALL SELECT id, seq, parent FROM w) x),
     hit AS (SELECT v.id, v.seq AS vs, min(c.seq) AS seq FROM ver v JOIN cuts c ON c.parent = v.parent AND c.seq > v.seq AND (v.nxt IS NULL OR c.seq < v.nxt) GROUP BY ALL)
     SELECT DISTINCT id, seq FROM hit""",
 )
 def cascade_changes(v: Views) -> DataFrame:
     k = F.col("o_orderkey")
-    cuts = v.orders.filter("o_orderkey % 11 = 0").select((F.col("o_custkey") % 60).alias("parent"), k.alias("seq"))
+    cuts = v.orders.filter("o_orderpriority = '5-LOW'").select((F.col("o_custkey") % 60).alias("parent"), k.alias("seq"))
     base = v.part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 60).alias("parent"))
-    log = v.orders.filter("o_orderkey % 11 <> 0").select(
+    log = v.orders.filter("o_orderpriority <> '5-LOW'").select(
         F.col("o_custkey").alias("id"), k.alias("seq"), F.when(F.col("o_orderstatus") == "F", "DELETE").otherwise("UPDATE").alias("op"),
         F.struct((k % 60).alias("parent")).alias("payload"),
     )

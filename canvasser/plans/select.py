@@ -337,11 +337,11 @@ def plain_name_sql(c: str) -> str:
 @query(
     "resume_pending",
     f"""WITH k AS (SELECT *, {plain_name_sql('FacilityName')} AS a, {plain_name_sql('City')} AS b FROM facility_list)
-    SELECT seq, FacilityName, City FROM k WHERE (a, b) NOT IN (SELECT (a, b) FROM k WHERE seq % 2 = 0)""",
+    SELECT seq, FacilityName, City FROM k WHERE (a, b) NOT IN (SELECT (a, b) FROM k WHERE Zip IS NULL)""",
 )
 def resume_pending(v: Views) -> DataFrame:
     rows = v.facility_list.select("seq", "FacilityName", "City")
-    done = rows.filter("seq % 2 = 0").withColumn("FacilityName", F.upper("FacilityName"))
+    done = v.facility_list.filter("Zip is null").select(F.upper("FacilityName").alias("FacilityName"), "City")
     return joins.resume_pending(rows, done)
 
 
