@@ -42,7 +42,8 @@ def squeeze(c: Column | str) -> Column:
 
 
 def blank_to_null(c: Column | str) -> Column:
-    return F.nullif(_col(c), F.lit(""))
+    c = _col(c)
+    return F.when(c != "", c)
 
 
 def clean_text(c: Column | str) -> Column:

@@ -143,6 +143,7 @@ def table_view(df: DataFrame, search: str, columns: Sequence[str], sort: Column,
 
 
 def paginate(df: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
+    """A page of a totally ordered table. Deep pages cost their offset; prefer ``keyset_page``."""
     return df.orderBy(*order).offset(page * size).limit(size)
 
 

@@ -48,15 +48,16 @@ def merge_upsert(
     incoming row per key wins; without it the incoming keys must be unique.
     """
     keys = list(keys)
-    columns = target.columns
-    given = [c for c in incoming.columns if c in columns]
+    types = {f.name: f.dataType for f in target.schema.fields}
+    columns = list(types)
+    given = [c for c in incoming.columns if c in types]
     overlay = [c for c in (overlay if overlay is not None else given) if c not in keys]
     defaults = dict(defaults or {})
 
     def fresh(c: str, source: str) -> Column:
         if c in given:
             return F.col(source)
-        return defaults.get(c, F.lit(None)).cast(target.schema[c].dataType)
+        return defaults.get(c, F.lit(None)).cast(types[c])
 
     keyed = incoming.filter(_complete(keys))
     if seq:
@@ -71,12 +72,12 @@ def merge_upsert(
         value = F.when(is_new, fresh(c, f"_in_{c}"))
         if c in overlay:
             value = value.when(is_hit, F.col(f"_in_{c}"))
-        return value.otherwise(F.col(c)).cast(target.schema[c].dataType).alias(c)
+        return value.otherwise(F.col(c)).cast(types[c]).alias(c)
 
     action = F.when(is_new, "insert").when(is_hit, "update").otherwise("keep")
     out = joined.select(*[merged(c) for c in columns], action.alias("_action"))
     loose = incoming.filter(~_complete(keys)).select(
-        *[fresh(c, c).cast(target.schema[c].dataType).alias(c) for c in columns], F.lit("insert").alias("_action")
+        *[fresh(c, c).cast(types[c]).alias(c) for c in columns], F.lit("insert").alias("_action")
     )
     unkeyed = target.filter(~_complete(keys)).withColumn("_action", F.lit("keep"))
     return out.unionByName(loose).unionByName(unkeyed)

@@ -10,7 +10,7 @@ from canvasser.operators import catalog, extract, metrics
 from canvasser.plans.bindings import AS_OF, Views
 from canvasser.plans.load import COMBINED_SQL, results
 from canvasser.plans.registry import query
-from canvasser.plans.select import COUNTY, COUNTY_SUMMARY_SQL, HAS_COUNTY
+from canvasser.plans.lookup import COUNTY, COUNTY_SUMMARY_SQL, HAS_COUNTY
 
 SIX = "timestamp '2001-02-01 00:00:00'"
 FACTS_SQL = """a AS (SELECT school_id, count(*) AS activities, max(date) AS latest FROM activities GROUP BY 1),

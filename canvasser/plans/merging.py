@@ -10,7 +10,7 @@ from canvasser.operators import catalog, joins, merge
 from canvasser.plans.bindings import AS_OF, Views
 from canvasser.plans.load import URL_CLEAN, city_directory, clean_sql, norm_sql, results, rules, strip_sql
 from canvasser.plans.registry import query
-from canvasser.plans.select import FACILITIES_SQL, LINKED_SQL, completed_with_list_names, plain_name_sql
+from canvasser.plans.lookup import FACILITIES_SQL, LINKED_SQL, completed_with_list_names, plain_name_sql
 
 # --- set operations -----------------------------------------------------------------------
 

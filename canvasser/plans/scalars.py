@@ -13,7 +13,7 @@ from canvasser.plans.bindings import Views
 from canvasser.plans.load import ROLE_SQL, WS, clean_sql, norm_sql, strip_sql
 from canvasser.plans.merging import CITY_KEY
 from canvasser.plans.registry import query
-from canvasser.plans.select import FACILITY_KEY_SQL, NORM_KEY_SQL, plain_name_sql, ratio_sql
+from canvasser.plans.lookup import FACILITY_KEY_SQL, NORM_KEY_SQL, plain_name_sql, ratio_sql
 
 
 def case_sql(column: str, mapping: dict[str, str], default: str = "NULL") -> str:

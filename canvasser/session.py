@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Deep pages (order, offset, limit) are sorted by the executors, not gathered on the driver.
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
     # Pages are large values, so batches handed to Python hold fewer of them.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }

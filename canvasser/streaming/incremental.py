@@ -51,7 +51,10 @@ def upsert_sink(table: KeyedTable, rows: DataFrame, seq: str) -> None:
 
 
 def cursor_batch(df: DataFrame, key: str, size: int, start: int = 0) -> DataFrame:
-    """Slice [start, start + size) in key order; a start behind the end begins again."""
+    """Slice [start, start + size) in key order; a start behind the end begins again.
+
+    A position costs all rows before it; long runs should keep a key instead (``cursor_after``).
+    """
     ordered = df.orderBy(key)
     page = ordered.offset(start).limit(size)
     again = ordered.limit(size).filter(F.lit(start) >= df.agg(F.count("*")).scalar())
