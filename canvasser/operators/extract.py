@@ -173,13 +173,26 @@ def title_match(line: Column, mode: str = "substring") -> Column:
     return low.rlike(wanted) & ~low.rlike(unwanted)
 
 
+def _may_signal(html: str) -> Column:
+    """Necessary condition for a contact signal, so that other pages are never parsed.
+
+    Character references could spell any part of a signal, as could the one letter whose
+    upper case is a plain S.
+    """
+    low = F.lower(F.col(html))
+    possible = F.lit(False)
+    for mark in ("@", "email", "message", "mailto:", "sendto:", "&#", "&commat", "ſ"):
+        possible = possible | F.contains(low, F.lit(mark))
+    return possible
+
+
 def extract_blocks(pages: DataFrame) -> DataFrame:
     """One block of lines per signal and page: (page_id, url, signal, link_email, lines).
 
     Climbing from the signal, the first enclosing element with an e-mail, phone or title word
     ends the search, else the outermost one counts. Equal blocks of a page are kept once.
     """
-    levels = pages.select("page_id", "url", "html").mapInPandas(_blocks_of, BLOCK_SCHEMA)
+    levels = pages.filter(_may_signal("html")).select("page_id", "url", "html").mapInPandas(_blocks_of, BLOCK_SCHEMA)
     terms = _term_pattern(M.TITLE_TERMS)
     telling = F.exists(
         "lines",

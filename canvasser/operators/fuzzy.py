@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,6 +27,7 @@ def _common_length(a: str, b: str) -> int:
     return len(a) - open_bits.bit_count()
 
 
+@lru_cache(maxsize=100_000)
 def ratio(a: str | None, b: str | None) -> float | None:
     """200 * LCS / (len a + len b) on trimmed lower-case text; 100 for two empty texts."""
     if a is None or b is None:
@@ -101,6 +103,9 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, threshold: float = 70.0,
     # 200 * min / (sum) is the highest ratio two lengths allow.
     reachable = 200.0 * F.least(name_len, label_len) > F.lit(threshold) * (name_len + label_len)
     pairs = rarest.join(gram_rows, [*on, "gram"]).filter(has_words & reachable)
+    # Scoring is the expensive step: spread the pairs evenly, whatever block they come from,
+    # with equal pairs of different scopes side by side for the cache.
+    pairs = pairs.select(*on, "school_name", "_text", "label", "pos").hint("rebalance", "_text", "label")
     # The threshold is applied inside the aggregate: a filter would run the ratio twice.
     scored = pairs.select(*on, "school_name", "label", "pos", indel_ratio("_text", "label").alias("score"))
     rank = F.struct("score", (-F.col("pos")).alias("back"), "label")

@@ -84,6 +84,14 @@ def test_cards(spark):
     assert rows(extract.pagination_links(pages), "ord", "target") == [(0, "https://a.org/p2"), (1, "https://o.org/n"), (2, "https://a.org/q?page=3")]
 
 
+def test_signals_behind_character_references(spark):
+    card = "<div><p>Ann Lee</p><p>Dean</p><p>{}</p></div>"
+    texts = ["a&#64;b.org", "a&commat;b.org", "Send &#101;mail", "nothing"]
+    pages = spark.createDataFrame([(i, "u", card.format(t)) for i, t in enumerate(texts)], "page_id bigint, url string, html string")
+    got = rows(extract.assign_fields(extract.extract_blocks(pages)), "page_id", "name", "email")
+    assert got == [(0, "Ann Lee", "a@b.org"), (1, "Ann Lee", "a@b.org"), (2, "Ann Lee", "")]
+
+
 def test_titles_and_links(spark):
     df = spark.createDataFrame([("Student Services",), ("Assistant Principal",), ("DEAN",), ("Deanery",), (None,)], "x string")
     got = [tuple(r) for r in df.select(extract.title_match(F.col("x")), extract.title_match(F.col("x"), "word")).collect()]
