@@ -30,11 +30,10 @@ def extract_signals(df: DataFrame, key: str, text: str) -> DataFrame:
         return F.when(possible, F.struct(F.lit(kind).alias("kind"), hits.alias("values")))
 
     # Cheap necessary conditions keep the expensive patterns off most texts.
-    low = F.lower(F.col(text))
     kinds = F.array(
         found("email", M.EMAIL_PATTERN, F.col(text).contains("@")),
         found("phone", M.PHONE_PATTERN, F.col(text).rlike(r"\d{4}")),
-        found("message", _MESSAGE, low.contains("email") | low.contains("message")),
+        found("message", _MESSAGE, F.col(text).rlike("(?i)email|message")),
     )
     rows = df.select(key, F.inline(F.array_compact(kinds)))
     return rows.select(key, "kind", F.posexplode("values").alias("ord", "value"))
@@ -179,10 +178,10 @@ def _may_signal(html: str) -> Column:
     Character references could spell any part of a signal, as could the one letter whose
     upper case is a plain S.
     """
-    low = F.lower(F.col(html))
-    possible = F.lit(False)
-    for mark in ("@", "email", "message", "mailto:", "sendto:", "&#", "&commat", "ſ"):
-        possible = possible | F.contains(low, F.lit(mark))
+    page = F.col(html)
+    possible = page.rlike("(?i)email|message|mailto:|sendto:|&commat")
+    for mark in ("@", "&#", "ſ"):
+        possible = page.contains(mark) | possible
     return possible
 
 
@@ -211,6 +210,12 @@ def extract_blocks(pages: DataFrame) -> DataFrame:
     )
 
 
+def _evaluated_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator of one row, so that the optimizer does not copy their
+    expressions into every place that uses them (such as a lambda run per array element)."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def assign_fields(blocks: DataFrame) -> DataFrame:
     """Contact fields of each block; blocks without a title are dropped.
 
@@ -218,31 +223,39 @@ def assign_fields(blocks: DataFrame) -> DataFrame:
     one with a phone the phone, the first other title line the title, the first plain line
     left the name; the first plain line that is neither name nor title is the department.
     """
-    lines = F.col("lines")
-    first = lambda arr: F.get(arr, F.lit(0))
-    has_mail = lambda x: x.rlike(M.EMAIL_PATTERN)
-    has_phone = lambda x: x.rlike(M.PHONE_PATTERN)
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    df = blocks.withColumn("_l", numbered)
-    df = df.withColumn("_mail", first(F.filter("_l", lambda r: has_mail(r["x"]))))
-    at_mail, at_phone = F.coalesce("_mail.i", F.lit(-1)), F.coalesce("_phone.i", F.lit(-1))
-    df = df.withColumn("_phone", first(F.filter("_l", lambda r: has_phone(r["x"]) & (r["i"] != at_mail))))
-    free = lambda r: (r["i"] != at_mail) & (r["i"] != at_phone)
-    df = df.withColumn("_title", first(F.filter("_l", lambda r: title_match(r["x"]) & free(r))))
-    at_title = F.coalesce("_title.i", F.lit(-1))
-    plain = lambda x: ~has_mail(x) & ~has_phone(x) & ~x.rlike(_MESSAGE)
-    df = df.withColumn(
-        "_name", first(F.filter("_l", lambda r: plain(r["x"]) & free(r) & (r["i"] != at_title)))
+    line = F.transform(
+        "lines",
+        lambda x: F.struct(
+            x.alias("x"),
+            x.rlike(M.EMAIL_PATTERN).alias("mail"),
+            x.rlike(M.PHONE_PATTERN).alias("phone"),
+            title_match(x).alias("title"),
+            x.rlike(_MESSAGE).alias("noise"),
+        ),
     )
-    name, title = F.coalesce("_name.x", F.lit("")), F.col("_title.x")
-    dept = first(F.filter(lines, lambda x: plain(x) & (x != name) & (x != title)))
-    mail = X.blank_to_null(F.regexp_extract(F.col("_mail.x"), f"({M.EMAIL_PATTERN})", 1))
-    return df.filter("_title is not null").select(
+    df = _evaluated_once(blocks, _lines=line)
+    empty = F.lit(None).cast("string")
+    start = F.struct(*[empty.alias(c) for c in ("mail", "phone", "title", "name")])
+    plain = lambda r: ~r["mail"] & ~r["phone"] & ~r["noise"]
+
+    def step(found: Column, r: Column) -> Column:
+        as_mail = found["mail"].isNull() & r["mail"]
+        as_phone = ~as_mail & found["phone"].isNull() & r["phone"]
+        as_title = ~as_mail & ~as_phone & found["title"].isNull() & r["title"]
+        as_name = ~as_mail & ~as_phone & ~as_title & found["name"].isNull() & plain(r)
+        takes = {"mail": as_mail, "phone": as_phone, "title": as_title, "name": as_name}
+        return F.struct(*[F.when(take, r["x"]).otherwise(found[c]).alias(c) for c, take in takes.items()])
+
+    df = _evaluated_once(df, _f=F.aggregate("_lines", start, step)).filter("_f.title is not null")
+    name = F.coalesce("_f.name", F.lit(""))
+    rest = F.filter("_lines", lambda r: plain(r) & (r["x"] != name) & (r["x"] != F.col("_f.title")))
+    mail = X.blank_to_null(F.regexp_extract(F.col("_f.mail"), f"({M.EMAIL_PATTERN})", 1))
+    return df.select(
         "page_id", "url", "signal",
         X.word_title(name).alias("name"),
-        X.word_title(title).alias("title"),
-        X.word_title(dept).alias("dept"),
-        F.coalesce(F.trim(F.regexp_extract(F.col("_phone.x"), f"({M.PHONE_PATTERN})", 1)), F.lit("")).alias("phone"),
+        X.word_title("_f.title").alias("title"),
+        X.word_title(F.get(rest, F.lit(0))["x"]).alias("dept"),
+        F.coalesce(F.trim(F.regexp_extract(F.col("_f.phone"), f"({M.PHONE_PATTERN})", 1)), F.lit("")).alias("phone"),
         F.lower(F.trim(F.coalesce(mail, "link_email", F.lit("")))).alias("email"),
     )
 
