@@ -583,3 +583,21 @@ def cascade_changes(base: DataFrame, changes: DataFrame, key: str, parent: str,
     hit = stored.select(key, "_cut_seq", "_next").unionByName(logged.select(key, "_cut_seq", "_next"))
     hit = hit.filter("_next is null or _cut_seq < _next")
     return hit.select(key, F.col("_cut_seq").alias("seq")).distinct()
+
+
+def apply_school_changes(
+    schools: DataFrame, contacts: DataFrame, school_log: DataFrame, contact_log: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Schools and contacts after their action logs; deleting a school deletes its contacts.
+
+    Both logs share one numbering. Keys are ``school_id`` and ``contact_id``; contacts (and
+    their payloads) carry the ``school_id`` they belong to.
+    """
+    cuts = school_log.filter("op = 'DELETE'").select("school_id", "seq")
+    gone = cascade_changes(contacts, contact_log, "contact_id", "school_id", cuts)
+    payload = F.lit(None).cast(contact_log.schema["payload"].dataType)
+    removed = gone.select("seq", F.lit("DELETE").alias("op"), "contact_id", payload.alias("payload"), F.lit(None).cast("timestamp_ntz").alias("at"))
+    return (
+        apply_changes(schools, school_log, "school_id"),
+        apply_changes(contacts, contact_log.select(*removed.columns).unionByName(removed), "contact_id"),
+    )

@@ -766,3 +766,22 @@ def cascade_changes(v: Views) -> DataFrame:
         F.struct((k % 60).alias("parent")).alias("payload"),
     )
     return merge.cascade_changes(base, log, "id", "parent", cuts)
+
+
+@query(
+    "apply_school_changes",
+    """WITH cuts AS (SELECT school_id, seq FROM action_log WHERE op = 'DELETE'),
+    m AS (SELECT seq, school_id AS new_school, name FROM action_log WHERE op = 'UPDATE'),
+    c AS (SELECT contact_id, c.school_id, email, m.seq, m.new_school, m.name, (SELECT min(seq) FROM cuts WHERE cuts.school_id = c.school_id) AS first_cut
+      FROM contacts c LEFT JOIN m ON m.seq = c.contact_id),
+    k AS (SELECT *, seq IS NOT NULL AND (first_cut IS NULL OR first_cut > seq) AS moved FROM c)
+    SELECT contact_id, CASE WHEN moved THEN new_school ELSE school_id END AS school_id, CASE WHEN moved THEN name ELSE email END AS email
+    FROM k WHERE CASE WHEN moved THEN NOT EXISTS (SELECT 1 FROM cuts x WHERE x.school_id = k.new_school AND x.seq > k.seq) ELSE first_cut IS NULL END""",
+)
+def apply_school_changes(v: Views) -> DataFrame:
+    """Contacts after a log that moves some of them and deletes schools in between."""
+    contacts = v.contacts.select("contact_id", "school_id", "email")
+    moves = v.action_log.filter("op = 'UPDATE'").select(
+        "seq", "op", F.col("seq").alias("contact_id"), F.struct("school_id", F.col("name").alias("email")).alias("payload"), "at"
+    )
+    return merge.apply_school_changes(v.action_base, contacts, action_log(v), moves)[1]

@@ -271,3 +271,32 @@ def test_cascade_equals_replay(spark):
     c = spark.createDataFrame([(s, op, k, (p,)) for s, op, k, p in log], "seq bigint, op string, id int, payload struct<school:int>")
     d = spark.createDataFrame([(p, s) for s, p in cuts], "school int, seq bigint")
     assert {tuple(r) for r in merge.cascade_changes(b, c, "id", "school", d).collect()} == want
+
+
+def test_school_and_contact_logs_equal_replay(spark):
+    rng = random.Random(21)
+    schools, contacts = {s: "s" for s in range(6)}, {c: c % 6 for c in range(30)}
+    school_log, contact_log = [], []
+    for seq in range(400):
+        if rng.random() < 0.2:
+            school_log.append((seq, rng.choice(["ADD", "DELETE", "UPDATE"]), rng.randrange(8), (f"n{seq}",)))
+        else:
+            contact_log.append((seq, rng.choice(["ADD", "UPDATE", "UPDATE", "DELETE"]), rng.randrange(40), (rng.randrange(8),)))
+    want_s, want_c = dict(schools), dict(contacts)
+    for seq, op, key, payload, kind in sorted([(*x, "s") for x in school_log] + [(*x, "c") for x in contact_log]):
+        table = want_s if kind == "s" else want_c
+        if op == "DELETE":
+            table.pop(key, None)
+            if kind == "s":
+                want_c = {c: s for c, s in want_c.items() if s != key}
+        elif op == "ADD" or key in table:
+            table[key] = payload[0]
+    now = dt.datetime(2024, 1, 1)
+    make = spark.createDataFrame
+    got_s, got_c = merge.apply_school_changes(
+        make(list(schools.items()), "school_id int, name string"),
+        make(list(contacts.items()), "contact_id int, school_id int"),
+        make([(*x, now) for x in school_log], "seq bigint, op string, school_id int, payload struct<name:string>, at timestamp_ntz"),
+        make([(*x, now) for x in contact_log], "seq bigint, op string, contact_id int, payload struct<school_id:int>, at timestamp_ntz"),
+    )
+    assert dict(got_s.collect()) == want_s and dict(got_c.collect()) == want_c
