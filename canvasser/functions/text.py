@@ -88,6 +88,7 @@ def facility_key(existing, county, name, city, zipcode, nces) -> Column:
 
 
 def city_school_key(name) -> Column:
+    """Key of a school known from the city directory only (the prefix is a fixed value)."""
     return F.concat(F.lit("cps|"), slug(name))
 
 

@@ -30,6 +30,8 @@ def apply(spark):
 def test_blank_handling(apply):
     assert apply(X.clean_text, ["  a b ", " \t", None, " x "]) == ["a b", None, None, "x"]
     assert apply(X.normalize_text, [" A  \tB ", None, "  "]) == ["a b", "", ""]
+    odd = "\u00a0\u2003 a\u00a0\u3000b\u2028"
+    assert apply(X.clean_text, [odd]) == ["a\u00a0\u3000b"] and apply(X.normalize_text, [odd]) == ["a b"]
     assert apply(X.has_text, ["x", " ", None]) == [True, False, False]
 
 
