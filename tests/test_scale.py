@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from canvasser.functions.ordering import latest_per_key
-from canvasser.operators import joins, merge
+from canvasser.operators import joins, merge, metrics
+from canvasser.plans.bindings import AS_OF, views
+from canvasser.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 N = 150_000
@@ -97,5 +99,21 @@ def test_scans_are_pruned(spark, no_broadcast):
     assert plan.count("Exchange hashpartitioning(school_id") == 5
 
 
+def test_tables_saved_by_school_need_no_exchange(spark, no_broadcast, tmp_path):
+    v = views(spark, SF)
+    names = ["schools", "contacts", "activities", "participation", "programs"]
+    for name in names:
+        sinks.save_by_key(getattr(v, name), f"by_school_{name}", "school_id", 4, str(tmp_path / name))
+    try:
+        saved = [spark.table(f"by_school_{name}") for name in names]
+        out = metrics.engagement_score(*saved, AS_OF)
+        assert "Exchange" not in plan_of(out)
+        direct = metrics.engagement_score(*[getattr(v, name) for name in names], AS_OF)
+        assert rows(out) == rows(direct)
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE by_school_{name}")
+
+
 def test_rows_helper(table):
     assert rows(table([(2,), (1,), (None,)], "a int")) == [(None,), (1,), (2,)]
