@@ -44,10 +44,8 @@ def indel_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
 
 
 def _grams(c: F.Column, size: int) -> F.Column:
-    """All substrings of a given size, as an array."""
-    positions = F.when(F.length(c) >= size, F.sequence(F.lit(1), F.length(c) - size + 1))
-    made = F.transform(positions, lambda i: c.substr(i.cast("int"), F.lit(size)))
-    return F.coalesce(made, F.array().cast("array<string>"))
+    """All substrings of a given size, as an array (a look-ahead finds overlapping ones)."""
+    return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
 def _needed_grams(token: F.Column) -> F.Column:
