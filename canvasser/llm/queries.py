@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canvasser.llm import bpe_tables, decontaminate, token_counts
+from canvasser.llm import bpe_tables, decontaminate, quality, token_counts, toxicity
 from canvasser.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -22,6 +22,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -30,8 +34,12 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tables.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op6_token_counts, op9_bpe_round_trip)
+    f.__name__: f for f in (op1_decontaminate, op4_toxicity, op6_token_counts, op9_bpe_round_trip, op10_quality)
 }
 
 # Fixed value: the words of the contract, after A-Z are folded.
