@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canvasser.llm import bpe_tables, decontaminate, quality, token_counts, toxicity
+from canvasser.llm import bpe_tables, decontaminate, neighbours, quality, token_counts, toxicity
 from canvasser.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -22,6 +22,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,7 +43,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op4_toxicity, op6_token_counts, op9_bpe_round_trip, op10_quality)
+    f.__name__: f for f in (op1_decontaminate, op3_neighbours, op4_toxicity, op6_token_counts, op9_bpe_round_trip, op10_quality)
 }
 
 # Fixed value: the words of the contract, after A-Z are folded.
