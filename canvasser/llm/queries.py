@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canvasser.llm import bpe_tables, decontaminate, jaccard, neighbours, quality, token_counts, toxicity
+from canvasser.llm import bpe_tables, decontaminate, jaccard, neighbours, quality, repeats, token_counts, toxicity
 from canvasser.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,6 +38,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.report(table(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tables.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -47,7 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op3_neighbours, op4_toxicity, op6_token_counts, op7_jaccard_join, op9_bpe_round_trip, op10_quality)
+    f.__name__: f for f in (op1_decontaminate, op3_neighbours, op4_toxicity, op6_token_counts, op7_jaccard_join, op8_repeats, op9_bpe_round_trip, op10_quality)
 }
 
 # Fixed value: the words of the contract, after A-Z are folded.
