@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canvasser.llm import bpe_tables, decontaminate, jaccard, neighbours, quality, repeats, token_counts, toxicity
+from canvasser.llm import bpe_tables, decontaminate, jaccard, licences, lines, neighbours, quality, repeats, token_counts, toxicity
 from canvasser.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -22,6 +22,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices of common licenses; the templates are a parameter of the operator."""
+    templates = spark.createDataFrame(licences.TEMPLATES, "license string, text string")
+    return licences.report(table(spark, sf_dir, "documents"), templates)
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
@@ -30,6 +36,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -51,7 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op3_neighbours, op4_toxicity, op6_token_counts, op7_jaccard_join, op8_repeats, op9_bpe_round_trip, op10_quality)
+    f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_neighbours, op4_toxicity, op5_line_dedup, op6_token_counts, op7_jaccard_join, op8_repeats, op9_bpe_round_trip, op10_quality)
 }
 
 # Fixed value: the words of the contract, after A-Z are folded.
