@@ -222,13 +222,11 @@ def _link_cell(cell: pd.DataFrame, sets: list[np.ndarray], threshold: float, lea
     if cell["i"].iloc[0] != cell["j"].iloc[0]:
         near &= cell["chunk"].to_numpy()[:, None] != cell["chunk"].to_numpy()[None]
     a, b = np.nonzero(near)
-    if not len(a):
-        return pd.DataFrame({"item": [], "links": [], "root": []})
     size = np.array([len(s) for s in sets])
     if n > 16:
         both = _common(sets)[a, b]
     else:
-        both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)])
+        both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)], np.int64)
     linked = both >= threshold * (size[a] + size[b] - both) - 1e-9
     a, b = a[linked], b[linked]
     earlier = [sorted(k for k in keys if k < key) for keys in cell["keys"]]
@@ -281,7 +279,7 @@ def _verify(members: DataFrame, threshold: float, block: int) -> DataFrame:
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, limit: int = LIMIT, block: int = BLOCK, depth: int = DEPTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, mark, n_shingles, class_id (smallest id of its group) and n_links."""
+    """One row per document: id, mark, n_shingles, group, class (smallest id of the group) and n_links."""
     sets = saved(document_sets(docs, doc_id, text), "sets")
     class_of = sets.filter("item <> 0").groupBy("item").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.min("signature").alias("signature"))
     classes = saved(class_of.withColumn("sketch", _low_bytes("signature")), "classes")
@@ -298,9 +296,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     named = classes.select("item", "id", "weight").join(counted, "item", "left").join(groups, F.col("item") == F.col("node"), "left")
     named = named.select("item", "id", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "item").alias("root"))
     first = named.groupBy("root").agg(F.min("id").alias("class"))
-    named = named.join(first, "root").select("item", "class", (F.col("links") + F.col("weight") - 1).alias("n_links"))
+    named = named.join(first, "root").select("item", F.col("root").alias("group"), "class", (F.col("links") + F.col("weight") - 1).alias("n_links"))
     out = sets.drop("signature").join(named, "item", "left")
-    return out.select("id", "mark", "n_shingles", F.coalesce("class", "id").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("id", "mark", "n_shingles", "group", F.coalesce("class", "id").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _low_bytes(signature: str):
@@ -340,7 +338,7 @@ def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opt
     """
     found = saved(join(docs, doc_id=doc_id, text=text, **options), "classes-of")
     with_set = found.filter("n_shingles > 0")
-    place = F.row_number().over(Window.partitionBy("class").orderBy("id", "mark"))
+    place = F.row_number().over(Window.partitionBy("group").orderBy("id", "mark"))
     kept = with_set.filter("id = class").withColumn("place", place).filter("place = 1").select("id", "mark")
     gone = saved(with_set.join(kept, ["id", "mark"], "left_anti").select("id", "mark").distinct(), "gone")
     own_id, own_mark = "_" + doc_id + "_rank", "_" + doc_id + "_mark"

@@ -102,21 +102,21 @@ def _index(rows: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray,
     return values[order], template[order], place[order]
 
 
-def _candidates(doc_at: np.ndarray, template: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(template, lowest diagonal, highest diagonal, number of hits) of hits that belong together."""
+def _candidates(doc_at: np.ndarray, template: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int]]:
+    """(template, lowest diagonal, highest diagonal) of hits that belong together."""
     diagonal = doc_at - place
     order = np.lexsort((diagonal, template))
     out, begin = [], 0
     for e in range(1, len(order) + 1):
         if e == len(order) or template[order[e]] != template[order[begin]] or diagonal[order[e]] - diagonal[order[e - 1]] > BAND:
             group = order[begin:e]
-            out.append((int(template[group[0]]), int(diagonal[group].min()), int(diagonal[group].max()), len(group)))
+            out.append((int(template[group[0]]), int(diagonal[group].min()), int(diagonal[group].max())))
             begin = e
     wide = []
-    for t, low, high, n in out:  # hits all along a document: one candidate per stretch of a template's length
+    for t, low, high in out:  # hits all along a document: one candidate per stretch of a template's length
         step = int(sizes[t])
         for a in range(low, high + 1, step):
-            wide.append((t, a, min(high, a + step - 1), n))
+            wide.append((t, a, min(high, a + step - 1)))
     return wide
 
 
@@ -139,12 +139,16 @@ def _scan(texts: list, index, templates: list[np.ndarray], names: list[str], lea
         if not hits:
             continue
         spot, which = np.array([h[0] for h in hits]), np.array([h[1] for h in hits])
-        found = []
-        for t, low, high, _ in _candidates(spot, of[which], place[which], sizes):
+        found, left_of = [], {}
+        for t, low, high in _candidates(spot, of[which], place[which], sizes):
+            left = left_of.setdefault(t, own.copy())  # words of a reported match are not matched again
             a, b = max(0, low - BAND), min(len(own), high + len(templates[t]) + BAND)
-            matched, first, last = align(templates[t], own[a:b], low - BAND - a, high + BAND - a)
-            if matched >= least * len(templates[t]):
+            while True:
+                matched, first, last = align(templates[t], left[a:b], low - BAND - a, high + BAND - a)
+                if matched < least * len(templates[t]):
+                    break
                 found.append((names[t], matched / len(templates[t]), a + first, a + last))
+                left[a + first : a + last] = 0
         for name, coverage, first, last in sorted(set(found), key=lambda x: (-x[1], x[2], x[3] - x[2], x[0])):
             if all(o[0] != name or last <= o[2] or first >= o[3] for o in out[d]):
                 s, e = starts[bounds[d] + first], ends[bounds[d] + last - 1]
@@ -191,8 +195,8 @@ def scan(docs: DataFrame, templates: DataFrame, text: str = "text", into: str =
 def report(docs: DataFrame, templates: DataFrame, **options) -> DataFrame:
     """Per document and license: doc_id, license, n_matches, coverage (best), start and end of the best match."""
     rows = scan(docs.select("doc_id", "text"), templates, **options)
-    key = F.monotonically_increasing_id()
-    rows = rows.filter(F.size("licenses") > 0).select("doc_id", key.alias("row"), F.explode("licenses").alias("m"))
-    best = F.max_by(F.struct("m.start", "m.end"), F.struct("m.coverage", (-F.col("m.start")).alias("s")))
-    rows = rows.groupBy("row", "doc_id", F.col("m.license").alias("license")).agg(F.count("*").alias("n_matches"), F.max("m.coverage").alias("coverage"), best.alias("at"))
-    return rows.select("doc_id", "license", "n_matches", "coverage", F.col("at.start").alias("start"), F.col("at.end").alias("end"))
+    name = F.explode(F.array_distinct(F.transform("licenses", lambda m: m["license"]))).alias("license")
+    rows = rows.select("doc_id", "licenses", name).withColumn("own", F.filter("licenses", lambda m: m["license"] == F.col("license")))
+    order = F.transform("own", lambda m: F.struct((-m["coverage"]).alias("c"), m["start"].alias("start"), m["end"].alias("end")))
+    best = F.array_min(order)
+    return rows.select("doc_id", "license", F.size("own").cast("long").alias("n_matches"), (-best["c"]).alias("coverage"), best["start"].alias("start"), best["end"].alias("end"))
