@@ -22,16 +22,19 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canvasser.llm import bpe
-from canvasser.llm.common import pieces, saved
+from canvasser.llm.common import saved, spans
 from canvasser.llm.hashing import prefix_sums, segments, slice_hashes
 
-TABLE_BYTES = 128 * 1024 * 1024
+TABLE_BYTES = 96 * 1024 * 1024
 LONGEST = 64  # bytes of a word in a table that holds only the frequent words
-FLUSH = 400_000  # distinct words a task holds before it hands them on
+FLUSH = 200_000  # distinct words a task holds before it hands them on
 PIECES = 4_000_000  # most entries of a vocabulary that is broadcast
 
 
@@ -64,12 +67,15 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 if len(found) > FLUSH:
                     yield pd.DataFrame({"word": list(found), "n": list(found.values())})
                     found = Counter()
-        yield pd.DataFrame({"word": list(found), "n": list(found.values())})
+        if found:
+            yield pd.DataFrame({"word": list(found), "n": list(found.values())})
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = bpe.vocabulary(shared.value)
         for batch in batches:
             words = list(batch["word"])
+            if not words:
+                continue
             ids, counts = vocabulary.encode(words)
             ends = np.cumsum(counts) * 4
             raw = ids.astype("<i4").tobytes()
@@ -82,21 +88,22 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def _broadcast_table(words: DataFrame, table_bytes: int):
-    """The words to broadcast as (hashes, first, count, ids), and the others (None: all are in)."""
-    size = words.agg(F.coalesce(F.sum(F.length("ids") + 24), F.lit(0)), F.count("*") - F.count_distinct("hash")).first()
+    """The words to broadcast as (hashes, bounds, ids), and the others (None: all are in)."""
+    size = words.agg(F.coalesce(F.sum(F.length("ids") + 12), F.lit(0)), F.count("*") - F.count_distinct("hash")).first()
     rest = None
     if size[0] > table_bytes or size[1]:
-        top = words.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(table_bytes // (24 + 4 * LONGEST))
+        top = words.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(table_bytes // (12 + 4 * LONGEST))
         top = saved(top, "frequent")
         rest = words.join(top, "word", "left_anti")
         words = top
-    got = words.select("hash", "ids").toArrow().combine_chunks()
-    hashes = got["hash"].to_numpy().astype(np.int64)
-    raw = got["ids"].to_pylist()
+    got = words.select("hash", F.length("ids").alias("size"), "ids").toArrow()
+    hashes = got["hash"].to_numpy()
+    counts = got["size"].to_numpy().astype(np.int64) // 4
+    raw = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(b"".join(part.to_pylist()), "<i4") for part in got["ids"].chunks)])
+    raw = raw.astype(np.uint16 if len(raw) == 0 or raw.max() < 2**16 else np.int32)
     order = np.argsort(hashes)
-    counts = np.fromiter((len(raw[i]) // 4 for i in order), np.int64, len(raw))
-    ids = np.frombuffer(b"".join([raw[i] for i in order]), "<i4").astype(np.int32)
-    return (hashes[order], (np.cumsum(counts) - counts).astype(np.int64), counts.astype(np.int32), ids), rest
+    ids = raw[_ragged((np.cumsum(counts) - counts)[order], counts[order])]
+    return (hashes[order], np.concatenate(([0], np.cumsum(counts[order]))).astype(np.int32 if len(ids) < 2**31 else np.int64), ids), rest
 
 
 def _ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -105,50 +112,78 @@ def _ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return first[group] + place
 
 
-def _positions(texts: list, vocabulary: bpe.Vocabulary, table) -> tuple[list, list, list]:
-    """Per text its ids, the tail words among its words (distinct), and where they go (place in ids, word)."""
-    hashes, first, counts, ids = table
+def _positions(texts: list, vocabulary: bpe.Vocabulary, table) -> tuple[np.ndarray, np.ndarray, list, list]:
+    """All ids with the bounds of each text's, the tail words of each text (distinct), and where they go (place in ids, word)."""
+    hashes, bounds, ids = table
     tokens = [vocabulary.split(t) for t in texts]
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     codes, distinct = pd.factorize(np.array([t for part in tokens for t in part], dtype=object))
     own = _hashes(list(distinct))
     at = np.minimum(np.searchsorted(hashes, own), max(0, len(hashes) - 1))
     known = hashes[at] == own if len(hashes) else np.zeros(len(own), bool)
-    n = np.where(known, counts[at], 0) if len(hashes) else np.zeros(len(own), np.int64)
-    flat = ids[_ragged(first[at][codes], n[codes])] if len(hashes) else ids
-    ends = np.concatenate(([0], np.cumsum(n[codes])))
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
-    out, tails, gaps = [], [], []
+    first = bounds[at].astype(np.int64)
+    n = np.where(known, bounds[at + 1] - first, 0) if len(hashes) else np.zeros(len(own), np.int64)
+    flat = ids[_ragged(first[codes], n[codes])].astype(np.int32)
+    places = np.concatenate(([0], np.cumsum(n[codes])))
+    words_to = np.concatenate(([0], np.cumsum(sizes)))
+    ends = places[words_to]
+    tails, gaps = [], []
     missing = np.flatnonzero(~known[codes])
-    cut = np.searchsorted(missing, bounds)
+    cut = np.searchsorted(missing, words_to)
     for i in range(len(texts)):
-        a, b = bounds[i], bounds[i + 1]
-        out.append(flat[ends[a] : ends[b]])
         here = missing[cut[i] : cut[i + 1]]
         words, index = np.unique(codes[here], return_inverse=True)
         tails.append([distinct[w] for w in words])
-        gaps.append(np.stack([ends[here] - ends[a], index], axis=1).astype(np.int32).ravel())
-    return out, tails, gaps
+        gaps.append(np.stack([places[here] - ends[i], index], axis=1).astype(np.int32).ravel())
+    return flat, ends, tails, gaps
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """The documents with the ids of their text in the column ``into`` (array<int>)."""
+def _joined(ids: list[int], piece: list[bytes]) -> str:
+    """The text of the pieces of the ids; unknown ids have none."""
+    known = len(piece)
+    return b"".join([piece[i] for i in ids if 0 <= i < known]).decode("utf-8", "replace")
+
+
+def _pieces(path: str) -> list[bytes]:
+    found = bpe.Vocabulary(Path(path).read_text(encoding="utf-8")).pieces
+    if len(found) > PIECES:
+        raise ValueError(f"the vocabulary has {len(found)} pieces, more than {PIECES}")
+    return found
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", decoded: str | None = None, table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """The documents with the ids of their text in ``into`` (array<int>) and, if wanted, the text decoded from them in ``decoded``."""
     table, rest = _broadcast_table(word_table(docs, path, text), table_bytes)
     shared, words = _source(docs, path), docs.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("ids array<int>, tail array<string>, gaps array<int>")
-    def lookup(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    piece = docs.sparkSession.sparkContext.broadcast(_pieces(path) if decoded and rest is None else [])
+    own = "_bpe"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    added = T.StructType([T.StructField(own + n, t) for n, t in (("ids", T.ArrayType(T.IntegerType())), ("tail", T.ArrayType(T.StringType())), ("gaps", T.ArrayType(T.IntegerType())), ("text", T.StringType()))])
+    body, decodes = docs.columns.index(text), bool(decoded) and rest is None
+
+    def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = bpe.vocabulary(shared.value)
-        for bodies in batches:
-            found: tuple[list, list, list] = ([], [], [])
-            for a, b in pieces(bodies):
-                for whole, part in zip(found, _positions(list(bodies[a:b]), vocabulary, words.value)):
-                    whole += part
-            yield pd.DataFrame(dict(zip(("ids", "tail", "gaps"), found)))
-
-    body = F.coalesce(F.col(text), F.lit(""))
-    if rest is None:
-        return docs.withColumn(into, lookup(body).getField("ids"))
+        for batch in batches:
+            for a, b in spans(pc.binary_length(batch.column(body)).to_pylist(), 1_000_000):
+                part = batch.slice(a, b - a)
+                flat, ends, tails, gaps = _positions(part.column(body).to_pylist(), vocabulary, words.value)
+                texts = [_joined(flat[x:y].tolist(), piece.value) if decodes else None for x, y in zip(ends, ends[1:])]
+                new = [
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), pa.array(tails, pa.list_(pa.string())),
+                    pa.array(gaps, pa.list_(pa.int32())), pa.array(texts, pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*batch.schema.names, *added.names])
+
+    rows = docs.mapInArrow(lookup, T.StructType([*docs.schema.fields, *added.fields]))
+    if rest is not None:
+        rows = _filled(rows, rest, own)
+    rows = rows.select(*docs.columns, F.col(own + "ids").alias(into), *([F.col(own + "text").alias(decoded)] if decodes else []))
+    return decode(rows, path, into, decoded) if decoded and not decodes else rows
+
+
+def _filled(rows: DataFrame, rest: DataFrame, own: str) -> DataFrame:
+    """The rows with the ids of their tail words put in place."""
 
     @F.pandas_udf("array<int>")
     def fill(ids: pd.Series, gaps: pd.Series, tail: pd.Series, known: pd.Series) -> pd.Series:
@@ -164,37 +199,29 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", ta
             out.append(have)
         return pd.Series(out, dtype=object)
 
-    own = F.struct(*[F.col(c) for c in docs.columns]).alias("doc")
-    rows = saved(docs.select(F.expr("uuid()").alias("key"), own, lookup(body).alias("at")), "positions")
-    wanted = rows.select("key", F.explode("at.tail").alias("word"))
-    found = wanted.join(rest.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("known"))
-    ids = fill("at.ids", "at.gaps", "at.tail", F.coalesce("known", F.array().cast("array<struct<word:string,ids:binary>>")))
-    return rows.join(found, "key", "left").select("doc.*", ids.alias(into))
+    key, known = own + "key", own + "known"
+    rows = saved(rows.withColumn(key, F.expr("uuid()")), "positions")  # saved, so the keys are settled
+    wanted = rows.select(key, F.explode(own + "tail").alias("word"))
+    found = wanted.join(rest.select("word", "ids"), "word").groupBy(key).agg(F.collect_list(F.struct("word", "ids")).alias(known))
+    none = F.array().cast("array<struct<word:string,ids:binary>>")
+    ids = fill(own + "ids", own + "gaps", own + "tail", F.coalesce(known, none))
+    return rows.join(found, key, "left").withColumn(own + "ids", ids)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """The rows with the text of their ids in ``into``; the piece of each id comes from the vocabulary."""
-    pieces_of = bpe.Vocabulary(Path(path).read_text(encoding="utf-8")).pieces
-    if len(pieces_of) > PIECES:
-        raise ValueError(f"the vocabulary has {len(pieces_of)} pieces, more than {PIECES}")
-    shared = rows.sparkSession.sparkContext.broadcast(pieces_of)
+    shared = rows.sparkSession.sparkContext.broadcast(_pieces(path))
 
     @F.pandas_udf("string")
     def join_pieces(lists: pd.Series) -> pd.Series:
-        piece = shared.value
-        known = len(piece)
-        return pd.Series(
-            [b"".join([piece[i] for i in ids.tolist() if 0 <= i < known]).decode("utf-8", "replace") if ids is not None else "" for ids in lists],
-            dtype=object,
-        )
+        return pd.Series([_joined(x.tolist(), shared.value) if x is not None else "" for x in lists], dtype=object)
 
     return rows.withColumn(into, join_pieces(F.col(ids)))
 
 
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256."""
-    rows = encode(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), path, **options)
-    rows = decode(rows.drop("text"), path)
+    rows = encode(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), path, decoded="decoded", **options)
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -29,14 +29,18 @@ def rank_id(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(LAST)).cast("long")
 
 
+def spans(sizes: list, limit: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` in all (one row at least); a null size counts as 0."""
+    begin, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > begin and total + (n or 0) > limit:
+            yield begin, i
+            begin, total = i, 0
+        total += n or 0
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
 def pieces(texts: pd.Series, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` characters (one row at least)."""
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > begin and size + n > limit:
-            yield begin, i
-            begin, size = i, 0
-        size += n
-    if begin < len(texts):
-        yield begin, len(texts)
+    return spans([len(t) if t else 0 for t in texts], limit)

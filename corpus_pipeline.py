@@ -42,9 +42,7 @@ def drop_benchmark_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, exact): token ids, and whether they decode to the very text."""
-    path = vocabulary_path()
-    rows = bpe_tables.encode(docs.select("doc_id", "text"), path)
-    rows = bpe_tables.decode(rows, path)
+    rows = bpe_tables.encode(docs.select("doc_id", "text"), vocabulary_path(), decoded="decoded")
     exact = F.col("decoded") == F.coalesce("text", F.lit(""))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
 
