@@ -38,6 +38,21 @@ def cursor_batches(v: Views) -> DataFrame:
     return incremental.cursor_batch(v.customer.select("c_custkey", "c_name"), "c_custkey", 100, start=50)
 
 
+@query("cursor_state", """SELECT cast(50 AS bigint) AS start, cast(150 AS bigint) AS "end", cast(150 AS bigint) AS next, 50 + 100 < count(*) AS more FROM customer
+    UNION ALL SELECT 0, least(100, count(*)), least(100, count(*)), 100 < count(*) FROM customer""")
+def cursor_state(v: Views) -> DataFrame:
+    """A run stores its end; a stored position behind all rows begins again."""
+    rows = v.customer.select("c_custkey")
+    path = fresh_path(v.spark, "position")
+    total = rows.agg(F.count("*"))
+    first = incremental.cursor_span(rows, 100, start=50)
+    incremental.save_position(first, path)
+    assert incremental.load_position(v.spark, path) == 150
+    again = incremental.cursor_span(rows, 100, start=2**40)
+    spans = first.unionByName(again)
+    return spans.withColumn("more", F.col("next") < total.scalar())
+
+
 @query("cursor_after", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 100")
 def cursor_after(v: Views) -> DataFrame:
     """Behind the last key the cursor begins again."""

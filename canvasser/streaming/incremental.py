@@ -61,6 +61,29 @@ def cursor_batch(df: DataFrame, key: str, size: int, start: int = 0) -> DataFram
     return page.unionByName(again)
 
 
+def cursor_span(df: DataFrame, size: int, start: int) -> DataFrame:
+    """One row (start, end, next) of a cursor run: where it began, where it ended, what to store.
+
+    A start behind the end begins again, as in ``cursor_batch``; the stored position is the end.
+    """
+    total = df.agg(F.count("*").alias("n"))
+    begin = F.when(F.lit(start) >= F.col("n"), F.lit(0)).otherwise(F.lit(start)).cast("bigint")
+    end = F.least(begin + size, F.col("n"))
+    return total.select(begin.alias("start"), end.alias("end"), end.alias("next"))
+
+
+def save_position(span: DataFrame, path: str) -> None:
+    """Store the next position of a run (one row)."""
+    span.select("next").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_position(spark: SparkSession, path: str) -> int:
+    """The stored position, 0 before the first run."""
+    files, place = KeyedTable(spark, path, [])._file_system(path)
+    found = spark.read.schema("next long").json(path).first() if files.exists(place) else None
+    return int(found[0]) if found else 0
+
+
 def cursor_after(df: DataFrame, key: str, size: int, after=None) -> DataFrame:
     """The next ``size`` keys behind the last one handled, from the front when none is left.
 

@@ -2,61 +2,102 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from canvasser.session import fresh_path
+MANIFEST = "version long, bucket int, folder string, schema string"
 
 
 class KeyedTable:
-    """Parquet folder split into hash buckets of the key.
+    """Parquet data in hash buckets of the key, and a manifest that names the live folder of each.
 
-    A batch rewrites only the buckets its keys fall into. The merged buckets are first written
-    to a fresh folder in the shared location and then swapped in by a dynamic partition
-    overwrite, so a lost executor or a repeated batch meets complete data: merges are keyed
-    and give the same rows again.
+    A batch writes the buckets its keys fall into once, to a new folder, and then publishes them
+    by appending one small file to the manifest. Until that file is in place readers and later
+    batches see the table as it was, so a batch that fails at any point may be repeated: merges
+    are keyed and give the same rows again. A folder is removed one publish after the one that
+    replaced it, so readers that have just begun keep their files. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 64):
-        self.spark, self.path, self.keys, self.buckets = spark, path, list(keys), buckets
+        self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), list(keys), buckets
 
     def bucket_of(self, df: DataFrame) -> DataFrame:
         return df.withColumn("_bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
-    def read(self) -> DataFrame | None:
-        """The table, or None before the first write."""
-        try:
-            return self.spark.read.parquet(self.path).drop("_bucket")
-        except AnalysisException as missing:
-            if "PATH_NOT_FOUND" in str(missing) or "UNABLE_TO_INFER_SCHEMA" in str(missing):
-                return None
-            raise
-
-    def _touched(self, df: DataFrame, whole: bool) -> DataFrame | None:
-        if self.read() is None:
+    def _file_system(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
+
+    def _exists(self, path: str) -> bool:
+        files, place = self._file_system(path)
+        return files.exists(place)
+
+    def _manifest(self) -> list:
+        """All entries in order of version: one per bucket and batch that touched it."""
+        path = f"{self.path}/manifest"
+        if not self._exists(path):
+            return []
+        return self.spark.read.schema(MANIFEST).parquet(path).orderBy("version", "bucket").collect()
+
+    def _live(self) -> dict:
+        return {e.bucket: e for e in self._manifest()}
+
+    def _rows_of(self, entries: list) -> DataFrame | None:
+        if not entries:
             return None
-        current = self.spark.read.parquet(self.path)
-        if whole:
-            return current.drop("_bucket")
-        # Bounded by the number of buckets.
-        ids = [r[0] for r in self.bucket_of(df).select("_bucket").distinct().collect()]
-        return current.filter(F.col("_bucket").isin(ids)).drop("_bucket")
+        schema = T.StructType.fromJson(json.loads(max(entries, key=lambda e: e.version).schema))
+        paths = [p for e in entries if self._exists(p := f"{e.folder}/_bucket={e.bucket}")]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def read(self) -> DataFrame | None:
+        """The table, or None before the first batch."""
+        return self._rows_of(list(self._live().values()))
 
     def merge(self, batch: DataFrame, change: Callable[[DataFrame | None, DataFrame], DataFrame], whole: bool = False) -> None:
-        """Replace the touched buckets by ``change(current rows of them or None, batch)``."""
-        merged = change(self._touched(batch, whole), batch)
-        staged = fresh_path(self.spark, "staged")
-        # Rebalancing splits large buckets over several tasks and files and joins small ones.
-        bucketed = self.bucket_of(merged).hint("rebalance", "_bucket")
-        bucketed.write.parquet(staged)
-        (
-            self.spark.read.schema(bucketed.schema).parquet(staged)
-            .hint("rebalance", "_bucket")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("_bucket")
-            .parquet(self.path)
-        )
+        """Replace the touched buckets by ``change(current rows of them or None, batch)``.
+
+        The batch is kept for the length of the step, as it is read for its buckets and merged.
+        """
+        batch = batch.persist()
+        try:
+            live = self._live()
+            # At most one number per bucket.
+            touched = {r[0] for r in self.bucket_of(batch).select("_bucket").distinct().collect()}
+            if whole or not live:
+                touched |= set(range(self.buckets))
+            current = self._rows_of([e for k, e in live.items() if k in touched])
+            if current is None and live:
+                current = self._rows_of(list(live.values())).limit(0)
+            merged = change(current, batch)
+            folder = f"{self.path}/data/{uuid.uuid4().hex}"
+            # Rebalancing splits large buckets over several tasks and files and joins small ones.
+            bucketed = self.bucket_of(merged).hint("rebalance", "_bucket")
+            bucketed.write.partitionBy("_bucket").parquet(folder)
+            self._publish(folder, sorted(touched), merged.schema, live)
+        finally:
+            batch.unpersist()
+
+    def _publish(self, folder: str, touched: list[int], schema: T.StructType, live: dict) -> None:
+        version = 1 + max([e.version for e in live.values()], default=0)
+        entries = [(version, k, folder, schema.json()) for k in touched]
+        self.spark.createDataFrame(entries, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        self._clean(version)
+
+    def _clean(self, version: int) -> None:
+        """Remove what the publish before this one has replaced."""
+        newest: dict[int, list] = {}
+        for e in self._manifest():
+            newest.setdefault(e.bucket, []).append(e)
+        for entries in newest.values():
+            for old, new in zip(entries, entries[1:]):
+                if new.version < version:
+                    files, place = self._file_system(f"{old.folder}/_bucket={old.bucket}")
+                    files.delete(place, True)

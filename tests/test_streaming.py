@@ -111,3 +111,42 @@ def test_shared_folder_is_the_cluster_setting(spark):
         assert shared_dir(spark) == named.rstrip("/")
     assert shared_dir(spark) == shared_dir(spark)
     assert fresh_path(spark, "x") != fresh_path(spark, "x") and fresh_path(spark, "x").startswith(shared_dir(spark))
+
+
+def test_failed_publish_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    table = KeyedTable(spark, str(tmp_path / "t"), ["id"], buckets=3)
+    first = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], SCHEMA)
+    second = spark.createDataFrame([(2, "c", 3), (3, "d", 4)], SCHEMA)
+    assert table.read() is None
+    incremental.upsert_sink(table, first, "seq")
+
+    def fail(*_):
+        raise OSError("lost between write and publish")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(KeyedTable, "_publish", fail)
+        with pytest.raises(OSError):
+            incremental.upsert_sink(table, second, "seq")
+    assert rows(table.read(), "id", "v") == [(1, "a"), (2, "b")]
+    incremental.upsert_sink(table, second, "seq")
+    incremental.upsert_sink(table, second, "seq")  # a repeated batch gives the same rows
+    assert rows(table.read(), "id", "v") == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_replaced_folders_are_removed(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), ["id"], buckets=2)
+    for k in range(5):
+        incremental.upsert_sink(table, spark.createDataFrame([(i, f"v{k}", k) for i in range(20)], SCHEMA), "seq")
+    left = {p.parent.name for p in (tmp_path / "t" / "data").glob("*/_bucket=*") if any(p.iterdir())}
+    assert len(left) == 2  # the live one, and the one replaced last
+    assert rows(table.read(), "v")[0] == ("v4",) and table.read().count() == 20
+
+
+def test_cursor_position_is_stored(spark, tmp_path):
+    df, path = spark.range(25), str(tmp_path / "position")
+    seen = []
+    for _ in range(4):
+        span = incremental.cursor_span(df, 10, incremental.load_position(spark, path))
+        incremental.save_position(span, path)
+        seen.append(incremental.load_position(spark, path))
+    assert seen == [10, 20, 25, 10]
