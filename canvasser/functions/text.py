@@ -56,12 +56,22 @@ def normalize_text(c: Column | str) -> Column:
     return F.coalesce(squeeze(F.lower(_col(c).cast("string"))), F.lit(""))
 
 
+# Decimal number text with an optional exponent; single underscores may part digits.
+NUMBER = r"^[+-]?(?:[0-9]+(?:_[0-9]+)*\.?(?:[0-9]+(?:_[0-9]+)*)?|\.[0-9]+(?:_[0-9]+)*)(?:[eE][+-]?[0-9]+(?:_[0-9]+)*)?$"
+
+
+def number(c: Column | str) -> Column:
+    """The double that decimal text stands for, null for any other text (suffixes, hexadecimal)."""
+    text = strip(_col(c).cast("string"))
+    return F.when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+
+
 def safe_int(c: Column | str) -> Column:
     """Integer part of numeric text, null for anything that is not a number."""
     text = strip(_col(c).cast("string"))
-    number = text.try_cast("double")
-    whole = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))
-    usable = ~F.lower(text).isin(M.NULL_WORDS) & (F.abs(number) < 9.2e18)
+    value = number(text)
+    whole = F.when(value < 0, F.ceil(value)).otherwise(F.floor(value))
+    usable = ~F.lower(text).isin(M.NULL_WORDS) & (F.abs(value) < 9.2e18)
     return F.when(usable, whole).cast("bigint")
 
 
@@ -114,12 +124,12 @@ def normalize_facility_name(c: Column | str) -> Column:
     steps = [
         ("&", " and "),
         (r"st\.", "saint"),
-        (r"\bst\b", "saint"),
-        (r"\bsch\b", "school"),
-        (r"\bjr\b", "junior"),
-        (r"\bsr\b", "senior"),
-        (r",\s*(il|illinois)\b", ""),
-        (r"\billinois\b", ""),
+        (r"(?U)\bst\b", "saint"),
+        (r"(?U)\bsch\b", "school"),
+        (r"(?U)\bjr\b", "junior"),
+        (r"(?U)\bsr\b", "senior"),
+        (r"(?U),\s*(il|illinois)\b", ""),
+        (r"(?U)\billinois\b", ""),
         ("[^a-z0-9]+", " "),
     ]
     for pattern, replacement in steps:

@@ -59,7 +59,8 @@ def map_difference(a: DataFrame, b: DataFrame, key: str = "key") -> DataFrame:
 def build_facilities(rows: DataFrame, int_columns: tuple[str, ...] = ()) -> DataFrame:
     """Add ``FacilityKey`` (a null part reads "None") and cast the given columns to whole numbers."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in ("CountyName", "FacilityName", "City", "Zip")]
-    numbers = {c: F.col(c).try_cast("double").try_cast("bigint") for c in int_columns if c in rows.columns}
+    whole = lambda c: F.when(~F.contains(F.col(c).cast("string"), F.lit("_")), X.number(c)).try_cast("bigint")
+    numbers = {c: whole(c) for c in int_columns if c in rows.columns}
     return rows.withColumns({"FacilityKey": F.concat_ws("|", *parts), **numbers})
 
 
@@ -147,7 +148,7 @@ def merge_catalog(rules: DataFrame, still_working: DataFrame, completed: DataFra
 
 
 def export_lists(rules: DataFrame, still_working: DataFrame, completed: DataFrame) -> DataFrame:
-    """The five name lists as rows (list_type, school_name)."""
+    """The five lists as rows: list_type, school_name, base_url, alt_url, pages_with_contacts, n_contacts, error."""
     combined = list_classification(combine_results(still_working, completed))
     flags = F.array_compact(
         F.array(
@@ -156,11 +157,16 @@ def export_lists(rules: DataFrame, still_working: DataFrame, completed: DataFram
             F.when(F.col("no_staff_page"), F.lit("schools_with_no_staff_page")),
         )
     )
-    lists = combined.select(F.explode(flags).alias("list_type"), "school_name")
+    no_pages, nothing = F.array().cast("array<string>"), F.lit(None).cast("string")
+    fields = ["base_url", "alt_url", F.coalesce("pages_with_contacts", no_pages).alias("pages_with_contacts"), F.col("n_contacts").cast("int").alias("n_contacts"), "error"]
+    lists = combined.select(F.explode(flags).alias("list_type"), "school_name", *fields)
     bare = rules.filter(F.coalesce(F.array_size("alt_urls"), F.lit(0)) == 0)
-    bare = bare.select(F.lit("schools_with_empty_alt_urls").alias("list_type"), F.col("school").alias("school_name"))
+    bare = bare.select(
+        F.lit("schools_with_empty_alt_urls").alias("list_type"), F.col("school").alias("school_name"), nothing.alias("base_url"),
+        nothing.alias("alt_url"), no_pages.alias("pages_with_contacts"), F.lit(0).alias("n_contacts"), nothing.alias("error"),
+    )
     names = merge_catalog(rules, still_working, completed, ordered=False)
-    names = names.select(F.lit("all_school_names").alias("list_type"), "school_name")
+    names = names.select(F.lit("all_school_names").alias("list_type"), "school_name", *fields)
     return lists.unionByName(bare).unionByName(names)
 
 

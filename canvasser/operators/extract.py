@@ -20,20 +20,23 @@ from pyspark.sql import functions as F
 from canvasser import schema as M
 from canvasser.functions import text as X
 
-_MESSAGE = f"(?i){M.MESSAGE_PATTERN}"
+# White space, digits and letter case as Unicode has them, so that a no-break space counts.
+_MESSAGE = f"(?iU){M.MESSAGE_PATTERN}"
+_PHONE = f"(?U){M.PHONE_PATTERN}"
+_EMAIL = f"(?U){M.EMAIL_PATTERN}"
 
 
 def extract_signals(df: DataFrame, key: str, text: str) -> DataFrame:
     """All e-mails, phones and message markers of a text: (key, kind, ord, value)."""
     def found(kind: str, pattern: str, possible: Column) -> Column:
-        hits = F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(1))
+        hits = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
         return F.when(possible, F.struct(F.lit(kind).alias("kind"), hits.alias("values")))
 
     # Cheap necessary conditions keep the expensive patterns off most texts.
     kinds = F.array(
-        found("email", M.EMAIL_PATTERN, F.col(text).contains("@")),
-        found("phone", M.PHONE_PATTERN, F.col(text).rlike(r"\d{4}")),
-        found("message", _MESSAGE, F.col(text).rlike("(?i)email|message")),
+        found("email", _EMAIL, F.col(text).contains("@")),
+        found("phone", _PHONE, F.col(text).rlike(r"(?U)\d{4}")),
+        found("message", _MESSAGE, F.col(text).rlike("(?iU)email|message")),
     )
     rows = df.select(key, F.inline(F.array_compact(kinds)))
     return rows.select(key, "kind", F.posexplode("values").alias("ord", "value"))
@@ -175,12 +178,12 @@ def title_match(line: Column, mode: str = "substring") -> Column:
 def _may_signal(html: str) -> Column:
     """Necessary condition for a contact signal, so that other pages are never parsed.
 
-    Character references could spell any part of a signal, as could the one letter whose
-    upper case is a plain S.
+    Letter case is folded as the parser folds it, by Unicode. Character references could spell
+    any part of a signal.
     """
     page = F.col(html)
-    possible = page.rlike("(?i)email|message|mailto:|sendto:|&commat")
-    for mark in ("@", "&#", "ſ"):
+    possible = page.rlike("(?iU)email|message|mailto:|sendto:|&commat")
+    for mark in ("@", "&#"):
         possible = page.contains(mark) | possible
     return possible
 
@@ -195,7 +198,7 @@ def extract_blocks(pages: DataFrame) -> DataFrame:
     terms = _term_pattern(M.TITLE_TERMS)
     telling = F.exists(
         "lines",
-        lambda x: x.rlike(M.EMAIL_PATTERN) | x.rlike(M.PHONE_PATTERN) | F.lower(x).rlike(terms),
+        lambda x: x.rlike(_EMAIL) | x.rlike(_PHONE) | F.lower(x).rlike(terms),
     )
     # At most eight levels per signal: min/max aggregates, no list per page.
     levels = levels.withColumn("_stop", telling)
@@ -227,8 +230,8 @@ def assign_fields(blocks: DataFrame) -> DataFrame:
         "lines",
         lambda x: F.struct(
             x.alias("x"),
-            x.rlike(M.EMAIL_PATTERN).alias("mail"),
-            x.rlike(M.PHONE_PATTERN).alias("phone"),
+            x.rlike(_EMAIL).alias("mail"),
+            x.rlike(_PHONE).alias("phone"),
             title_match(x).alias("title"),
             x.rlike(_MESSAGE).alias("noise"),
         ),
@@ -249,13 +252,13 @@ def assign_fields(blocks: DataFrame) -> DataFrame:
     df = _evaluated_once(df, _f=F.aggregate("_lines", start, step)).filter("_f.title is not null")
     name = F.coalesce("_f.name", F.lit(""))
     rest = F.filter("_lines", lambda r: plain(r) & (r["x"] != name) & (r["x"] != F.col("_f.title")))
-    mail = X.blank_to_null(F.regexp_extract(F.col("_f.mail"), f"({M.EMAIL_PATTERN})", 1))
+    mail = X.blank_to_null(F.regexp_extract(F.col("_f.mail"), _EMAIL, 0))
     return df.select(
         "page_id", "url", "signal",
         X.word_title(name).alias("name"),
         X.word_title("_f.title").alias("title"),
         X.word_title(F.get(rest, F.lit(0))["x"]).alias("dept"),
-        F.coalesce(F.trim(F.regexp_extract(F.col("_f.phone"), f"({M.PHONE_PATTERN})", 1)), F.lit("")).alias("phone"),
+        F.coalesce(X.strip(F.regexp_extract(F.col("_f.phone"), _PHONE, 0)), F.lit("")).alias("phone"),
         F.lower(F.trim(F.coalesce(mail, "link_email", F.lit("")))).alias("email"),
     )
 
@@ -317,7 +320,7 @@ def contacts_with_fallback(first: DataFrame, second: DataFrame, site: str = "sch
 
 def extract_enrollment(df: DataFrame, key: str, text: str, pattern: str = M.ENROLLMENT_PATTERN) -> DataFrame:
     """First enrolment figure of each text, null where there is none."""
-    digits = F.regexp_replace(F.regexp_extract(F.col(text), f"(?i){pattern}", 1), ",", "")
+    digits = F.regexp_replace(F.regexp_extract(F.col(text), f"(?iU){pattern}", 1), ",", "")
     return df.select(key, digits.try_cast("int").alias("enrollment"))
 
 
@@ -350,15 +353,15 @@ def text_contact(blocks: DataFrame) -> DataFrame:
     title = F.get(
         F.filter(
             after,
-            lambda x: ~x.rlike(M.PHONE_PATTERN) & ~x.rlike(M.EMAIL_PATTERN) & title_match(x, "word"),
+            lambda x: ~x.rlike(_PHONE) & ~x.rlike(_EMAIL) & title_match(x, "word"),
         ),
         F.lit(0),
     )
     whole = F.array_join("lines", "\n")
-    grab = lambda p: X.blank_to_null(F.regexp_extract(whole, f"({p})", 1))
+    grab = lambda p: X.blank_to_null(F.regexp_extract(whole, p, 0))
     return df.select(
         "page_id", name.alias("name"), title.alias("title"),
-        grab(M.PHONE_PATTERN).alias("phone"), grab(M.EMAIL_PATTERN).alias("email"),
+        grab(_PHONE).alias("phone"), grab(_EMAIL).alias("email"),
     )
 
 

@@ -67,7 +67,13 @@ def resolve_school_name(rows: DataFrame, schools: DataFrame, imported: DataFrame
         known = known.unionByName(more)
     known = latest_per_key(known, ["_key"], "_prio", "school_id")
     known = known.select("_key", F.col("school_id").cast("string").alias("school_id"))
-    out = rows.withColumn("_key", F.lower("school_name")).join(known, "_key", "left").drop("_key")
+    keyed = rows.withColumn("_key", F.lower("school_name"))
+    empty = F.coalesce(F.col("_key"), F.lit("")) == ""
+    named = keyed.filter(~empty).join(known.filter("_key <> ''"), "_key", "left")
+    # Rows without a name may be most of all: they take the one id of the empty name, not a join.
+    nameless = known.filter("_key = ''").agg(F.max("school_id"))
+    bare = keyed.filter(empty).withColumn("school_id", F.when(F.col("_key") == "", nameless.scalar()))
+    out = named.unionByName(bare).drop("_key")
     return out.withColumn("school_id", F.coalesce("school_id", F.lit("")))
 
 

@@ -40,9 +40,15 @@ def _issues(rows: DataFrame, row: str, checks: Sequence[Column]) -> DataFrame:
 
 def _flag(rows: DataFrame, column: str, known: DataFrame, known_column: str, name: str) -> DataFrame:
     """Add whether the lower-cased value occurs among the lower-cased known values."""
-    seen = known.select(F.lower(known_column).alias("_v")).distinct().withColumn(name, F.lit(True))
-    joined = rows.withColumn("_v", F.lower(column)).join(seen, "_v", "left").drop("_v")
-    return joined.withColumn(name, F.coalesce(name, F.lit(False)))
+    values = known.select(F.lower(known_column).alias("_v"))
+    seen = values.filter("_v <> ''").distinct().withColumn(name, F.lit(True))
+    keyed = rows.withColumn("_v", F.lower(column))
+    empty = F.coalesce(F.col("_v"), F.lit("")) == ""
+    found = keyed.filter(~empty).join(seen, "_v", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    # Empty values may be most of all: whether one is known is one number, not a join.
+    some = values.filter("_v = ''").agg(F.count("*"))
+    bare = keyed.filter(empty).withColumn(name, F.coalesce((F.col("_v") == "") & (some.scalar() > 0), F.lit(False)))
+    return found.unionByName(bare).drop("_v")
 
 
 def validate_contacts(rows: DataFrame, contacts: DataFrame, schools: DataFrame, row: str = "row") -> DataFrame:
@@ -142,6 +148,30 @@ def quarantine(flagged: DataFrame, decisions: DataFrame, keys: Sequence[str]) ->
     return joined.filter(~moved).drop("_moved"), joined.filter(moved).drop("_moved")
 
 
+def quarantine_results(schools: DataFrame, contacts: DataFrame, key: Sequence[str], place: str, school_decisions: DataFrame, contact_decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Review of whole results: (schools kept, contacts kept, errors).
+
+    Both tables come with ``reasons``; decisions are 'keep' or 'error' by key (contacts by key
+    and ``place``). A moved school takes its contacts along. An error has its flag type, the
+    addresses and pages of the school, the reasons, and the record (JSON) of what was moved.
+    """
+    key = list(key)
+    kept_schools, moved = quarantine(schools, school_decisions, key)
+    rest = contacts.join(moved.select(*key).distinct(), key, "left_anti")
+    kept_contacts, flagged = quarantine(rest, contact_decisions, [*key, place])
+    where = ["base_url", "alt_url", "pages_with_contacts"]
+
+    def record(df: DataFrame, leave: Sequence[str] = ()) -> Column:
+        columns = [c for c in df.columns if c not in ("reasons", *leave)]
+        return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("record")
+
+    nowhere = F.lit(None).cast(contacts.schema[place].dataType).alias(place)
+    first = moved.select(F.lit("school_result").alias("flag_type"), *key, nowhere, *where, "reasons", record(moved))
+    own = flagged.select(*key, place, "reasons", record(flagged, key)).join(schools.select(*key, *where), key, "left")
+    second = own.select(F.lit("contact").alias("flag_type"), *key, place, *where, "reasons", "record")
+    return kept_schools, kept_contacts, first.unionByName(second)
+
+
 def _absent(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")) == ""
 

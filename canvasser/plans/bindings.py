@@ -12,8 +12,6 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canvasser.session import tune
-
 AS_OF = "2001-08-01 00:00:00"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -84,7 +82,7 @@ VIEWS: dict[str, str] = {
     "participation": """
         SELECT l.l_partkey AS event_id, o.o_custkey AS school_id
         FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey
-        WHERE l.l_returnflag = 'R' AND l.l_quantity >= 45""",
+        WHERE l.l_returnflag = 'R'""",
     "event_rows": """
         SELECT p_partkey AS event_id,
           CASE WHEN p_partkey % 9 = 0 THEN NULL
@@ -143,7 +141,7 @@ VIEWS: dict[str, str] = {
           c.c_name AS FacilityName, CASE WHEN c.c_custkey % 11 = 0 THEN NULL ELSE 'City ' || c.c_custkey % 40 END AS City,
           lpad(cast(c.c_custkey % 100000 AS string), 5, '0') AS Zip,
           CASE c.c_custkey % 5 WHEN 0 THEN '9-12' WHEN 1 THEN 'K-8' WHEN 2 THEN '112' WHEN 3 THEN '12' ELSE NULL END AS GradesServed,
-          CASE c.c_custkey % 4 WHEN 0 THEN '12' WHEN 1 THEN 'n/a' WHEN 2 THEN '7.0' ELSE NULL END AS StRep
+          CASE c.c_custkey % 4 WHEN 0 THEN '12' WHEN 1 THEN '5d' WHEN 2 THEN '7.0' ELSE NULL END AS StRep
         FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey""",
     "result_rows": """
         SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'still_working' ELSE 'completed' END AS source, c_custkey AS seq,
@@ -165,7 +163,7 @@ VIEWS: dict[str, str] = {
         SELECT c_custkey AS seq, CASE WHEN c_custkey % 6 = 0 THEN lower(c_name) ELSE c_name END AS school,
           CASE WHEN c_custkey % 8 = 0 THEN '' WHEN c_custkey % 8 = 1 THEN ' https://a.example.org , ,https://a.example.org'
                ELSE 'https://r' || c_custkey || '.example.org,https://b.example.org' END AS urls_csv
-        FROM {customer} WHERE c_acctbal < 6000""",
+        FROM {customer}""",
     "directory_rows": """
         SELECT c_custkey AS seq, c_custkey AS school_id, c_name || ' ' || c_mktsegment || ' HS' AS school_name,
           c_acctbal >= 2000 AS is_high_school, 'https://c' || c_custkey || '.example.org' AS website,
@@ -203,7 +201,7 @@ VIEWS: dict[str, str] = {
     "action_base": """
         SELECT c_custkey AS school_id, c_name AS name, 'base' AS county, false AS is_verified,
           cast(NULL AS timestamp) AS last_verified_at
-        FROM {customer} WHERE c_acctbal >= 4000""",
+        FROM {customer} WHERE c_custkey % 3 <> 0""",
     "stream_activities": """
         SELECT event_id AS activity_id, user_id AS school_id, event_type AS activity_type, ts AS date FROM {events}""",
     "site_pages": """
@@ -213,7 +211,7 @@ VIEWS: dict[str, str] = {
           '<html><body><div class="list"><div class="card"><p>' || s_name || ' JONES</p><p>'
           || CASE s_suppkey % 4 WHEN 0 THEN 'Dean Of Students' WHEN 1 THEN 'school counselor' WHEN 2 THEN 'Assistant Principal'
                   ELSE 'Admissions' END
-          || '</p><p>Room ' || s_nationkey || '</p><p>(618) 555-' || lpad(cast(s_suppkey % 10000 AS string), 4, '0')
+          || '</p><p>Room ' || s_nationkey || '</p><p>(618)' || CASE WHEN s_suppkey % 3 = 0 THEN '&nbsp;' ELSE ' ' END || '555-' || lpad(cast(s_suppkey % 10000 AS string), 4, '0')
           || '</p><a href="mailto:S' || s_suppkey || '@D.example.org?subject=hi">Send Email</a></div>'
           || '<div class="card"><p>Pat Plain</p><p>Principal</p><p>p' || s_suppkey || '@x.example.org</p></div></div>'
           || '<nav class="pagination"><a href="?page=2">2</a><a href="#top">next</a></nav></body></html>' AS html
@@ -271,7 +269,7 @@ class Views:
     """DataFrames of one data folder, by table or view name."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = tune(spark), sf_dir
+        self.spark, self.sf_dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:

@@ -228,7 +228,7 @@ def email_list(v: Views) -> DataFrame:
     f AS (SELECT s.school_id, s.name, s.county, coalesce(a.n, 0) acts, latest, coalesce(total, 0) total, coalesce(act, 0) act,
         coalesce(p.n, 0) app FROM schools s LEFT JOIN a USING (school_id) LEFT JOIN c USING (school_id) LEFT JOIN p USING (school_id)),
     m AS (SELECT 'Total Schools: ' || count(*) AS line, '000' AS k1 FROM schools
-      UNION ALL SELECT 'Total Contacts: ' || count(*) FILTER (is_active), '001' FROM contacts
+      UNION ALL SELECT 'Active Contacts: ' || count(*) FILTER (is_active), '001' FROM contacts
       UNION ALL SELECT 'Total Events: ' || count(*), '002' FROM outreach_events
       UNION ALL SELECT 'Schools Engaged (with activity): ' || count(*) FILTER (acts > 0), '003' FROM f
       UNION ALL SELECT 'Total Event Attendees: ' || sum(coalesce(attendees, 0)), '004' FROM outreach_events),
@@ -237,7 +237,14 @@ def email_list(v: Views) -> DataFrame:
     g AS (SELECT *, list_filter([CASE WHEN total = 0 THEN 'No contacts' WHEN act = 0 THEN 'No active contacts' END,
         CASE WHEN latest IS NULL THEN 'No activity recorded' WHEN latest <= timestamp '2001-02-01' THEN 'No activity in 6+ months' END],
         lambda x: x IS NOT NULL) AS issues FROM f)
-    SELECT '1 summary' AS section, k1, '' AS k2, line FROM m
+    SELECT '1 heading' AS section, '000' AS k1, '' AS k2, 'Outreach Report' AS line
+    UNION ALL SELECT '1 heading', '001', '', 'Generated: August 1, 2001'
+    UNION ALL SELECT '1 heading', '002', '', '' UNION ALL SELECT '1 heading', '003', '', '=== SUMMARY ==='
+    UNION ALL SELECT '2 heading', '000', '', '' UNION ALL SELECT '2 heading', '001', '', '=== TOP ENGAGED SCHOOLS ==='
+    UNION ALL SELECT '2 heading', '002', '', 'School,Score,Activities,Active Contacts,Events Appeared'
+    UNION ALL SELECT '3 heading', '000', '', '' UNION ALL SELECT '3 heading', '001', '', '=== SCHOOLS NEEDING ATTENTION ==='
+    UNION ALL SELECT '3 heading', '002', '', 'School,County,Contacts,Last Activity,Priority,Issues'
+    UNION ALL SELECT '1 summary', k1, '', line FROM m
     UNION ALL SELECT '2 top engaged schools', lpad(cast(1000000000000 - score AS varchar), 13, '0'), name || '|' || school_id,
       '"' || name || '",' || score || ',' || acts || ',' || act || ',' || app FROM t
     UNION ALL SELECT '3 schools needing attention', name, cast(school_id AS varchar),
@@ -250,6 +257,7 @@ def engagement_report(v: Views) -> DataFrame:
         metrics.summary_metrics(v.schools, v.contacts, v.outreach_events, v.activities, AS_OF),
         metrics.top_engaged_schools(v.schools, v.contacts, v.activities, v.participation),
         metrics.schools_needing_attention(v.schools, v.contacts, v.activities, AS_OF),
+        AS_OF,
     )
 
 
@@ -337,14 +345,17 @@ URL_CLEAN = "list_filter(list_transform(string_split(urls_csv, ','), lambda x: t
 
 @query(
     "export_lists",
-    f"""WITH {COMBINED_SQL}, names AS (
-      SELECT school AS name, 0 AS prio FROM rule_rows UNION ALL
-      SELECT school_name, CASE WHEN source = 'still_working' THEN 1 ELSE 2 END FROM result_rows)
-    SELECT 'schools_with_no_results' AS list_type, school_name FROM combined WHERE n_contacts = 0
-    UNION ALL SELECT 'schools_with_results', school_name FROM combined WHERE n_contacts > 0
-    UNION ALL SELECT 'schools_with_no_staff_page', school_name FROM combined WHERE pages_csv = ''
-    UNION ALL SELECT 'schools_with_empty_alt_urls', school FROM rule_rows WHERE len({URL_CLEAN}) = 0
-    UNION ALL SELECT 'all_school_names', arg_min(name, (prio, name)) FROM names GROUP BY lower(trim(name))""",
+    f"""WITH {COMBINED_SQL}, item AS (SELECT school_name, base_url, alt_url, trim(pages_csv, ',') AS pages, cast(n_contacts AS integer) AS n_contacts, error FROM combined),
+    u AS (SELECT school AS name, cast(NULL AS varchar) AS base_url, ({URL_CLEAN})[1] AS alt_url, '' AS pages, 0 AS n, cast(NULL AS varchar) AS error, 0 AS prio FROM rule_rows
+      UNION ALL SELECT school_name, base_url, alt_url, pages_csv, n_contacts, error, CASE WHEN source = 'completed' THEN 2 ELSE 1 END FROM result_rows)
+    SELECT 'schools_with_no_results' AS list_type, * FROM item WHERE n_contacts = 0
+    UNION ALL SELECT 'schools_with_results', * FROM item WHERE n_contacts > 0
+    UNION ALL SELECT 'schools_with_no_staff_page', * FROM item WHERE pages = ''
+    UNION ALL SELECT 'schools_with_empty_alt_urls', school, NULL, NULL, '', 0, NULL FROM rule_rows WHERE len({URL_CLEAN}) = 0
+    UNION ALL SELECT 'all_school_names', arg_min(name, (prio, name)), arg_max(base_url, (prio, name)) FILTER (trim(base_url) <> ''),
+      arg_max(alt_url, (prio, name)) FILTER (trim(alt_url) <> ''), coalesce(arg_max(pages, (prio, name)) FILTER (pages <> ''), ''),
+      cast(coalesce(arg_max(n, (prio, name)) FILTER (n > 0), 0) AS integer), arg_max(error, (prio, name)) FILTER (trim(error) <> '') FROM u GROUP BY lower(trim(name))""",
 )
 def export_lists(v: Views) -> DataFrame:
-    return catalog.export_lists(rules(v), results(v, "still_working"), results(v, "completed"))
+    out = catalog.export_lists(rules(v), results(v, "still_working"), results(v, "completed"))
+    return out.withColumnRenamed("pages_with_contacts", "pages").withColumn("pages", F.array_join("pages", ","))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canvasser import schema as M
 from canvasser.operators import catalog, extract, quality
 from canvasser.plans.bindings import Views
-from canvasser.plans.load import COMBINED_SQL, results, strip_sql
+from canvasser.plans.load import COMBINED_SQL, WS, results, strip_sql
 from canvasser.plans.registry import query
 
 # --- import checks ------------------------------------------------------------------------
@@ -113,17 +114,30 @@ def school_unlikely_reasons(v: Views) -> DataFrame:
 
 @query(
     "quarantine",
-    f"""WITH {REASONS_SQL} SELECT source, school_name, pos, CASE WHEN len(r) > 0 AND seq % 3 <> 0 THEN 'errors' ELSE 'kept' END AS side,
-      array_to_string(r, '; ') AS reasons FROM rs""",
+    f"""WITH {REASONS_SQL},
+    sr AS (SELECT *, CASE WHEN error IS NULL AND n_contacts > 0 AND base_url IS NULL THEN 'school_urls is missing'
+        WHEN error IS NULL AND n_contacts > 0 AND pages_csv = '' THEN 'contacts found but pages_with_contacts is empty' ELSE '' END AS r FROM result_rows),
+    gone AS (SELECT * FROM sr WHERE r <> '' AND seq % 2 = 0),
+    cs AS (SELECT rs.*, (source, seq) IN (SELECT (source, seq) FROM gone) AS with_school FROM rs)
+    SELECT 'school_result' AS flag_type, source, seq, school_name, cast(NULL AS integer) AS pos, base_url, alt_url, r AS reasons FROM gone
+    UNION ALL SELECT 'contact', cs.source, cs.seq, cs.school_name, pos, base_url, alt_url, array_to_string(cs.r, '; ') FROM cs
+      JOIN result_rows w ON w.source = cs.source AND w.seq = cs.seq AND w.school_name = cs.school_name WHERE NOT with_school AND len(cs.r) > 0 AND cs.seq % 3 <> 0
+    UNION ALL SELECT 'kept', source, seq, school_name, pos, NULL, NULL, array_to_string(r, '; ') FROM cs WHERE NOT with_school AND NOT (len(r) > 0 AND seq % 3 <> 0)""",
 )
 def quarantine(v: Views) -> DataFrame:
-    """Flagged contacts whose decision is "error" move; the others stay."""
-    flagged = _flagged(v)
-    decision = F.when(F.col("seq") % 3 == 0, "keep").otherwise("error")
-    decisions = flagged.select("source", "school_name", "pos", decision.alias("decision"))
-    kept, errors = quality.quarantine(flagged, decisions, ["source", "school_name", "pos"])
-    both = kept.withColumn("side", F.lit("kept")).unionByName(errors.withColumn("side", F.lit("errors")))
-    return both.select("source", "school_name", "pos", "side", F.array_join("reasons", "; ").alias("reasons"))
+    """Flagged schools and contacts whose decision is "error" move with their record; the others stay."""
+    reasons = quality.school_unlikely_reasons(F.col("error"), F.col("contacts"), F.col("pages_with_contacts"), F.col("base_url").isNotNull())
+    schools = results(v).withColumn("reasons", reasons)
+    key = ["source", "seq", "school_name"]
+    on_school = F.when(F.col("seq") % 2 == 0, "error").otherwise("keep").alias("decision")
+    on_contact = F.when(F.col("seq") % 3 != 0, "error").otherwise("keep").alias("decision")
+    _, kept, errors = quality.quarantine_results(
+        schools, _flagged(v), key, "pos", schools.select(*key, on_school), _flagged(v).select(*key, "pos", on_contact)
+    )
+    none = F.lit(None).cast("string")
+    same = ["flag_type", *key, F.col("pos").cast("int").alias("pos"), "base_url", "alt_url", F.array_join("reasons", "; ").alias("reasons")]
+    kept = kept.withColumns({"flag_type": F.lit("kept"), "base_url": none, "alt_url": none})
+    return errors.select(*same).unionByName(kept.select(*same))
 
 
 @query(
@@ -137,9 +151,16 @@ def list_classification(v: Views) -> DataFrame:
 
 # --- extraction ---------------------------------------------------------------------------
 
-MAIL_RE = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,24}\b"
-PHONE_RE = r"(?:\+?1[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}(?:\s*(?:x|ext\.?)\s*\d+)?"
-MESSAGE_RE = r"(?i)send\s*email|send\s*message|email|message"
+
+
+def _unicode(pattern: str) -> str:
+    """A pattern of the data model with its classes spelled out, as the checking engine's are ASCII."""
+    return pattern.replace(r"[\s.-]", f"[{WS[1:-1]}.-]").replace(r"\s", WS).replace(r"\d", r"\p{Nd}")
+
+
+MAIL_RE = M.EMAIL_PATTERN.split(")", 1)[1]  # the checking engine has no look-behind
+PHONE_RE = _unicode(M.PHONE_PATTERN)
+MESSAGE_RE = "(?i)" + _unicode(M.MESSAGE_PATTERN)
 
 
 def signals_sql(table: str, key: str, text: str) -> str:
@@ -168,9 +189,23 @@ def extract_blocks(v: Views) -> DataFrame:
     return out.select("page_id", "url", "link_email", F.array_join("lines", " | ").alias("lines"))
 
 
+@query(
+    "card_blocks",
+    """SELECT 1000000000 + s_suppkey AS page_id, 'https://d' || s_suppkey || '.example.org/staff' AS url, 'S' || s_suppkey || '@D.example.org' AS link_email,
+      s_name || ' JONES | ' || CASE s_suppkey % 4 WHEN 0 THEN 'Dean Of Students' WHEN 1 THEN 'school counselor' WHEN 2 THEN 'Assistant Principal' ELSE 'Admissions' END
+      || ' | Room ' || s_nationkey || ' | (618)' || CASE WHEN s_suppkey % 3 = 0 THEN chr(160) ELSE ' ' END || '555-' || lpad(cast(s_suppkey % 10000 AS varchar), 4, '0') AS lines
+    FROM supplier
+    UNION ALL SELECT 1000000000 + s_suppkey, 'https://d' || s_suppkey || '.example.org/staff', 'p' || s_suppkey || '@x.example.org',
+      'Pat Plain | Principal | p' || s_suppkey || '@x.example.org' FROM supplier""",
+)
+def card_blocks(v: Views) -> DataFrame:
+    """Blocks of the pages made from suppliers; ``extract_blocks`` takes the raw pages as well."""
+    return extract_blocks(v).filter("page_id >= 1000000000")
+
+
 FIELDS_SQL = """SELECT 1000000000 + s_suppkey AS page_id, 'Supplier#' || lpad(cast(s_suppkey AS varchar), 9, '0') || ' Jones' AS name,
       CASE s_suppkey % 4 WHEN 0 THEN 'Dean Of Students' WHEN 1 THEN 'School Counselor' ELSE 'Admissions' END AS title, 'Room ' || s_nationkey AS dept,
-      '(618) 555-' || lpad(cast(s_suppkey % 10000 AS varchar), 4, '0') AS phone, 's' || s_suppkey || '@d.example.org' AS email
+      '(618)' || CASE WHEN s_suppkey % 3 = 0 THEN chr(160) ELSE ' ' END || '555-' || lpad(cast(s_suppkey % 10000 AS varchar), 4, '0') AS phone, 's' || s_suppkey || '@d.example.org' AS email
     FROM supplier WHERE s_suppkey % 4 <> 2
     UNION ALL SELECT 1000000000 + s_suppkey, 'Pat Plain', 'Principal', '', '', 'p' || s_suppkey || '@x.example.org' FROM supplier"""
 
@@ -186,16 +221,14 @@ def _term_sql(words: list[str], mode: str) -> str:
     return rf"\b(?:{body})\b" if mode == "word" else body
 
 
-TERMS = "principal counselor dean admissions".split() + ["college counselor", "career counselor", "dean of students", "student services", "student affairs"]
-REJECTS = "elementary intermediate primary pre-k es bes sub substitute assistant".split() + ["grade school", "middle school", "junior high"]
 TITLE_TEXT = "coalesce(job_name, '') || ' ' || CASE staff_id % 5 WHEN 0 THEN 'Dean of Students' WHEN 1 THEN 'Student Services' WHEN 2 THEN 'primary counselor' WHEN 3 THEN 'Deanery' ELSE '' END"
 
 
 @query(
     "title_match",
     f"""WITH t AS (SELECT staff_id, lower({TITLE_TEXT}) AS x FROM staff_rows)
-    SELECT staff_id, regexp_matches(x, '{_term_sql(TERMS, "sub")}') AND NOT regexp_matches(x, '{_term_sql(REJECTS, "sub")}') AS anywhere,
-      regexp_matches(x, '{_term_sql(TERMS, "word")}') AND NOT regexp_matches(x, '{_term_sql(REJECTS, "word")}') AS whole_word FROM t""",
+    SELECT staff_id, regexp_matches(x, '{_term_sql(M.TITLE_TERMS, "sub")}') AND NOT regexp_matches(x, '{_term_sql(M.TITLE_REJECTS, "sub")}') AS anywhere,
+      regexp_matches(x, '{_term_sql(M.TITLE_TERMS, "word")}') AND NOT regexp_matches(x, '{_term_sql(M.TITLE_REJECTS, "word")}') AS whole_word FROM t""",
 )
 def title_match(v: Views) -> DataFrame:
     line = F.expr(TITLE_TEXT)
@@ -250,20 +283,21 @@ def pages_with_contacts(v: Views) -> DataFrame:
     """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE cast(n_chars AS integer) END AS enrollment FROM documents""",
 )
 def extract_enrollment(v: Views) -> DataFrame:
-    figure = F.concat(F.lit(" Total Enrollment: "), F.format_number("n_chars", 0), F.lit(" students"))
+    gap = F.when(F.col("doc_id") % 2 == 0, "\u00a0").otherwise(" ")
+    figure = F.concat(F.lit(" Total Enrollment:"), gap, F.format_number("n_chars", 0), F.lit(" students"))
     docs = v.documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat("text", figure)).alias("text"))
     return extract.extract_enrollment(docs, "doc_id", "text")
 
 
 @query(
     "split_outcomes",
-    """SELECT r.source, r.seq AS school, count(c.pos) AS n_records, CASE WHEN count(c.pos) > 0 THEN 'completed' ELSE 'still_working' END AS outcome
-      FROM result_rows r LEFT JOIN result_contacts c ON r.source = c.source AND r.seq = c.seq WHERE r.source = 'completed' GROUP BY ALL""",
+    """SELECT s.school, count(c.pos) AS n_records, CASE WHEN count(c.pos) > 0 THEN 'completed' ELSE 'still_working' END AS outcome
+      FROM (SELECT DISTINCT source || ':' || seq AS school FROM result_rows) s
+      LEFT JOIN (SELECT source || ':' || seq AS school, pos FROM result_contacts) c ON s.school = c.school GROUP BY ALL""",
 )
 def split_outcomes(v: Views) -> DataFrame:
-    sites = v.result_rows.filter("source = 'completed'").select("source", F.col("seq").alias("school"))
-    records = v.result_contacts.filter("source = 'completed'").select(F.col("seq").alias("school"))
-    return extract.split_outcomes(sites, records)
+    site = F.concat_ws(":", "source", F.col("seq").cast("string")).alias("school")
+    return extract.split_outcomes(v.result_rows.select(site).distinct(), v.result_contacts.select(site))
 
 
 TEXT_BLOCKS_SQL = f"""tb AS (SELECT staff_id AS page_id, coalesce(trim(name), '') AS l1, coalesce(trim(job_name), '') AS l2, coalesce(phone, '') AS l3,
@@ -276,7 +310,7 @@ TEXT_BLOCKS_SQL = f"""tb AS (SELECT staff_id AS page_id, coalesce(trim(name), ''
 @query(
     "text_contact",
     f"""WITH {TEXT_BLOCKS_SQL} SELECT page_id, name, list_filter(nx, lambda x: NOT regexp_matches(x, '{PHONE_RE}') AND NOT regexp_matches(x, '{MAIL_RE}')
-      AND regexp_matches(lower(x), '{_term_sql(TERMS, "word")}') AND NOT regexp_matches(lower(x), '{_term_sql(REJECTS, "word")}'))[1] AS title,
+      AND regexp_matches(lower(x), '{_term_sql(M.TITLE_TERMS, "word")}') AND NOT regexp_matches(lower(x), '{_term_sql(M.TITLE_REJECTS, "word")}'))[1] AS title,
       nullif(l3, '') AS phone, nullif(l4, '') AS email FROM fa""",
 )
 def text_contact(v: Views) -> DataFrame:

@@ -62,7 +62,7 @@ def clean_text(v: Views) -> DataFrame:
     return v.documents.select("doc_id", F.md5(X.clean_text(padded)).alias("cleaned"))
 
 
-RAW_NUMBER = """CASE p_partkey % 8 WHEN 0 THEN ' ' || p_retailprice WHEN 1 THEN '(Pending)' WHEN 2 THEN 'none' WHEN 3 THEN '' WHEN 4 THEN '-' || p_size || '.9'
+RAW_NUMBER = """CASE p_partkey % 12 WHEN 8 THEN '5d' WHEN 9 THEN '1f' WHEN 10 THEN '0x10p0' WHEN 11 THEN '1e3' WHEN 0 THEN ' ' || p_retailprice WHEN 1 THEN '(Pending)' WHEN 2 THEN 'none' WHEN 3 THEN '' WHEN 4 THEN '-' || p_size || '.9'
       WHEN 5 THEN p_name WHEN 6 THEN NULL ELSE cast(p_partkey AS varchar) || ' ' END"""
 
 

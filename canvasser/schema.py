@@ -145,6 +145,19 @@ HEADER_SYNONYMS = {
     "school type": "schoolType",
     "notes": "notes",
 }
+# Fixed texts of the report: headings by section, and the labels of the summary columns.
+REPORT_HEADINGS = {
+    1: ["", "=== SUMMARY ==="],
+    2: ["", "=== TOP ENGAGED SCHOOLS ===", "School,Score,Activities,Active Contacts,Events Appeared"],
+    3: ["", "=== SCHOOLS NEEDING ATTENTION ===", "School,County,Contacts,Last Activity,Priority,Issues"],
+}
+REPORT_METRICS = [
+    ("Total Schools", "total_schools"),
+    ("Active Contacts", "active_contacts"),
+    ("Total Events", "total_events"),
+    ("Schools Engaged (with activity)", "engaged_schools"),
+    ("Total Event Attendees", "total_attendees"),
+]
 # Fixed values of the page extraction.
 EMAIL_PATTERN = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,24}\b"
 MESSAGE_PATTERN = r"send\s*email|send\s*message|email|message"

@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Run-time settings every job relies on: UTC arithmetic, run-time re-planning and the
-# splitting of skewed join partitions even where that costs one more exchange.
+# Settings for local runs, and advice for a cluster: UTC arithmetic, run-time re-planning and
+# the splitting of skewed join partitions even where that costs one more exchange.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -27,7 +27,7 @@ _OWN_DIRS: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings; partition counts and memory stay with the cluster."""
+    """Apply the settings to a session of one's own; the library never changes a caller's session."""
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -37,13 +37,13 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, local mode) one temporary folder is made per
-    application.
+    Where the setting is absent, one temporary folder is made per application if all tasks run
+    in the driver's process; elsewhere that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if not (master == "local" or master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         app = spark.sparkContext.applicationId
         if app not in _OWN_DIRS:

@@ -75,23 +75,24 @@ def write_email_list(contacts: DataFrame, order: str, path: str) -> None:
     contacts.orderBy(order).select("email").write.text(path, lineSep=", ")
 
 
-def engagement_report(summary: DataFrame, top: DataFrame, attention: DataFrame) -> DataFrame:
+def engagement_report(summary: DataFrame, top: DataFrame, attention: DataFrame, as_of: str, title: str = "Outreach Report") -> DataFrame:
     """Report as (section, k1, k2, line) rows: metrics, top schools, schools needing attention.
 
-    Rows of a section sort by (k1, k2); no global numbering is needed.
+    Each section has a heading, the last two a line of column names. Rows of a section sort by
+    (k1, k2); no global numbering is needed.
     """
-    # Fixed texts.
-    metrics = [
-        ("Total Schools", "total_schools"),
-        ("Total Contacts", "active_contacts"),
-        ("Total Events", "total_events"),
-        ("Schools Engaged (with activity)", "engaged_schools"),
-        ("Total Event Attendees", "total_attendees"),
-    ]
+    generated = F.concat(F.lit("Generated: "), F.date_format(F.lit(as_of).cast("timestamp_ntz"), "MMMM d, yyyy"))
+
+    def entry(section: Column, k: int, line: Column) -> Column:
+        return F.struct(section.alias("section"), F.lit(f"{k:03d}").alias("k1"), F.lit("").alias("k2"), line.alias("line"))
+
+    heads = [entry(F.lit("1 heading"), k, x) for k, x in enumerate([F.lit(title), generated])]
+    heads += [entry(F.lit(f"{s} heading"), k + (2 if s == 1 else 0), F.lit(x)) for s, lines in M.REPORT_HEADINGS.items() for k, x in enumerate(lines)]
+    headings = summary.select(F.inline(F.array(*heads)))
     entries = F.array(
         *[
             F.struct(F.lit(f"{i:03d}").alias("k1"), F.concat(F.lit(f"{label}: "), F.col(c).cast("string")).alias("line"))
-            for i, (label, c) in enumerate(metrics)
+            for i, (label, c) in enumerate(M.REPORT_METRICS)
         ]
     )
     head = summary.select(F.lit("1 summary").alias("section"), F.inline(entries))
@@ -114,7 +115,7 @@ def engagement_report(summary: DataFrame, top: DataFrame, attention: DataFrame)
             quote(F.array_join("issues", "; ")),
         ).alias("line"),
     )
-    return head.unionByName(best).unionByName(need)
+    return headings.unionByName(head).unionByName(best).unionByName(need)
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -50,7 +50,8 @@ def test_catalog(spark):
     combined = catalog.combine_results(still, done)
     assert catalog.scrape_coverage(combined).first().asDict() == dict(total=4, missing_website=1, no_contacts=2, with_contacts=1)
     lists = rows(catalog.export_lists(rules, still, done))
-    assert ("schools_with_empty_alt_urls", "Solo") in lists and sum(1 for t, _ in lists if t == "all_school_names") == 4
+    assert ("schools_with_empty_alt_urls", "Solo", None, None, [], 0, None) in lists and sum(x[0] == "all_school_names" for x in lists) == 4
+    assert ("all_school_names", "Alpha", "b1", "u1", ["/p"], 1, "late") in lists
 
 
 def test_rule_edits(spark):

@@ -131,3 +131,46 @@ def test_signatures(spark):
 def test_form_errors(spark):
     df = spark.createDataFrame([("N", "C", "", "x", "IL", "1234")], "name string, county string, address string, city string, state string, zip_code string")
     assert df.select(quality.school_form_errors()).first()[0] == ["address", "zip_code"]
+
+
+def test_no_break_spaces_and_letter_case(spark):
+    """White space, digits and case count as Unicode has them."""
+    text = "Call (618) 555 1234 or +1 217-555-0000. Enrollment: 1,234"
+    df = spark.createDataFrame([(1, text)], "k int, t string")
+    assert [r.value for r in extract.extract_signals(df, "k", "t").collect()] == ["(618) 555 1234", "+1 217-555-0000"]
+    assert extract.extract_enrollment(df, "k", "t").first().enrollment == 1234
+    blocks = spark.createDataFrame([(1, "u", 0, "", ["(618) 555 1234", "Ann Lee", "Principal"])], "page_id long, url string, signal int, link_email string, lines array<string>")
+    row = extract.assign_fields(blocks).first()
+    assert (row.name, row.phone, row.dept) == ("Ann Lee", "(618) 555 1234", "")
+
+
+def test_page_filter_keeps_every_page_with_a_signal(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    parts = ["<a href='x'>", "</a>", "Email", "Emaıl", "EMAİL", "meſſage", "MESSAGE", "a@b.org", "&commat;", "&#64;", "mailto:", "SENDTO:", "<p>", "plain ", "<li>", "K"]
+    pages: list[str] = []
+
+    @settings(max_examples=200, deadline=None, database=None)
+    @given(st.lists(st.sampled_from(parts), max_size=8))
+    def collect(chosen):
+        pages.append("<html><div>one<br>two<div>" + "".join(chosen) + "</div></div></html>")
+
+    collect()
+    df = spark.createDataFrame(list(enumerate(pages)), "k int, html string")
+    kept = {r.k for r in df.filter(extract._may_signal("html")).collect()}
+    assert {k for k, page in enumerate(pages) if extract._signals(extract._Tree(page).root)} <= kept
+
+
+def test_whole_results_in_quarantine(spark):
+    schools = spark.createDataFrame(
+        [("A", None, None, [], ["school_urls is missing"]), ("B", "b", "alt", ["/p"], [])],
+        "school string, base_url string, alt_url string, pages_with_contacts array<string>, reasons array<string>",
+    )
+    contacts = spark.createDataFrame([("A", 0, "x", ["r"]), ("B", 0, "y", ["r"]), ("B", 1, "z", [])], "school string, pos int, name string, reasons array<string>")
+    votes = spark.createDataFrame([("A", "error"), ("B", "error")], "school string, decision string")
+    places = spark.createDataFrame([("A", 0, "error"), ("B", 0, "error"), ("B", 1, "error")], "school string, pos int, decision string")
+    kept, people, errors = quality.quarantine_results(schools, contacts, ["school"], "pos", votes, places)
+    assert rows(kept, "school") == [("B",)] and rows(people, "name") == [("z",)]
+    got = {r.flag_type: r for r in errors.collect()}
+    assert got["school_result"].school == "A" and got["contact"].base_url == "b" and '"name":"y"' in got["contact"].record
