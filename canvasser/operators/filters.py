@@ -87,7 +87,10 @@ def target_list(
     school_type: str | None = None,
     event_id=None,
 ) -> DataFrame:
-    """Contacts to address. An event id that does not exist leaves the list unfiltered."""
+    """Contacts to address. An event id that does not exist leaves the list unfiltered.
+
+    Whether it exists is part of the plan (a scalar subquery), so building it runs no job.
+    """
     out = filter_contacts(
         contacts,
         verified=None if include_unverified else True,
@@ -96,8 +99,10 @@ def target_list(
     )
     if county or school_type:
         out = contacts_semi_school(out, schools, county, school_type)
-    if event_id is not None and not events.filter(F.col("event_id") == event_id).isEmpty():
-        out = contacts_semi_event(out, participation, event_id)
+    if event_id is not None:
+        known = events.filter(F.col("event_id") == event_id).agg(F.count("*"))
+        unknown = out.filter(known.scalar() == 0)
+        out = contacts_semi_event(out, participation, event_id).filter(known.scalar() > 0).unionByName(unknown)
     return out
 
 
@@ -191,7 +196,8 @@ def filter_high_school_facilities(sheet: DataFrame, width: int = 13) -> DataFram
 def month_calendar(events: DataFrame, month: str) -> DataFrame:
     """Events of a month (``yyyy-MM``) per calendar day, each day present.
 
-    The days come from a 31-row sequence; the events are cut to the month before the join.
+    The events stay where they are; only days without any are added, so a day on which most
+    events fall is not one task's work.
     """
     spark = events.sparkSession
     first = F.to_date(F.lit(f"{month}-01"))
@@ -200,7 +206,8 @@ def month_calendar(events: DataFrame, month: str) -> DataFrame:
     in_month = events.filter(
         (F.col("date") >= begin) & (F.col("date") < F.add_months(first, 1).cast("timestamp_ntz"))
     ).withColumn("day", F.to_date("date"))
-    return days.join(in_month, "day", "left")
+    empty = days.join(in_month.select("day").distinct(), "day", "left_anti")
+    return in_month.select("day", *events.columns).unionByName(empty, allowMissingColumns=True)
 
 
 def facet_values(df: DataFrame, column: str) -> DataFrame:
@@ -222,4 +229,6 @@ def catalog_search(rules: DataFrame, schools_list: DataFrame, term: str) -> Data
     hits = rules.filter(F.contains(F.lower("school"), F.lit(needle)) if needle else F.lit(False))
     hits = hits.select("school", F.size("alt_urls").alias("n_alt_urls"))
     listed = schools_list.select(F.trim("name").alias("school"), F.col("pos").alias("position"))
-    return hits.join(listed, "school", "left")
+    # An inner join can be split where a name is listed very often; a left join could not.
+    bare = hits.join(listed.select("school").distinct(), "school", "left_anti")
+    return hits.join(listed, "school").unionByName(bare, allowMissingColumns=True)

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canvasser import schema as M
 from canvasser.functions import text as X
@@ -39,13 +40,18 @@ def merge_upsert(
     overlay: Sequence[str] | None = None,
     seq: str | None = None,
     defaults: Mapping[str, Column] | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """New target plus ``_action`` (insert, update, keep).
 
     A match overlays the ``overlay`` columns (default: every incoming column) and keeps the
     others. An unmatched row is inserted with all its columns; columns it lacks take
     ``defaults`` or null. A row with a null key part always inserts. With ``seq`` the last
-    incoming row per key wins; without it the incoming keys must be unique.
+    incoming row per key wins; without it the incoming keys must be unique. ``carry`` names
+    incoming columns that are added to the result, null where no incoming row came.
+
+    One full outer join: a salt, 0 for complete keys and a hash of the row for others, keeps
+    rows without a key apart and spreads them. Both sides are read once.
     """
     keys = list(keys)
     types = {f.name: f.dataType for f in target.schema.fields}
@@ -54,33 +60,33 @@ def merge_upsert(
     overlay = [c for c in (overlay if overlay is not None else given) if c not in keys]
     defaults = dict(defaults or {})
 
-    def fresh(c: str, source: str) -> Column:
+    def fresh(c: str) -> Column:
         if c in given:
-            return F.col(source)
+            return F.col(f"_in_{c}")
         return defaults.get(c, F.lit(None)).cast(types[c])
 
-    keyed = incoming.filter(_complete(keys))
+    def salted(df: DataFrame) -> DataFrame:
+        content = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+        return df.withColumn("_salt", F.when(_complete(keys), F.lit(0).cast("bigint")).otherwise(F.xxhash64(*content)))
+
+    match = [*keys, "_salt"]
+    new = salted(incoming)
     if seq:
-        keyed = latest_per_key(keyed, keys, seq)
-    keyed = keyed.select(*keys, *[F.col(c).alias(f"_in_{c}") for c in given if c not in keys], F.lit(True).alias("_in"))
-    joined = target.filter(_complete(keys)).withColumn("_old", F.lit(True)).join(keyed, keys, "full_outer")
+        new = latest_per_key(new, match, seq)
+    new = new.select(*match, *[F.col(c).alias(f"_in_{c}") for c in given if c not in keys], *carry, F.lit(True).alias("_in"))
+    joined = salted(target).withColumn("_old", F.lit(True)).join(new, match, "full_outer")
     is_new, is_hit = F.col("_old").isNull(), F.col("_in").isNotNull()
 
     def merged(c: str) -> Column:
         if c in keys:
             return F.col(c)
-        value = F.when(is_new, fresh(c, f"_in_{c}"))
+        value = F.when(is_new, fresh(c))
         if c in overlay:
             value = value.when(is_hit, F.col(f"_in_{c}"))
         return value.otherwise(F.col(c)).cast(types[c]).alias(c)
 
     action = F.when(is_new, "insert").when(is_hit, "update").otherwise("keep")
-    out = joined.select(*[merged(c) for c in columns], action.alias("_action"))
-    loose = incoming.filter(~_complete(keys)).select(
-        *[fresh(c, c).cast(types[c]).alias(c) for c in columns], F.lit("insert").alias("_action")
-    )
-    unkeyed = target.filter(~_complete(keys)).withColumn("_action", F.lit("keep"))
-    return out.unionByName(loose).unionByName(unkeyed)
+    return joined.select(*[merged(c) for c in columns], action.alias("_action"), *carry)
 
 
 def change_counts(merged: DataFrame, table: str) -> DataFrame:
@@ -120,7 +126,8 @@ def import_schools(target: DataFrame, rows: DataFrame, new_key: Column | None =
         overlay=["county_name", "address", "city", "zipcode", "type_of_school", "data_source"],
         defaults={"is_active": F.lit(True), "is_verified": F.lit(False), "priority_tier": F.lit("standard")},
     )
-    made = new_key if new_key is not None else F.expr("uuid()")
+    # Names are unique by now, so their hash is; it is the same whenever a task is repeated.
+    made = new_key if new_key is not None else F.concat(F.lit("imported|"), F.md5(F.lower("name")))
     merged = merged.withColumn("facility_key", F.coalesce("facility_key", made.cast("string")))
     extra = repeats.select("name").withColumn("_action", F.lit("duplicate_in_batch"))
     return merged.unionByName(extra, allowMissingColumns=True)
@@ -266,11 +273,8 @@ def upsert_staff(staff: DataFrame, incoming: DataFrame, seq: Sequence[str], rese
     columns = ["staff_id", "phone", *STAFF_KEY]
     if reset_verification:
         changed = F.col("staff_id").isNotNull() & ~F.col("phone").eqNullSafe(F.col("_old_phone"))
-        rows = rows.select(*columns, changed.alias("_changed"))
-        merged = merge_upsert(staff, rows.drop("_changed"), ["staff_id"])
-        marks = rows.filter("_changed").select("staff_id", "_changed")
-        merged = merged.join(marks, "staff_id", "left")
-        hit = F.col("_changed").isNotNull()
+        merged = merge_upsert(staff, rows.select(*columns, changed.alias("_changed")), ["staff_id"], carry=["_changed"])
+        hit = F.coalesce("_changed", F.lit(False))
         return merged.withColumns(
             {
                 "is_verified": F.when(hit, F.lit(False)).otherwise(F.col("is_verified")),

@@ -224,25 +224,17 @@ def county_school_summary(schools: DataFrame, contacts: DataFrame, participation
     (county, event) pairs, which is a plain two-step aggregate.
     """
     located = has_county(schools).select("school_id", "county", "is_verified")
-    base = located.groupBy("county").agg(
-        F.count("*").alias("total_schools"), F.count_if("is_verified").alias("verified_schools")
+    facts = located
+    for child, name in ((contacts, "_contacts"), (programs, "_programs")):
+        facts = facts.join(child.groupBy("school_id").agg(F.count("*").alias(name)), "school_id", "left")
+    per_county = facts.groupBy("county").agg(
+        F.count("*").alias("total_schools"), F.count_if("is_verified").alias("verified_schools"),
+        F.coalesce(F.sum("_contacts"), F.lit(0)).alias("total_contacts"), F.coalesce(F.sum("_programs"), F.lit(0)).alias("total_programs"),
     )
-    place = located.select("school_id", "county")
-
-    def carried(child: DataFrame, name: str) -> DataFrame:
-        per_school = child.groupBy("school_id").agg(F.count("*").alias("_n"))
-        return per_school.join(place, "school_id").groupBy("county").agg(F.sum("_n").alias(name))
-
-    pairs = participation.select("school_id", "event_id").distinct().join(place, "school_id")
+    pairs = participation.select("school_id", "event_id").distinct().join(located.select("school_id", "county"), "school_id")
     events = pairs.select("county", "event_id").distinct().groupBy("county").agg(F.count("*").alias("total_events"))
-    out = base
-    for child, name in (
-        (carried(contacts, "total_contacts"), "total_contacts"),
-        (events, "total_events"),
-        (carried(programs, "total_programs"), "total_programs"),
-    ):
-        out = out.join(child, "county", "left").withColumn(name, _n(name))
-    return out
+    out = per_county.join(events, "county", "left").withColumn("total_events", _n("total_events"))
+    return out.select("county", "total_schools", "verified_schools", "total_contacts", "total_events", "total_programs")
 
 
 def county_engagement_rate(schools: DataFrame, participation: DataFrame) -> DataFrame:

@@ -338,12 +338,16 @@ def contact_rank(v: Views) -> DataFrame:
     FROM t FULL JOIN d ON t.facility_key = d.facility_key LEFT JOIN r ON r.facility_key = d.facility_key AND rk = 1""",
 )
 def upsert_city_schools(v: Views) -> DataFrame:
+    return _city_schools(v).withColumnRenamed("_action", "action")
+
+
+def _city_schools(v: Views) -> DataFrame:
     none = F.lit(None).cast("string")
     target = v.directory_rows.filter("trim(administrator_name) = ''").select(
         X.city_school_key("school_name").alias("facility_key"), F.lit("old").alias("name"),
         none.alias("phone_number"), none.alias("website"), none.alias("admin"),
     )
-    return merge.upsert_city_schools(target, _directory(v)).withColumnRenamed("_action", "action")
+    return merge.upsert_city_schools(target, _directory(v))
 
 
 def _key_sql(*cols: str) -> str:
@@ -400,12 +404,16 @@ def reset_verification_on_change(v: Views) -> DataFrame:
     FROM inc i LEFT JOIN o ON o.name = i.name AND o.school_worked_at = i.school_worked_at AND o.job_name IS NOT DISTINCT FROM i.job_name""",
 )
 def upsert_staff_city(v: Views) -> DataFrame:
+    return _city_staff(v).withColumnRenamed("_action", "action")
+
+
+def _city_staff(v: Views) -> DataFrame:
     rows = merge.city_staff_rows(_directory(v))
     slot = F.when(F.col("job_name") == "Principal", 0).otherwise(1)
     old = rows.filter("phone is not null").select(
         (F.col("seq") * 10 + slot).alias("staff_id"), "name", F.lit("x").alias("phone"), "email", "job_name", "school_worked_at"
     )
-    return merge.upsert_staff(old, rows, ["seq", "pos"]).withColumnRenamed("_action", "action")
+    return merge.upsert_staff(old, rows, ["seq", "pos"])
 
 
 @query(
@@ -702,26 +710,38 @@ def upsert_calendar_events(v: Views) -> DataFrame:
 
 @query(
     "load_summary",
-    f"""WITH {LINKED_SQL}, {STAFF_TARGET_SQL},
+    f"""WITH {LINKED_SQL}, {STAFF_TARGET_SQL}, {DIRECTORY_SQL},
+    ct AS (SELECT {CITY_KEY} AS facility_key FROM directory_rows WHERE trim(administrator_name) = ''),
+    ci AS (SELECT contact_name AS name, phone, job_name, facility_key AS school_worked_at, seq, slot FROM p),
+    co AS (SELECT seq * 10 + slot AS staff_id, name, job_name, school_worked_at FROM ci WHERE phone IS NOT NULL),
+    cm AS (SELECT co.staff_id FROM ci LEFT JOIN co ON co.name = ci.name AND co.school_worked_at = ci.school_worked_at AND co.job_name IS NOT DISTINCT FROM ci.job_name),
     z AS (SELECT facility_key FROM fn GROUP BY 1), cy AS (SELECT DISTINCT {norm_sql('County')} AS cn FROM facility_list)
     SELECT 'county' AS "table", 'insert' AS action, count(*) AS rows FROM cy WHERE cn <> '' HAVING count(*) > 0
     UNION ALL SELECT 'schools', 'insert', count(*) FROM z HAVING count(*) > 0
     UNION ALL SELECT 'staff', CASE WHEN staff_id IS NULL THEN 'insert' ELSE 'update' END, count(*) FROM mt GROUP BY ALL
     UNION ALL SELECT 'staff', 'keep', count(*) FROM old WHERE staff_id NOT IN (SELECT staff_id FROM mt WHERE staff_id IS NOT NULL) HAVING count(*) > 0
     UNION ALL SELECT 'staff', 'skipped_unknown_school', count(*) FROM cp WHERE {norm_sql('nm')} NOT IN (SELECT name_key FROM fby)
-    UNION ALL SELECT 'staff', 'unique_incoming', count(*) FROM inc""",
+    UNION ALL SELECT 'staff', 'unique_incoming', count(*) FROM inc
+    UNION ALL SELECT 'city_schools', CASE WHEN ct.facility_key IS NULL THEN 'insert' WHEN d.facility_key IS NULL THEN 'keep' ELSE 'update' END, count(*)
+      FROM ct FULL JOIN d ON ct.facility_key = d.facility_key GROUP BY ALL
+    UNION ALL SELECT 'city_staff', CASE WHEN staff_id IS NULL THEN 'insert' ELSE 'update' END, count(*) FROM cm GROUP BY ALL
+    UNION ALL SELECT 'city_staff', 'unique_incoming', count(*) FROM ci""",
 )
 def load_summary(v: Views) -> DataFrame:
+    """Rows per action of a whole load, with the city directory's schools and staff."""
     linked = _linked(v)
     counties = merge.upsert_counties(merge.county_rows(v.facility_list).limit(0), v.facility_list)
     schools = merge.facility_rows(v.facility_list)
     merged_schools = merge.merge_upsert(schools.limit(0), schools, ["facility_key"])
     staff = merge.upsert_staff(_old_staff(linked), linked, ["seq", "pos"])
-    single = lambda df, action: df.agg(F.count("*").alias("rows")).select(F.lit("staff").alias("table"), F.lit(action).alias("action"), "rows")
+    single = lambda df, action, table="staff": df.agg(F.count("*").alias("rows")).select(F.lit(table).alias("table"), F.lit(action).alias("action"), "rows")
     skipped = joins.unknown_schools(completed_with_list_names(v), v.facility_list)
     out = merge.change_counts(counties, "county").unionByName(merge.change_counts(merged_schools, "schools"))
     out = out.unionByName(merge.change_counts(staff, "staff")).unionByName(single(skipped, "skipped_unknown_school"))
-    return out.unionByName(single(staff.filter("_action <> 'keep'"), "unique_incoming"))
+    out = out.unionByName(single(staff.filter("_action <> 'keep'"), "unique_incoming"))
+    city_staff = _city_staff(v)
+    out = out.unionByName(merge.change_counts(_city_schools(v), "city_schools")).unionByName(merge.change_counts(city_staff, "city_staff"))
+    return out.unionByName(single(city_staff.filter("_action <> 'keep'"), "unique_incoming", "city_staff"))
 
 
 # --- action log ---------------------------------------------------------------------------
