@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvasser.functions import text as X
+from canvasser.functions.ordering import latest_per_key
 
 
 def _keyed(df: DataFrame, key: str, seq: str) -> DataFrame:
@@ -170,6 +173,64 @@ def export_lists(rules: DataFrame, still_working: DataFrame, completed: DataFram
     return lists.unionByName(bare).unionByName(names)
 
 
+_OBJECT, _LIST = "map<string,string>", "array<string>"  # nested values stay JSON text
+
+
+def _item_name(item: F.Column) -> F.Column:
+    """First text of the usual name fields of an object."""
+    fields = F.from_json(item, _OBJECT)
+    return F.coalesce(*[X.clean_text(F.try_element_at(fields, F.lit(k))) for k in ("SchoolName", "FacilityName", "school")])
+
+
+def _named_entries(text: F.Column) -> F.Column:
+    """Array of (key, value) of a document: rules by name, results by name, or a list of items."""
+    top = F.from_json(text, _OBJECT)
+    rules = F.from_json(F.try_element_at(top, F.lit("school_rules")), _OBJECT)
+    entry = lambda key, value: F.struct(key.alias("key"), value.alias("value"))
+    listed = F.transform(F.from_json(text, _LIST), lambda x: entry(_item_name(x), x))
+    return (
+        F.when(rules.isNotNull(), F.map_entries(rules))
+        .when(top.isNotNull(), F.filter(F.map_entries(top), lambda e: X.has_text(e["key"])))
+        .otherwise(F.filter(listed, lambda e: e["key"].isNotNull()))
+    )
+
+
+def rules_from_json(documents: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Rules (keep..., school, alt_urls) of JSON documents, one document per row, in any of the known shapes.
+
+    An object with ``school_rules``, an object of results by school, or a list of items that name
+    their school. The last item of a name counts. Anything else gives no rule.
+    """
+    rows = documents.select(*keep, F.posexplode(_named_entries(F.col(text))).alias("_ord", "_e"))
+    rows = latest_per_key(rows.withColumn("school", F.col("_e.key")), [*keep, "school"], "_ord")
+    payload = F.from_json("_e.value", _OBJECT)
+    rows = rows.withColumn("_p", payload)
+    at = lambda k: F.try_element_at("_p", F.lit(k))
+    has = lambda k: F.coalesce(F.map_contains_key("_p", F.lit(k)), F.lit(False))
+    one = lambda u: F.array(u)
+    listed, site = F.from_json(at("alt_urls"), _LIST), F.from_json(at("school_urls"), _OBJECT)
+    urls = (
+        F.when(listed.isNotNull(), listed)
+        .when(F.col("_p").isNull(), F.array().cast(_LIST))
+        .when(~has("school_urls") | site.isNotNull(), one(F.try_element_at(site, F.lit("alt_url"))))
+        .when(has("AltUrl"), one(at("AltUrl")))
+        .when(has("alt_url"), one(at("alt_url")))
+        .otherwise(F.array().cast(_LIST))
+    )
+    return rows.select(*keep, "school", X.normalize_urls(urls).alias("alt_urls"))
+
+
+def names_from_json(documents: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Distinct school names (keep..., school) of JSON documents in any of the known shapes, matches included."""
+    top = F.from_json(F.col(text), _OBJECT)
+    matches = F.from_json(F.try_element_at(top, F.lit("matches")), _LIST)
+    is_rules = F.from_json(F.try_element_at(top, F.lit("school_rules")), _OBJECT).isNotNull()
+    matched = F.transform(matches, lambda m: X.clean_text(F.try_element_at(F.from_json(m, _OBJECT), F.lit("school"))))
+    keys = F.transform(_named_entries(F.col(text)), lambda e: e["key"])
+    names = F.when(matches.isNotNull() & ~is_rules, F.array_compact(matched)).otherwise(keys)
+    return documents.select(*keep, F.explode(names).alias("school")).distinct()
+
+
 def bulk_add_rules(rules: DataFrame, incoming: DataFrame) -> DataFrame:
     """Union of alternative addresses per school, first-seen order (one row per school each)."""
     new = incoming.select("school", F.col("alt_urls").alias("_new"))

@@ -744,6 +744,36 @@ def load_summary(v: Views) -> DataFrame:
     return out.unionByName(single(city_staff.filter("_action <> 'keep'"), "unique_incoming", "city_staff"))
 
 
+def _rule_documents(v: Views) -> DataFrame:
+    """Every rule as a JSON document in one of the four shapes."""
+    k, name = F.col("seq") % 4, F.col("school")
+    obj = lambda key, value: F.concat(F.lit('{"'), key, F.lit('": '), value, F.lit("}"))
+    urls = F.to_json(F.split("urls_csv", ","))
+    text = (
+        F.when(k == 0, obj(F.lit("school_rules"), obj(name, obj(F.lit("alt_urls"), urls))))
+        .when(k == 1, obj(name, obj(F.lit("school_urls"), obj(F.lit("alt_url"), F.lit('" https://site "')))))
+        .when(k == 2, F.concat(F.lit('[{"other": 1}, {"SchoolName": " '), name, F.lit(' ", "alt_urls": '), urls, F.lit("}, 5]")))
+        .otherwise(obj(F.lit("matches"), F.concat(F.lit('[{"school": "'), name, F.lit('"}, {"school": " "}, 7]'))))
+    )
+    return v.rule_rows.select("seq", text.alias("text"))
+
+
+@query(
+    "rules_from_json",
+    f"""SELECT seq, CASE WHEN seq % 4 = 3 THEN 'matches' ELSE school END AS school,
+      CASE seq % 4 WHEN 1 THEN 'https://site' WHEN 3 THEN '' ELSE array_to_string(list_filter({URL_CLEAN}, lambda x, i: list_position({URL_CLEAN}, x) = i), ' ') END AS urls
+    FROM rule_rows""",
+)
+def rules_from_json(v: Views) -> DataFrame:
+    out = catalog.rules_from_json(_rule_documents(v), "text", ["seq"])
+    return out.select("seq", "school", F.array_join("alt_urls", " ").alias("urls"))
+
+
+@query("names_from_json", "SELECT seq, school FROM rule_rows")
+def names_from_json(v: Views) -> DataFrame:
+    return catalog.names_from_json(_rule_documents(v), "text", ["seq"])
+
+
 # --- action log ---------------------------------------------------------------------------
 
 
