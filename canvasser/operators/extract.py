@@ -365,6 +365,94 @@ def text_contact(blocks: DataFrame) -> DataFrame:
     )
 
 
+# --- cards: the second extractor ------------------------------------------------------------
+
+
+def _card_starts(root: _Node) -> list[tuple[_Node, str]]:
+    """Where the search for a card begins: elements at a contact signal, with the address of a mail link."""
+    out = []
+    for x in root.walk():
+        if isinstance(x, str):
+            continue
+        texts = [t for t in x.items if isinstance(t, str)]
+        if any(_EMAIL_RE.search(t) for t in texts):
+            out.append((x.parent, _link_target(x)))
+        if any(_MESSAGE_RE.search(t) for t in texts):
+            out.append((x, _link_target(x)))
+        if x.tag == "a" and (
+            x.attrs.get("href", "").startswith("mailto:") or _MESSAGE_RE.search(x.attrs.get("onclick", "")) or _MESSAGE_RE.search(" ".join(x.lines()))
+        ):
+            out.append((x.parent, _link_target(x)))
+    return out
+
+
+def page_cards(html: str) -> Iterator[tuple[int, str, bool, str, list[str]]]:
+    """(place, class signature, candidate, mail address, lines) of the elements that may hold one person.
+
+    A candidate is the first of up to eight enclosing elements of a signal that holds an image
+    and is neither the page nor a paragraph without a class. Other elements with a class come
+    along, as those of the site's usual class are cards too.
+    """
+    root = _Tree(html).root
+    nodes = [x for x in root.walk() if isinstance(x, _Node)]
+    place = {id(x): k for k, x in enumerate(nodes)}
+    pictured = set()
+    for x in nodes:
+        if x.tag == "img":
+            up = x.parent
+            while up is not None and id(up) not in pictured:
+                pictured.add(id(up))
+                up = up.parent
+    signature = lambda x: " ".join(sorted(x.attrs.get("class", "").split()))
+    found: dict[int, str] = {}
+    for node, mail in _card_starts(root):
+        for _ in range(8):
+            if node is None or node.tag in ("", "html"):
+                break
+            if id(node) in pictured and not (node.tag == "p" and not signature(node)):
+                found[id(node)] = found.get(id(node)) or mail
+                break
+            node = node.parent
+    for x in nodes:
+        if id(x) in found or signature(x):
+            yield place[id(x)], signature(x), id(x) in found, found.get(id(x), ""), x.lines()
+
+
+CARD_SCHEMA = "page_id bigint, url string, block_ord int, signature string, candidate boolean, link_email string, lines array<string>"
+
+
+def extract_cards(pages: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, u, *card) for p, u, html in zip(pdf["page_id"], pdf["url"], pdf["html"]) for card in page_cards(html or "")]
+            yield pd.DataFrame(rows, columns=["page_id", "url", "block_ord", "signature", "candidate", "link_email", "lines"])
+
+    return pages.filter(_may_signal("html")).select("page_id", "url", "html").mapInPandas(run, CARD_SCHEMA)
+
+
+def card_contacts(cards: DataFrame, site: Column, least: int = 5) -> DataFrame:
+    """Contacts (site, page_id, name, title, phone, email) of the cards of each site.
+
+    The first page (by id) with ``least`` candidates sets the site's usual classes. Before it
+    every candidate counts, from it on every element of a usual class. Equal contacts of a site
+    are kept once, at their first place.
+    """
+    cards = cards.withColumn("site", site)
+    rank = cards.filter("candidate").select("site", F.col("page_id").alias("page_ord"), "block_ord", "signature")
+    usual = dominant_signatures(rank, least).select("site", "signature").withColumn("_usual", F.lit(True))
+    enough = rank.groupBy("site", "page_ord").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    begin = enough.groupBy("site").agg(F.min("page_ord").alias("_begin")).join(usual.select("site").distinct(), "site", "left_semi")
+    rows = cards.join(begin, "site", "left").join(usual, ["site", "signature"], "left")
+    late = F.col("page_id") >= F.col("_begin")
+    kept = rows.filter(F.coalesce((late & F.col("_usual").isNotNull()) | (~late & F.col("candidate")), F.col("candidate")))
+    kept = kept.withColumn("_card", F.struct("page_id", "block_ord", "site", "link_email"))
+    found = text_contact(kept.select(F.col("_card").alias("page_id"), "lines")).filter("title is not null")
+    found = found.select("page_id.*", "name", "title", "phone", F.coalesce("email", X.blank_to_null("link_email")).alias("email"))
+    same = [F.coalesce(F.lower(F.trim(c)), F.lit("")).alias(f"_{c}") for c in ("name", "title", "phone", "email")]
+    first = F.min(F.struct("page_id", "block_ord", "name", "title", "phone", "email")).alias("f")
+    return found.groupBy("site", *same).agg(first).select("site", "f.page_id", "f.name", "f.title", "f.phone", "f.email")
+
+
 def dominant_signatures(cards: DataFrame, least: int = 5, n: int = 2) -> DataFrame:
     """Per site the most common class signatures of the first page with enough blocks.
 

@@ -204,6 +204,16 @@ VIEWS: dict[str, str] = {
         FROM {customer} WHERE c_custkey % 3 <> 0""",
     "stream_activities": """
         SELECT event_id AS activity_id, user_id AS school_id, event_type AS activity_type, ts AS date FROM {events}""",
+    "staff_pages": """
+        SELECT 2000000000 + s_suppkey AS page_id, 'https://n' || s_nationkey || '.example.org/staff' AS url,
+          '<html><body><div class="menu">Staff</div>'
+          || '<div class="a card"><img src="1"><h3>' || s_name || ' Ada Jones</h3><p>Dean of Students</p><a href="mailto:a' || s_suppkey || '@d.example.org">Email</a></div>'
+          || '<div class="card a"><img src="2"><h3>Ben ' || s_name || '</h3><p>School Counselor</p><p>(618) 555-' || lpad(cast(s_suppkey % 10000 AS string), 4, '0') || '</p><p>b@d.example.org</p></div>'
+          || '<div class="a card"><img src="3"><h3>Cy Fox</h3><p>Assistant Principal</p><a onclick="message(1)">write</a></div>'
+          || '<div class="a card"><img src="4"><h3>Di Lee</h3><p>Admissions</p><a href="mailto:d@d.example.org">write</a></div>'
+          || '<div class="b"><img src="5"><h3>Ed Poe</h3><p>Principal</p><a href="mailto:e@d.example.org">write</a></div>'
+          || '<div class="a card"><h3>No Picture</h3><p>Principal</p></div></body></html>' AS html
+        FROM {supplier}""",
     "site_pages": """
         SELECT page_id, url, html FROM {pages}
         UNION ALL

@@ -278,6 +278,22 @@ def pages_with_contacts(v: Views) -> DataFrame:
     return extract.contacts_with_fallback(_records(v, "completed"), _records(v, "still_working"))[1]
 
 
+@query(
+    "card_contacts",
+    """WITH p AS (SELECT 2000000000 + s_suppkey AS page_id, 'https://n' || s_nationkey || '.example.org' AS site, s_name, s_suppkey FROM supplier),
+    c AS (SELECT site, page_id, s_name || ' Ada' AS name, 'Dean of Students' AS title, cast(NULL AS varchar) AS phone, 'a' || s_suppkey || '@d.example.org' AS email FROM p
+      UNION ALL SELECT site, page_id, 'Ben ' || s_name, 'School Counselor', '(618) 555-' || lpad(cast(s_suppkey % 10000 AS varchar), 4, '0'), 'b@d.example.org' FROM p
+      UNION ALL SELECT site, page_id, 'Di Lee', 'Admissions', NULL, 'd@d.example.org' FROM p
+      UNION ALL SELECT site, page_id, 'Ed Poe', 'Principal', NULL, 'e@d.example.org' FROM p
+      UNION ALL SELECT site, page_id, 'No Picture', 'Principal', NULL, NULL FROM p)
+    SELECT site, min(page_id) AS page_id, name, title, phone, email FROM c GROUP BY site, name, title, phone, email""",
+)
+def card_contacts(v: Views) -> DataFrame:
+    """From pages to contacts by the second extractor: cards, usual classes, text rules."""
+    host = F.regexp_extract("url", "^(https?://[^/]+)", 1)
+    return extract.card_contacts(extract.extract_cards(v.staff_pages), host)
+
+
 @query(
     "extract_enrollment",
     """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE cast(n_chars AS integer) END AS enrollment FROM documents""",

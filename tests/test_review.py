@@ -174,3 +174,14 @@ def test_whole_results_in_quarantine(spark):
     assert rows(kept, "school") == [("B",)] and rows(people, "name") == [("z",)]
     got = {r.flag_type: r for r in errors.collect()}
     assert got["school_result"].school == "A" and got["contact"].base_url == "b" and '"name":"y"' in got["contact"].record
+
+
+def test_cards_need_a_picture_until_the_site_has_a_usual_class(spark):
+    card = "<div class='{0}'>{1}<p>{2} Doe</p><p>Principal</p><a href='mailto:{2}@x.org'>write</a></div>"
+    few = "<html>" + card.format("odd", "<img>", "Ann") + card.format("none", "", "Bo") + "</html>"
+    many = "<html>" + "".join(card.format("c", "<img>", f"P{k}") for k in range(5)) + card.format("c", "", "Cy") + card.format("odd", "<img>", "Di") + "</html>"
+    pages = spark.createDataFrame([(1, "u", few), (2, "u", many), (3, "u", few), (4, "u", None)], "page_id long, url string, html string")
+    got = extract.card_contacts(extract.extract_cards(pages), F.col("url"))
+    names = [(1, "Ann Doe"), *[(2, f"P{k} Doe") for k in range(5)]]
+    assert [x for x in rows(got, "page_id", "name") if x[1] not in ("Cy Doe", "Di Doe")] == names
+    assert (2, "Cy Doe") in rows(got, "page_id", "name")
