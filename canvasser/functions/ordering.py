@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from canvasser.functions.text import strip
+from canvasser.session import fresh_path
 
 _LOWEST = -(2**63) + 1
 
@@ -25,6 +26,31 @@ def top_n_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[C
     return out if rank else out.drop(name)
 
 
+def slice_of_order(df: DataFrame, order: Sequence[str | Column], start: int, size: int, deep: int = 100_000) -> DataFrame:
+    """Rows start ... start + size of a totally ordered table.
+
+    Up to ``deep`` rows the front of the order is taken as it is. Beyond that the rows are sorted
+    in ranges once (written to the shared folder) and counted per range; the wanted positions are
+    then intervals of a row number that grows with the order, so only those rows are read again
+    and no task handles the rows before them.
+    """
+    if start + size <= deep:
+        return df.orderBy(*order).offset(start).limit(size)
+    path = fresh_path(df.sparkSession, "ordered")
+    # A number per row: its range in the high bits, its place in the range in the low 33.
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged.write.parquet(path)
+    rows = df.sparkSession.read.schema(ranged.schema).parquet(path)
+    counts = rows.groupBy(F.shiftright("_at", 33).alias("r")).count().orderBy("r").collect()  # one row per range
+    wanted, before = F.lit(False), 0
+    for r, n in counts:
+        low, high = max(start - before, 0), min(start + size - before, n)
+        if low < high:
+            wanted = wanted | F.col("_at").between((r << 33) + low, (r << 33) + high - 1)
+        before += n
+    return rows.filter(wanted).orderBy("_at").drop("_at")
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], *seq: str) -> DataFrame:
     """Last row per key wins; ``seq`` must order rows of a key totally."""
     return top_n_per_key(df, list(keys), [F.desc(s) for s in seq], 1)

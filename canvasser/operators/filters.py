@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from canvasser.functions import text as X
 from canvasser.functions.dates import AsOf, at
+from canvasser.functions.ordering import slice_of_order
 
 
 def _keep(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
@@ -148,8 +149,8 @@ def table_view(df: DataFrame, search: str, columns: Sequence[str], sort: Column,
 
 
 def paginate(df: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
-    """A page of a totally ordered table. Deep pages cost their offset; prefer ``keyset_page``."""
-    return df.orderBy(*order).offset(page * size).limit(size)
+    """A page of a totally ordered table; see ``slice_of_order`` for deep pages, ``keyset_page`` for runs of pages."""
+    return slice_of_order(df, order, page * size, size)
 
 
 def keyset_page(df: DataFrame, key: str, after, size: int) -> DataFrame:

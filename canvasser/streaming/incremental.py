@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from canvasser.functions.ordering import first_per_key
+from canvasser.functions.ordering import first_per_key, slice_of_order
 from canvasser.operators.merge import apply_changes, merge_upsert
 from canvasser.streaming.tables import KeyedTable
 
@@ -53,11 +53,11 @@ def upsert_sink(table: KeyedTable, rows: DataFrame, seq: str) -> None:
 def cursor_batch(df: DataFrame, key: str, size: int, start: int = 0) -> DataFrame:
     """Slice [start, start + size) in key order; a start behind the end begins again.
 
-    A position costs all rows before it; long runs should keep a key instead (``cursor_after``).
+    A deep start reads only its own range of the order (``slice_of_order``); long runs should
+    keep a key instead (``cursor_after``).
     """
-    ordered = df.orderBy(key)
-    page = ordered.offset(start).limit(size)
-    again = ordered.limit(size).filter(F.lit(start) >= df.agg(F.count("*")).scalar())
+    page = slice_of_order(df, [key], start, size)
+    again = df.orderBy(key).limit(size).filter(F.lit(start) >= df.agg(F.count("*")).scalar())
     return page.unionByName(again)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from canvasser.functions import dates as D
 from canvasser.functions import text as X
 from canvasser.functions.ordering import (
+    slice_of_order,
     first_per_key,
     fold_preferred_website,
     latest_per_key,
@@ -150,3 +151,16 @@ def test_next_in_key_over_stretches(spark):
     assert got == want
     got = {(r.k, r.seq): r.n for r in next_in_key(df, ["k"], "seq", "n", marked=F.col("m"), span=7).collect()}
     assert got == {(k, s): next((t for t in ss if t > s and t % 3 == 0), None) for k, ss in seqs.items() for s in ss}
+
+
+def test_deep_slices_of_an_order(spark):
+    data = [(k * 7919 % 1000, f"v{k}") for k in range(1000)]
+    df = spark.createDataFrame(data, "k int, v string").repartition(5)
+    whole = sorted(data)
+    for start, size in ((0, 10), (333, 40), (990, 30), (2000, 5)):
+        for deep in (0, 10**6):
+            got = slice_of_order(df, ["k"], start, size, deep).collect()
+            assert [tuple(r) for r in got] == whole[start : start + size]
+    down = slice_of_order(df, [F.desc("k")], 5, 3, 0).collect()
+    assert [tuple(r) for r in down] == whole[::-1][5:8]
+    assert slice_of_order(df.limit(0), ["k"], 3, 3, 0).count() == 0
