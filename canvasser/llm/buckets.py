@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canvasser.llm.common import saved
+
 CELL = ["key", "i", "j"]
 
 
@@ -23,6 +25,20 @@ def sized(members: DataFrame, least: int = 2) -> DataFrame:
     return members.join(sizes, "key")
 
 
+def with_sizes(members: DataFrame, block: int, few: int = 10_000) -> DataFrame:
+    """Memberships with n, the size of buckets above ``block``, and 1 for all others.
+
+    Only the large buckets are joined back; while they are few, by broadcast.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    sizes = saved(sizes, "large-buckets")
+    large = sizes.count()
+    if not large:
+        return members.withColumn("n", F.lit(1).cast("bigint"))
+    joined = members.join(F.broadcast(sizes) if large <= few else sizes, "key", "left")
+    return joined.withColumn("n", F.coalesce("n", F.lit(1)))
+
+
 def cells(members: DataFrame, block: int) -> DataFrame:
     """Memberships (with n) with cell (i, j) and the chunk of the item."""
     chunks = F.ceil(F.col("n") / block).cast("int")
@@ -32,17 +48,28 @@ def cells(members: DataFrame, block: int) -> DataFrame:
     return rows.drop("other")
 
 
-def by_cell(rows: DataFrame) -> DataFrame:
+def by_cell(rows: DataFrame, order: str = "item") -> DataFrame:
     """Rows dealt by cell and sorted, for ``whole_cells``."""
-    return rows.repartition(*CELL).sortWithinPartitions(*CELL, "item")
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL, order)
 
 
-def whole_cells(batches: Iterator[pd.DataFrame], work: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _joined(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """Batches put together until they have ``least`` rows."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+        if sum(map(len, held)) >= least:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def whole_cells(batches: Iterator[pd.DataFrame], work: Callable[[pd.DataFrame], pd.DataFrame], least: int = 1) -> Iterator[pd.DataFrame]:
     """Apply ``work`` to runs of rows that hold complete cells; the last cell waits for the next batch."""
     rest: list[pd.DataFrame] = []
-    for batch in batches:
-        if not len(batch):
-            continue
+    for batch in _joined(batches, least):
         last = (batch[CELL] == batch[CELL].iloc[-1]).all(axis=1).to_numpy()
         cut = len(batch) - int(np.argmin(last[::-1])) if not last.all() else 0
         if rest and not (rest[-1][CELL].iloc[-1] == batch[CELL].iloc[0]).all():
@@ -58,23 +85,36 @@ def whole_cells(batches: Iterator[pd.DataFrame], work: Callable[[pd.DataFrame],
 
 def cell_numbers(rows: pd.DataFrame) -> np.ndarray:
     """Number of the cell of each row, in order."""
-    change = (rows[CELL].to_numpy()[1:] != rows[CELL].to_numpy()[:-1]).any(axis=1)
+    change = np.zeros(max(0, len(rows) - 1), bool)
+    for c in CELL:
+        column = rows[c].to_numpy()
+        change |= column[1:] != column[:-1]
     return np.concatenate(([0], np.cumsum(change)))
 
 
-def pairs(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs (row numbers) that meet in the cells of ``rows``, in steps of one distance each."""
+def pairs(rows: pd.DataFrame, ratio: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (row numbers) that meet in the cells of ``rows``, in steps of one distance each.
+
+    With ``ratio`` the rows of a cell come in order of their ``size``, and pairs whose smaller
+    size is below that share of the larger one are left out.
+    """
     cell = cell_numbers(rows)
     chunk = rows["chunk"].to_numpy()
     inner = (rows["i"] == rows["j"]).to_numpy()
+    all_inner = bool(inner.all())
+    size = rows["size"].to_numpy() if ratio else None
     left = np.arange(len(rows))
     step = 1
     while True:
-        left = left[left + step < len(rows)]
-        left = left[cell[left] == cell[left + step]]
+        if len(left) and left[-1] + step >= len(rows):
+            left = left[: np.searchsorted(left, len(rows) - step)]
+        keep = cell[left] == cell[left + step]
+        if ratio:
+            keep &= size[left] >= ratio * size[left + step]
+        left = left[keep]
         if not len(left):
             return
-        use = left[inner[left] | (chunk[left] != chunk[left + step])]
+        use = left if all_inner else left[inner[left] | (chunk[left] != chunk[left + step])]
         if len(use):
             yield use, use + step
         step += 1
