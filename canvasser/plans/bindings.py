@@ -215,8 +215,8 @@ VIEWS: dict[str, str] = {
           || '<div class="a card"><h3>No Picture</h3><p>Principal</p></div></body></html>' AS html
         FROM {supplier}""",
     "site_pages": """
-        SELECT page_id, url, html FROM {pages}
-        UNION ALL
+        SELECT page_id, url, html FROM {pages} UNION ALL SELECT page_id, url, html FROM {card_pages}""",
+    "card_pages": """
         SELECT 1000000000 + s_suppkey AS page_id, 'https://d' || s_suppkey || '.example.org/staff' AS url,
           '<html><body><div class="list"><div class="card"><p>' || s_name || ' JONES</p><p>'
           || CASE s_suppkey % 4 WHEN 0 THEN 'Dean Of Students' WHEN 1 THEN 'school counselor' WHEN 2 THEN 'Assistant Principal'

@@ -185,8 +185,7 @@ def extract_page_signals(v: Views) -> DataFrame:
 
 @query("extract_blocks")
 def extract_blocks(v: Views) -> DataFrame:
-    out = extract.extract_blocks(v.site_pages)
-    return out.select("page_id", "url", "link_email", F.array_join("lines", " | ").alias("lines"))
+    return _blocks(v.site_pages)
 
 
 @query(
@@ -200,7 +199,11 @@ def extract_blocks(v: Views) -> DataFrame:
 )
 def card_blocks(v: Views) -> DataFrame:
     """Blocks of the pages made from suppliers; ``extract_blocks`` takes the raw pages as well."""
-    return extract_blocks(v).filter("page_id >= 1000000000")
+    return _blocks(v.card_pages)
+
+
+def _blocks(pages: DataFrame) -> DataFrame:
+    return extract.extract_blocks(pages).select("page_id", "url", "link_email", F.array_join("lines", " | ").alias("lines"))
 
 
 FIELDS_SQL = """SELECT 1000000000 + s_suppkey AS page_id, 'Supplier#' || lpad(cast(s_suppkey AS varchar), 9, '0') || ' Jones' AS name,
