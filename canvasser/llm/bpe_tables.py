@@ -1,7 +1,7 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Documents are split into pre-tokens ("words") and counted; the count of a frequent word is
-   combined on the map side, so a word of a third of the corpus is one row per task.
+1. Documents are split into words (``Vocabulary.units``) and counted; the count of a frequent
+   word is combined on the map side, so a word of a third of the corpus is one row per task.
 2. Every distinct word is encoded once; the table (word, n, ids) is saved.
 3. Ids are joined back by position. If the whole table fits ``TABLE_BYTES`` it is broadcast and
    texts are not shuffled at all. Beyond that only the most frequent words are broadcast, as many
@@ -33,6 +33,7 @@ from canvasser.llm.common import saved, spans
 from canvasser.llm.hashing import prefix_sums, segments, slice_hashes
 
 TABLE_BYTES = 96 * 1024 * 1024
+SLICES = 8  # parts in which the broadcast table is fetched (a power of two)
 LONGEST = 64  # bytes of a word in a table that holds only the frequent words
 FLUSH = 200_000  # distinct words a task holds before it hands them on
 PIECES = 4_000_000  # most entries of a vocabulary that is broadcast
@@ -63,7 +64,7 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         vocabulary, found = bpe.vocabulary(shared.value), Counter()
         for batch in batches:
             for body in batch["body"]:
-                found.update(vocabulary.split(body))
+                found.update(vocabulary.units(body))
                 if len(found) > FLUSH:
                     yield pd.DataFrame({"word": list(found), "n": list(found.values())})
                     found = Counter()
@@ -76,7 +77,7 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             words = list(batch["word"])
             if not words:
                 continue
-            ids, counts = vocabulary.encode(words)
+            ids, counts = vocabulary.encode_units(words)
             ends = np.cumsum(counts) * 4
             raw = ids.astype("<i4").tobytes()
             cut = [raw[e - 4 * c : e] for e, c in zip(ends.tolist(), counts.tolist())]
@@ -87,23 +88,35 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return saved(distinct.mapInPandas(encode, "word string, n long, hash long, ids binary"), "words")
 
 
-def _broadcast_table(words: DataFrame, table_bytes: int):
-    """The words to broadcast as (hashes, bounds, ids), and the others (None: all are in)."""
-    size = words.agg(F.coalesce(F.sum(F.length("ids") + 12), F.lit(0)), F.count("*") - F.count_distinct("hash")).first()
+def _broadcast_table(words: DataFrame, table_bytes: int, wide: bool):
+    """The words to broadcast as (hashes, bounds, ids), and the others (None: all are in).
+
+    A word takes 12 bytes and 2 for each id, or 4 where ``wide`` says that ids need them.
+    """
+    each = 4 if wide else 2
+    size = words.agg(F.coalesce(F.sum(F.length("ids") / 4 * each + 12), F.lit(0)), F.count("*") - F.count_distinct("hash")).first()
     rest = None
     if size[0] > table_bytes or size[1]:
-        top = words.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(table_bytes // (12 + 4 * LONGEST))
+        top = words.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(table_bytes // (12 + each * LONGEST))
         top = saved(top, "frequent")
         rest = words.join(top, "word", "left_anti")
         words = top
-    got = words.select("hash", F.length("ids").alias("size"), "ids").toArrow()
-    hashes = got["hash"].to_numpy()
-    counts = got["size"].to_numpy().astype(np.int64) // 4
-    raw = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(b"".join(part.to_pylist()), "<i4") for part in got["ids"].chunks)])
-    raw = raw.astype(np.uint16 if len(raw) == 0 or raw.max() < 2**16 else np.int32)
-    order = np.argsort(hashes)
-    ids = raw[_ragged((np.cumsum(counts) - counts)[order], counts[order])]
-    return (hashes[order], np.concatenate(([0], np.cumsum(counts[order]))).astype(np.int32 if len(ids) < 2**31 else np.int64), ids), rest
+    parts = []
+    for k in range(-SLICES // 2, SLICES // 2):  # ranges of the hash in turn, so the driver holds little besides the table
+        part = words.filter(F.shiftright("hash", 64 - SLICES.bit_length() + 1) == k).select("hash", F.length("ids").alias("size"), "ids").toArrow()
+        hashes, counts = part["hash"].to_numpy(), part["size"].to_numpy().astype(np.int64) // 4
+        raw = np.concatenate([np.zeros(0, np.int32 if wide else np.uint16), *(_plain_ids(c, wide) for c in part["ids"].chunks)])
+        order = np.argsort(hashes)
+        parts.append((hashes[order], counts[order].astype(np.int32), raw[_ragged((np.cumsum(counts) - counts)[order], counts[order])]))
+    hashes, counts, ids = (np.concatenate(x) for x in zip(*parts))
+    return (hashes, np.concatenate(([0], np.cumsum(counts, dtype=np.int64))).astype(np.int32 if len(ids) < 2**31 else np.int64), ids), rest
+
+
+def _plain_ids(part: pa.Array, wide: bool) -> np.ndarray:
+    """All ids of a chunk of the binary column, without an object per row."""
+    bounds = np.frombuffer(part.buffers()[1], np.int32 if pa.types.is_binary(part.type) else np.int64)[part.offset : part.offset + len(part) + 1]
+    values = np.frombuffer(part.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if len(part) and part.buffers()[2] else np.zeros(0, np.uint8)
+    return values.copy().view("<i4").astype(np.int32 if wide else np.uint16)
 
 
 def _ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -115,7 +128,7 @@ def _ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _positions(texts: list, vocabulary: bpe.Vocabulary, table) -> tuple[np.ndarray, np.ndarray, list, list]:
     """All ids with the bounds of each text's, the tail words of each text (distinct), and where they go (place in ids, word)."""
     hashes, bounds, ids = table
-    tokens = [vocabulary.split(t) for t in texts]
+    tokens = [vocabulary.units(t) for t in texts]
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     codes, distinct = pd.factorize(np.array([t for part in tokens for t in part], dtype=object))
     own = _hashes(list(distinct))
@@ -153,7 +166,8 @@ def _pieces(path: str) -> list[bytes]:
 
 def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", decoded: str | None = None, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The documents with the ids of their text in ``into`` (array<int>) and, if wanted, the text decoded from them in ``decoded``."""
-    table, rest = _broadcast_table(word_table(docs, path, text), table_bytes)
+    wide = bpe.Vocabulary(Path(path).read_text(encoding="utf-8")).size > 2**16
+    table, rest = _broadcast_table(word_table(docs, path, text), table_bytes, wide)
     shared, words = _source(docs, path), docs.sparkSession.sparkContext.broadcast(table)
     piece = docs.sparkSession.sparkContext.broadcast(_pieces(path) if decoded and rest is None else [])
     own = "_bpe"

@@ -23,6 +23,14 @@ def ids_of(text):
 def test_ids_are_those_of_the_library(text):
     ids, counts = OWN.encode(OWN.split(text))
     assert ids.tolist() == ids_of(text) and counts.sum() == len(ids)
+    ids, counts = OWN.encode_units(OWN.units(text))
+    assert ids.tolist() == ids_of(text) and counts.sum() == len(ids)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("  \n\n\tab.1'sé", max_size=14))
+def test_units_keep_the_pre_tokens(text):
+    assert [t for u in OWN.units(text) for t in OWN.tokens_of(u)] == OWN.split(text)
 
 
 @pytest.mark.parametrize("text", ["a" * 5000, "ab" * 3000, " " * 999, "aaab" * 700 + "\n\n", "<|endoftext|>" * 3, "x<|endoftext|>y", " " * 50])
