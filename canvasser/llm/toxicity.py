@@ -34,7 +34,7 @@ from canvasser.llm.common import pieces, saved
 from canvasser.llm.hashing import join_texts, words
 from canvasser.llm.samples import TUNING, fold, labelled
 
-SAMPLE = 20_000
+SAMPLE = 50_000
 WORDS = 2_000_000
 DISCOUNT = 2.5
 PASSAGES = (1, 3, 10, 30)
@@ -52,7 +52,7 @@ def shared_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for a, b in pieces(batch["text"], 16_000_000):
+            for a, b in pieces(batch["text"], 8_000_000):
                 word, n = np.unique(_words(list(batch["text"][a:b]))[0], return_counts=True)
                 yield pd.DataFrame({"word": word, "n": n})
 
