@@ -121,6 +121,9 @@ def test_edit_distance(a, b):
         for j, y in enumerate(b, 1):
             before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
     assert lines.edit_distance(a, b) == row[-1]
+    for most in (0, 2, 5):
+        cut = lines.edit_distance(a, b, most)
+        assert cut == row[-1] if row[-1] <= most else cut > most
     longest = max(len(a), len(b))
     assert lines.similar(a, b) == (longest == 0 or 1 - row[-1] / longest >= 0.8 - 1e-9)
 
@@ -135,6 +138,8 @@ def test_close_hashes_share_blocks():
             for bit in draw.choice(63, 3, replace=False):
                 b ^= 1 << int(bit)
             assert any(a & m == b & m for m in masks)
+            differing = np.array([(a ^ b) & (2**64 - 1)], np.uint64)
+            assert lines.first_choice(differing, masks)[0] == min(k for k, m in enumerate(masks) if a & m == b & m)
     assert [lines.blocks_for(n) for n in (10, 10**6, 10**8, 10**11)] == [4, 4, 5, 6]
 
 
