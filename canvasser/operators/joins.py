@@ -67,14 +67,15 @@ def resolve_school_name(rows: DataFrame, schools: DataFrame, imported: DataFrame
         known = known.unionByName(more)
     known = latest_per_key(known, ["_key"], "_prio", "school_id")
     known = known.select("_key", F.col("school_id").cast("string").alias("school_id"))
-    keyed = rows.withColumn("_key", F.lower("school_name"))
+    # Rows without a name may be most of all: a salt spreads them, and they take the one id of
+    # the empty name instead of a match.
     empty = F.coalesce(F.col("_key"), F.lit("")) == ""
-    named = keyed.filter(~empty).join(known.filter("_key <> ''"), "_key", "left")
-    # Rows without a name may be most of all: they take the one id of the empty name, not a join.
+    nothing = F.lit(0).cast("bigint")
+    keyed = rows.withColumn("_key", F.lower("school_name")).withColumn("_salt", F.when(empty, F.xxhash64(*rows.columns)).otherwise(nothing))
     nameless = known.filter("_key = ''").agg(F.max("school_id"))
-    bare = keyed.filter(empty).withColumn("school_id", F.when(F.col("_key") == "", nameless.scalar()))
-    out = named.unionByName(bare).drop("_key")
-    return out.withColumn("school_id", F.coalesce("school_id", F.lit("")))
+    joined = keyed.join(known.filter("_key <> ''").withColumn("_salt", nothing), ["_key", "_salt"], "left")
+    found = F.when(empty, F.when(F.col("_key") == "", nameless.scalar())).otherwise(F.col("school_id"))
+    return joined.withColumn("school_id", F.coalesce(found, F.lit(""))).drop("_key", "_salt")
 
 
 def facility_keys(schools_list: DataFrame) -> DataFrame:

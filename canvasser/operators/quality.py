@@ -41,14 +41,15 @@ def _issues(rows: DataFrame, row: str, checks: Sequence[Column]) -> DataFrame:
 def _flag(rows: DataFrame, column: str, known: DataFrame, known_column: str, name: str) -> DataFrame:
     """Add whether the lower-cased value occurs among the lower-cased known values."""
     values = known.select(F.lower(known_column).alias("_v"))
-    seen = values.filter("_v <> ''").distinct().withColumn(name, F.lit(True))
-    keyed = rows.withColumn("_v", F.lower(column))
+    nothing = F.lit(0).cast("bigint")
+    seen = values.filter("_v <> ''").distinct().withColumns({"_salt": nothing, name: F.lit(True)})
+    # Empty values may be most of all: a salt spreads them, and whether one is known is one number.
     empty = F.coalesce(F.col("_v"), F.lit("")) == ""
-    found = keyed.filter(~empty).join(seen, "_v", "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    # Empty values may be most of all: whether one is known is one number, not a join.
+    keyed = rows.withColumn("_v", F.lower(column)).withColumn("_salt", F.when(empty, F.xxhash64(*rows.columns)).otherwise(nothing))
     some = values.filter("_v = ''").agg(F.count("*"))
-    bare = keyed.filter(empty).withColumn(name, F.coalesce((F.col("_v") == "") & (some.scalar() > 0), F.lit(False)))
-    return found.unionByName(bare).drop("_v")
+    joined = keyed.join(seen, ["_v", "_salt"], "left")
+    known_empty = (F.col("_v") == "") & (some.scalar() > 0)
+    return joined.withColumn(name, F.coalesce(F.when(empty, known_empty).otherwise(F.col(name)), F.lit(False))).drop("_v", "_salt")
 
 
 def validate_contacts(rows: DataFrame, contacts: DataFrame, schools: DataFrame, row: str = "row") -> DataFrame:
