@@ -37,7 +37,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.report(table(spark, sf_dir, "documents"))
+    return lines.report(table(spark, sf_dir, "documents"), grams=lines.GRAMS)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

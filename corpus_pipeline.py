@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first of equal or nearly equal lines stays; ``n_chars`` follows the text that is left."""
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
-    rows = lines.dedup_lines(docs, mark="_removed_lines")
+    rows = lines.dedup_lines(docs, mark="_removed_lines", grams=lines.GRAMS)
     return rows.withColumn("n_chars", F.when(F.size("_removed_lines") > 0, length).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -185,6 +185,19 @@ def test_line_dedup(documents):
     assert sum(r[2] for r in brute_lines(list(enumerate(texts)))) > 100
 
 
+def test_near_lines_by_edit_similarity_alone(documents):
+    """One word of 10 to 60 replaced, or one letter of a short line: near whatever the SimHash says."""
+    texts = [prose(500 + k, n) for k, n in enumerate((5, 8, 10, 20, 30, 60))] + ["abcdefg", "harbour lights", "été là-bas"]
+    texts += [near(500 + k, n, 1) for k, n in enumerate((5, 8, 10, 20, 30, 60))] + ["abcdxfg", "harbour light", "étè là-bas"]
+    names = [lines.normalised(t) for t in texts]
+    want = {b for b in range(len(names)) if any(lines.similar(names[a], names[b]) for a in range(b))}
+    assert len(want) >= 8
+    for block in (lines.BLOCK, 3):
+        got = lines.report(clashing(documents(texts)), block=block, grams=lines.GRAMS).collect()
+        assert {r.doc_id for r in got if r.n_removed} == want
+    assert {r.doc_id for r in lines.report(documents(odd_rows()), grams=lines.GRAMS).collect() if r.n_removed} >= {5, 7}
+
+
 def test_line_dedup_odd_rows(documents, none):
     docs = documents(odd_rows())
     frame = clashing(docs)
