@@ -7,7 +7,7 @@
    texts are not shuffled at all. Beyond that only the most frequent words are broadcast, as many
    as surely fit; the other words of a document travel as rows (document, word) to the table and
    back, keyed by a document key that is unique, so no key is hot.
-4. Decoding joins each id with its piece; the id-to-piece table is the vocabulary (checked size).
+4. Decoding looks each id up in the vocabulary (checked size), which is broadcast: a map-side join.
 
 Defined results: a null text counts as empty: no ids, decoded to the empty text. Special strings
 inside texts are their token. Unknown ids decode to nothing.
