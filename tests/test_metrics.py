@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import rows
+from frames import rows
 
 from canvasser.operators import filters, joins, metrics
 

@@ -1,6 +1,6 @@
 """Import checks, plausibility, and extraction from pages."""
 
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from canvasser.operators import extract, quality

@@ -1,7 +1,7 @@
 """Hot keys, and the shape of plans once tables are too large to broadcast."""
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry

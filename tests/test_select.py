@@ -3,7 +3,7 @@
 import datetime as dt
 import random
 
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from canvasser.operators import filters, fuzzy, joins
