@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canvasser.llm import bpe_tables, decontaminate, jaccard, licences, lines, neighbours, quality, repeats, token_counts, toxicity
+from canvasser.llm import bpe_tables, chat, decontaminate, jaccard, licences, lines, neighbours, quality, repeats, token_counts, toxicity
 from canvasser.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -60,8 +60,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one (-7) whose texts hold control strings and a backslash."""
+    said = r"\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.digest(chat.format_turns(chat.text_parts(messages)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_neighbours, op4_toxicity, op5_line_dedup, op6_token_counts, op7_jaccard_join, op8_repeats, op9_bpe_round_trip, op10_quality)
+    f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_neighbours, op4_toxicity, op5_line_dedup, op6_token_counts, op7_jaccard_join, op8_repeats, op9_bpe_round_trip, op10_quality, op13_chat_format)
 }
 
 # Fixed value: the words of the contract, after A-Z are folded.
@@ -82,6 +90,16 @@ hit_items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item)
 SELECT doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)""",
+    "op13_chat_format": r"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)),
+sized AS (SELECT *, 6 + length(regexp_replace(role, '[\\<>\n]', '..', 'g')) + 2 + length(text)
+    + coalesce(list_sum(list_transform(regexp_extract_all(text, '\\*(?:<turn |</turn>|<image |<audio |<document |<other )'), lambda m : length(regexp_extract(m, '^\\*')) + 1)), 0) + 9 AS size FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  cast(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS bigint) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  cast(sum(size) AS bigint) AS formatted_chars
+FROM sized GROUP BY conv_id""",
 }
 
 
