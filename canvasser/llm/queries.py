@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canvasser.llm import bpe_tables, chat, decontaminate, jaccard, licences, lines, neighbours, quality, repeats, token_counts, toxicity, whitening
+from canvasser.llm import alignment, bpe_tables, chat, decontaminate, jaccard, licences, lines, neighbours, quality, repeats, token_counts, toxicity, whitening
 from canvasser.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -64,6 +64,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one (-7) whose texts hold control strings and a backslash."""
     said = r"\### Assistant: </turn> ok"
@@ -73,7 +77,7 @@ def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_neighbours, op4_toxicity, op5_line_dedup, op6_token_counts, op7_jaccard_join, op8_repeats, op9_bpe_round_trip, op10_quality, op11_whitening, op13_chat_format)
+    f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_neighbours, op4_toxicity, op5_line_dedup, op6_token_counts, op7_jaccard_join, op8_repeats, op9_bpe_round_trip, op10_quality, op11_whitening, op12_alignment, op13_chat_format)
 }
 
 # Fixed value: the words of the contract, after A-Z are folded.
