@@ -14,8 +14,7 @@ from canvasser.plans.bindings import AS_OF, RESULT_CONTACT, Views
 from canvasser.plans.registry import query
 from canvasser.session import fresh_path
 from canvasser.sources import files, sinks, tables
-from canvasser.streaming.incremental import upsert_sink
-from canvasser.streaming.tables import KeyedTable
+from canvasser.streaming.incremental import read_live, upsert_sink
 
 # White space as the library trims it, for the checking engine's regular expressions.
 WS = r"[\t-\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -131,24 +130,55 @@ def filter_high_school_facilities(v: Views) -> DataFrame:
     return filters.filter_high_school_facilities(both).select("seq", "FacilityName", "MailingAddress", "Affiliation")
 
 
-@query("read_json_records", "SELECT activity_id, school_id, activity_type, date, description FROM activities")
+def _write_documents(rows: DataFrame, document: F.Column, stretch: F.Column, path: str) -> str:
+    """One JSON document per stretch of rows (bounded by the stretch), each in a file of its own."""
+    texts = rows.groupBy(stretch.alias("stretch")).agg(document.alias("text"))
+    texts.write.partitionBy("stretch").text(path)
+    return path + "/stretch=*"
+
+
+@query(
+    "read_json_records",
+    """SELECT 'lines' AS form, activity_id, school_id, activity_type, date, description FROM activities
+    UNION ALL SELECT 'array', activity_id, school_id, activity_type, date, description FROM activities""",
+)
 def read_json_records(v: Views) -> DataFrame:
-    path = fresh_path(v.spark, "json")
-    v.activities.write.json(path)
-    return files.read_json_records(v.spark, path, v.activities.schema, lines=True)
+    """The activities written and read back as lines, and as arrays of 1,000 that also hold other things."""
+    rows, lines = v.activities, fresh_path(v.spark, "json")
+    rows.write.json(lines)
+    items = F.collect_list(F.to_json(F.struct(*rows.columns)))
+    document = F.concat(F.lit(' [5, "text", null, [{"activity_id": 1}], '), F.array_join(items, ",\n"), F.lit("]\n"))
+    arrays = _write_documents(rows, document, F.floor(F.col("activity_id") / 1000), fresh_path(v.spark, "arrays"))
+    both = [("lines", files.read_json_records(v.spark, lines, rows.schema, lines=True)), ("array", files.read_json_records(v.spark, arrays, rows.schema))]
+    first, second = (df.select(F.lit(form).alias("form"), "activity_id", "school_id", "activity_type", "date", "description") for form, df in both)
+    return first.unionByName(second)
 
 
 @query(
     "read_keyed_json",
-    "SELECT 'School ' || event_id AS FacilityName, cast(regexp_extract(props, '([0-9]+)', 1) AS varchar) AS City, '' AS Website FROM events",
+    """WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'number' WHEN 1 THEN 'text' WHEN 2 THEN 'array' WHEN 3 THEN 'null' ELSE 'object' END AS kind,
+      regexp_extract(props, '([0-9]+)', 1) AS k FROM events)
+    SELECT 'School ' || event_id AS key, kind, CASE kind WHEN 'number' THEN k WHEN 'text' THEN 'City ' || k WHEN 'array' THEN '[' || k || ']' END AS plain,
+      CASE WHEN kind = 'object' THEN 'School ' || event_id END AS FacilityName, CASE WHEN kind = 'object' THEN k END AS City FROM e""",
 )
 def read_keyed_json(v: Views) -> DataFrame:
-    """Each event's JSON as an entry of an object keyed by school name; the key is the fallback name."""
-    docs = v.table("events").select(
-        F.format_string('{"School %d": {"city": %s, "Website": ""}}', "event_id", F.get_json_object("props", "$.k")).alias("doc")
+    """Objects of 1,000 entries of any type, keyed by school name; a repeated key counts once, the last time."""
+    value, at = F.get_json_object("props", "$.k"), F.col("event_id") % 5
+    entry = (
+        F.when(at == 0, value).when(at == 1, F.concat(F.lit('"City '), value, F.lit('"'))).when(at == 2, F.concat(F.lit("["), value, F.lit("]")))
+        .when(at == 3, "null").otherwise(F.concat(F.lit('{"city": '), value, F.lit(', "Website": "", "school_urls": {"base_url": null}}')))
     )
-    rows = files.explode_keyed_json(docs, "doc", M.LOOSE_OBJECT)
-    return rows.select(*files.school_list_fields())
+    name = F.concat(F.lit('"School '), F.col("event_id").cast("string"), F.lit('": '))
+    rows = v.table("events").select("event_id", F.concat(name, F.lit("0, "), name, entry).alias("entry"))
+    document = F.concat(F.lit("{"), F.array_join(F.collect_list("entry"), ",\n"), F.lit("}"))
+    path = _write_documents(rows, document, F.floor(F.col("event_id") / 1000), fresh_path(v.spark, "keyed"))
+    entries = files.read_keyed_json(v.spark, path)
+    kind = F.schema_of_variant("value")
+    word = F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "VOID", "null").when(kind == "STRING", "text").otherwise("number")
+    rows = entries.select("key", word.alias("kind"), F.col("value").cast("string").alias("plain"), F.from_json(F.to_json("value"), M.LOOSE_OBJECT).alias("value"))
+    is_object = F.col("kind") == "object"
+    facility, city, _ = files.school_list_fields()
+    return rows.select("key", "kind", F.when(~is_object, F.col("plain")).alias("plain"), F.when(is_object, facility).alias("FacilityName"), F.when(is_object, city).alias("City"))
 
 
 @query("read_table_partitioned", "SELECT cast(floor(o_orderkey / 1000) AS bigint) AS page, o_orderkey, o_custkey FROM orders")
@@ -311,12 +341,12 @@ def append_records(v: Views) -> DataFrame:
       WHERE id NOT IN (SELECT s_suppkey FROM supplier)""",
 )
 def upsert_sink_query(v: Views) -> DataFrame:
-    table = KeyedTable(v.spark, fresh_path(v.spark, "upsert"), ["id"], buckets=8)
+    path = fresh_path(v.spark, "upsert")
     old = v.supplier.select(F.col("s_suppkey").alias("id"), F.lit("old").alias("name"), F.lit(-1).cast("bigint").alias("seq"))
     new = v.part.select((F.col("p_partkey") % 500).alias("id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("seq"))
-    upsert_sink(table, old, "seq")
-    upsert_sink(table, new, "seq")
-    return table.read().select("id", "name")
+    for batch_id, rows in enumerate((old, new, new)):
+        upsert_sink(rows, min(batch_id, 1), path, ["id"], "seq", buckets=8)
+    return read_live(v.spark, path).select("id", "name")
 
 
 def rules(v: Views) -> DataFrame:

@@ -44,33 +44,55 @@ def pick_sheet(names: Sequence[str], word: str, fallback: int) -> int:
 def read_json_records(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
     """JSON array of objects (or one object per line); elements that are no object are dropped.
 
-    A single document is read as a whole by one task per file, so large data should come as
-    many files or as lines. Any other top-level type is an error.
+    A document is read as a whole by one task per file, so large data should come as many files
+    or as lines. Any other top-level type is an error.
     """
     if lines:
         parsed = spark.read.text(path).select(F.from_json("value", schema).alias("r"))
         return parsed.filter("r is not null").select("r.*")
-    objects = _json_objects(spark, path)
-    return objects.select(F.from_json("item", schema).alias("r")).select("r.*")
+    return _json_objects(spark, path).select(F.from_json("item", schema).alias("r")).select("r.*")
 
 
-def _json_objects(spark: SparkSession, path: str) -> DataFrame:
+def _documents(spark: SparkSession, path: str, opening: str, kind: str) -> DataFrame:
+    """The files at ``path`` as whole texts; one that does not begin with ``opening`` is an error."""
     whole = spark.read.text(path, wholetext=True)
-    kind = F.when(~F.col("value").rlike(r"^\s*\["), F.raise_error(F.lit("a JSON array is expected")))
-    items = whole.select(
-        F.explode(F.from_json("value", T.ArrayType(T.StringType()))).alias("item"), kind.alias("_check")
-    )
-    return items.filter(F.col("_check").isNull() & F.col("item").startswith("{")).select("item")
+    wrong = F.raise_error(F.lit(f"a JSON {kind} is expected"))
+    return whole.select(F.when(F.ltrim(F.regexp_replace("value", r"^[\s\uFEFF]+", "")).startswith(opening), F.col("value")).otherwise(wrong).alias("value"))
 
 
-def explode_keyed_json(docs: DataFrame, column: str, value_type: T.DataType) -> DataFrame:
-    """One row (key, value) per entry of the JSON objects in ``column``."""
-    parsed = F.from_json(F.col(column), T.MapType(T.StringType(), value_type))
-    return docs.select(F.explode(parsed).alias("key", "value"))
+def _json_objects(spark: SparkSession, path: str) -> DataFrame:
+    """The objects of the JSON arrays at ``path``, as JSON texts."""
+    whole = _documents(spark, path, "[", "array")
+    items = whole.select(F.explode(F.from_json("value", T.ArrayType(T.StringType()))).alias("item"))
+    return items.filter(F.col("item").startswith("{"))
 
 
-def read_keyed_json(spark: SparkSession, path: str, value_type: T.DataType) -> DataFrame:
-    return explode_keyed_json(spark.read.text(path, wholetext=True), "value", value_type)
+def keyed_entries(documents: DataFrame, column: str, document: Sequence[str] = ()) -> DataFrame:
+    """One row (key, value) per entry of the JSON objects in ``column``; the value is a VARIANT.
+
+    Entries may be of any type, each one its own. Of equal keys of a document (its columns are
+    ``document``; without them, its text) the last one counts, as JSON readers have it.
+    """
+    own = list(document) or [F.xxhash64(column).alias("_text")]
+    entries = documents.select(*own, F.posexplode(F.from_json(column, "map<string,variant>")).alias("_at", "key", "value"))
+    names = [c if isinstance(c, str) else "_text" for c in own]
+    last = entries.groupBy(*names, "key").agg(F.max_by("value", "_at").alias("value"))
+    return last.drop("_text")
+
+
+def explode_keyed_json(documents: DataFrame, column: str, value_type: T.DataType, document: Sequence[str] = ()) -> DataFrame:
+    """``keyed_entries`` with values of one type; a value of another type is null."""
+    text = F.to_json("value") if not isinstance(value_type, T.StringType) else F.col("value").cast("string")
+    rows = keyed_entries(documents, column, document)
+    return rows.withColumn("value", F.from_json(text, value_type) if not isinstance(value_type, T.StringType) else text)
+
+
+def read_keyed_json(spark: SparkSession, path: str, value_type: T.DataType | None = None) -> DataFrame:
+    """One row (key, value) per entry of the JSON object of each file; without a type the value is a VARIANT."""
+    documents = _documents(spark, path, "{", "object").withColumn("file", F.input_file_name())
+    if value_type is None:
+        return keyed_entries(documents, "value", ["file"]).drop("file")
+    return explode_keyed_json(documents, "value", value_type, ["file"]).drop("file")
 
 
 def school_list_fields(item: str = "value", key: str | None = "key") -> list[F.Column]:

@@ -34,6 +34,24 @@ def test_json_lists(spark, tmp_path):
         files.read_school_list(spark, str(tmp_path / "bad.json"), keyed=False).collect()
 
 
+def test_keyed_entries_of_any_type(spark, tmp_path):
+    (tmp_path / "a.json").write_text('\n {"n": 1.5, "t": "x", "l": [1, {"a": 2}], "o": {"City": "X"}, "z": null, "b": true, "n": 7, "é \\" k": ""}')
+    (tmp_path / "b.json").write_text('{"n": "other file"}')
+    path = str(tmp_path / "*.json")
+    got = files.read_keyed_json(spark, path)
+    assert rows(got.select("key", F.to_json("value"))) == [
+        ("b", "true"), ("l", '[1,{"a":2}]'), ("n", '"other file"'), ("n", "7"), ("o", '{"City":"X"}'), ("t", '"x"'), ("z", "null"), ('é " k', '""'),
+    ]
+    typed = files.read_keyed_json(spark, path, M.LOOSE_OBJECT)
+    assert [(r.key, r.value) for r in typed.collect() if r.value is not None] == [("o", {"City": "X"})]
+    (tmp_path / "bad.json").write_text("[1]")
+    with pytest.raises(Exception, match="JSON object is expected"):
+        files.read_keyed_json(spark, str(tmp_path / "bad.json")).collect()
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "e.json").write_text("{}")
+    assert files.read_keyed_json(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_result_map(spark, tmp_path):
     blob = {"A": {"school_urls": {"base_url": "b", "pages_with_contacts": ["p"]}, "contacts": [{"name": "N", "title": "T"}], "error": None}}
     (tmp_path / "c.json").write_text(json.dumps(blob))
