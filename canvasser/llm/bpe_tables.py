@@ -15,7 +15,6 @@ inside texts are their token. Unknown ids decode to nothing.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
@@ -30,7 +29,8 @@ from pyspark.sql import types as T
 
 from canvasser.llm import bpe
 from canvasser.llm.common import saved, spans
-from canvasser.llm.hashing import prefix_sums, segments, slice_hashes
+from canvasser.llm.hashing import LONGEST as LONGEST_HASHED
+from canvasser.llm.hashing import digest, prefix_sums, segments, slice_hashes
 
 TABLE_BYTES = 96 * 1024 * 1024
 SLICES = 8  # parts in which the broadcast table is fetched (a power of two)
@@ -42,13 +42,13 @@ PIECES = 4_000_000  # most entries of a vocabulary that is broadcast
 def _hashes(words: list[str]) -> np.ndarray:
     """64-bit hashes of the words' bytes; long words are hashed one by one."""
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    short = [r if len(r) <= 4096 else b"" for r in raw]
+    short = [r if len(r) <= LONGEST_HASHED else b"" for r in raw]
     ends = np.cumsum(np.fromiter(map(len, short), np.int64, len(short)))
     starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
     out = slice_hashes(prefix_sums(np.frombuffer(b"".join(short), np.uint8)), starts, ends)
     for i, r in enumerate(raw):
-        if len(r) > 4096:
-            out[i] = int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little")
+        if len(r) > LONGEST_HASHED:
+            out[i] = digest(r)
     return out.view(np.int64)
 
 

@@ -24,6 +24,13 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, start: str) -> str:
+    """A name that no column of ``df`` begins with."""
+    while any(c.lower().startswith(start.lower()) for c in df.columns):
+        start += "_"
+    return start
+
+
 def rank_id(column: str | Column) -> Column:
     """The id as a long that orders documents; a null id ranks last."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(LAST)).cast("long")

@@ -2,15 +2,19 @@
 
 All hashes are polynomials modulo 2**64 computed from prefix sums, so a hash of any slice costs
 two look-ups. Equal bytes give equal hashes at any place of any text, whatever task computes
-them. Work goes in pieces of about ``PIECE`` bytes: memory is bounded by a piece (or by one
+them. Long repetitive strings can be made to clash under any such polynomial, so words of more
+than ``LONGEST`` bytes take a cryptographic hash. Work goes in pieces of about ``PIECE`` bytes: memory is bounded by a piece (or by one
 word, if that is longer), not by a batch.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 PIECE = 1 << 20
+LONGEST = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -61,6 +65,11 @@ def slice_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def digest(raw: bytes) -> np.uint64:
+    """A cryptographic hash of the bytes, cut to 64 bits."""
+    return np.uint64(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little"))
+
+
 def join_texts(texts) -> tuple[bytes, np.ndarray]:
     """UTF-8 bytes of the texts, each followed by a line feed, and where each begins (and the end)."""
     parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
@@ -83,13 +92,32 @@ def words(data: bytes, table: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.n
         folded = table[raw[begin:end]]
         edges = np.flatnonzero(np.diff(np.concatenate(([False], folded > 0, [False])).astype(np.int8)))
         s, e = edges[::2], edges[1::2]
-        found.append((s + begin, e + begin, slice_hashes(prefix_sums(folded), s, e)))
+        value = slice_hashes(prefix_sums(folded), s, e)
+        for k in np.flatnonzero(e - s > LONGEST).tolist():
+            value[k] = digest(folded[s[k] : e[k]].tobytes())
+        found.append((s + begin, e + begin, value))
         begin = end
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def halves(data: bytes, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first and second halves (in bytes) of the words [start, end)."""
+    raw = np.frombuffer(data, np.uint8)
+    found = [(np.zeros(0, np.uint64),) * 2]
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + PIECE, "right")))
+        begin = int(starts[first])
+        sums = prefix_sums(table[raw[begin : int(ends[last - 1])]])
+        s, e = starts[first:last] - begin, ends[first:last] - begin
+        middle = (s + e) // 2
+        found.append((slice_hashes(sums, s, middle), slice_hashes(sums, middle, e)))
+        first = last
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def windows(hashes: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     """Hash of every run of ``size`` consecutive values (order matters)."""
     n = len(hashes) - size + 1
