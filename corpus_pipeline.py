@@ -13,21 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canvasser.llm import bpe_tables, decontaminate, jaccard, lines, toxicity
-from canvasser.llm.common import saved, table
+from canvasser.llm.common import free_name, saved, table
 from canvasser.llm.queries import vocabulary_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below 0.5."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, into="_toxic_score").filter(F.col("_toxic_score") < 0.5).select(*docs.columns)
+    score = free_name(docs, "_toxic_score")
+    return toxicity.score(docs, model, into=score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first of equal or nearly equal lines stays; ``n_chars`` follows the text that is left."""
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
-    rows = lines.dedup_lines(docs, mark="_removed_lines", grams=lines.GRAMS)
-    return rows.withColumn("n_chars", F.when(F.size("_removed_lines") > 0, length).otherwise(F.col("n_chars"))).select(*docs.columns)
+    removed = free_name(docs, "_removed_lines")
+    rows = lines.dedup_lines(docs, mark=removed)
+    return rows.withColumn("n_chars", F.when(F.size(removed) > 0, length).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
