@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from canvasser import schema as M
 from canvasser.functions import text as X
+from canvasser.session import fresh_path
 
 # White space, digits and letter case as Unicode has them, so that a no-break space counts.
 _MESSAGE = f"(?iU){M.MESSAGE_PATTERN}"
@@ -121,10 +122,10 @@ def _link_target(node: _Node) -> str:
     return rest.split("?", 1)[0].strip() if scheme.lower() in ("mailto", "sendto") else ""
 
 
-def page_blocks(html: str) -> Iterator[tuple[int, int, str, list[str]]]:
+def page_blocks(root: _Node) -> Iterator[tuple[int, int, str, list[str]]]:
     """(signal, level, e-mail of the link, lines) for each enclosing element of 2 to 10 lines."""
     cache: dict[int, list[str]] = {}
-    for n, (node, mail) in enumerate(_signals(_Tree(html).root)):
+    for n, (node, mail) in enumerate(_signals(root)):
         mail = _link_target(node) or mail
         for level in range(8):
             if id(node) not in cache:
@@ -142,20 +143,45 @@ def page_blocks(html: str) -> Iterator[tuple[int, int, str, list[str]]]:
                 break
 
 
-BLOCK_SCHEMA = "page_id bigint, url string, signal int, level int, link_email string, lines array<string>"
+# One row per part of a page: a level of a block (ord: signal), a card (ord: place), a pager.
+PARTS = ("block", "card", "pager")
+PARSED = "page_id bigint, url string, part string, ord int, level int, signature string, candidate boolean, link_email string, target string, lines array<string>"
 
 
-def _blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["page_id", "url", "signal", "level", "link_email", "lines"]
-    rows: list[tuple] = []
-    for pdf in batches:
-        for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-            rows.extend((page_id, url, *b) for b in page_blocks(html or ""))
-            if len(rows) >= 5000:
-                yield pd.DataFrame(rows, columns=columns)
-                rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=columns)
+def _page_parts(url: str, html: str, telling: bool, wanted: Sequence[str]) -> Iterator[tuple]:
+    """The parts of a page from one parse; pages without a signal have neither blocks nor cards."""
+    if not telling and "pager" not in wanted:
+        return
+    root = _Tree(html).root
+    if telling and "block" in wanted:
+        for n, level, mail, lines in page_blocks(root):
+            yield "block", n, level, None, None, mail, None, lines
+    if telling and "card" in wanted:
+        for place, signature, candidate, mail, lines in page_cards(root):
+            yield "card", place, None, signature, candidate, mail, None, lines
+    if "pager" in wanted:
+        for n, target in enumerate(page_pagers(url, root)):
+            yield "pager", n, None, None, None, None, target, None
+
+
+def parse_pages(pages: DataFrame, wanted: Sequence[str] = PARTS) -> DataFrame:
+    """The wanted parts of every page (columns ``PARSED``); each page is parsed once."""
+    columns = [c.split()[0] for c in PARSED.split(", ")]
+    telling = _may_signal("html")
+    rows = pages if "pager" in wanted else pages.filter(telling)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[tuple] = []
+        for pdf in batches:
+            for page_id, url, html, told in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["_telling"]):
+                found.extend((page_id, url, *part) for part in _page_parts(url or "", html or "", bool(told), wanted))
+                if len(found) >= 5000:
+                    yield pd.DataFrame(found, columns=columns)
+                    found = []
+        if found:
+            yield pd.DataFrame(found, columns=columns)
+
+    return rows.select("page_id", "url", "html", F.coalesce(telling, F.lit(False)).alias("_telling")).mapInPandas(run, PARSED)
 
 
 def _term_pattern(terms: Sequence[str]) -> str:
@@ -179,22 +205,27 @@ def _may_signal(html: str) -> Column:
     """Necessary condition for a contact signal, so that other pages are never parsed.
 
     Letter case is folded as the parser folds it, by Unicode. Character references could spell
-    any part of a signal.
+    any part of a signal, so a page with any of them passes, save those of marks and blanks.
     """
     page = F.col(html)
-    possible = page.rlike("(?iU)email|message|mailto:|sendto:|&commat")
+    possible = page.rlike("(?iU)email|message|mailto:|sendto:") | page.rlike("&(?!(?:amp|lt|gt|quot|apos|nbsp);)[A-Za-z]")
     for mark in ("@", "&#"):
         possible = page.contains(mark) | possible
     return possible
 
 
 def extract_blocks(pages: DataFrame) -> DataFrame:
+    """``blocks_of`` the pages alone."""
+    return blocks_of(parse_pages(pages, ("block",)))
+
+
+def blocks_of(parsed: DataFrame) -> DataFrame:
     """One block of lines per signal and page: (page_id, url, signal, link_email, lines).
 
     Climbing from the signal, the first enclosing element with an e-mail, phone or title word
     ends the search, else the outermost one counts. Equal blocks of a page are kept once.
     """
-    levels = pages.filter(_may_signal("html")).select("page_id", "url", "html").mapInPandas(_blocks_of, BLOCK_SCHEMA)
+    levels = parsed.filter("part = 'block'").select("page_id", "url", F.col("ord").alias("signal"), "level", "link_email", "lines")
     terms = _term_pattern(M.TITLE_TERMS)
     telling = F.exists(
         "lines",
@@ -287,25 +318,19 @@ def _is_pager(node: _Node) -> bool:
     return False
 
 
-def page_pagers(url: str, html: str) -> list[str]:
+def page_pagers(url: str, root: _Node) -> list[str]:
     """Absolute targets of the paging links of a page, first-seen order."""
-    anchors = (x for x in _Tree(html).root.walk() if isinstance(x, _Node) and x.tag == "a")
+    anchors = (x for x in root.walk() if isinstance(x, _Node) and x.tag == "a")
     hrefs = (a.attrs.get("href", "").strip() for a in anchors if _is_pager(a))
     return list(dict.fromkeys(urljoin(url, h) for h in hrefs if h and not h.startswith("#")))
 
 
-def _pagers_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [
-            (page_id, i, target)
-            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"])
-            for i, target in enumerate(page_pagers(url or "", html or ""))
-        ]
-        yield pd.DataFrame(rows, columns=["page_id", "ord", "target"])
+def pagination_links(pages: DataFrame) -> DataFrame:
+    return pagers_of(parse_pages(pages, ("pager",)))
 
 
-def pagination_links(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "url", "html").mapInPandas(_pagers_of, "page_id bigint, ord int, target string")
+def pagers_of(parsed: DataFrame) -> DataFrame:
+    return parsed.filter("part = 'pager'").select("page_id", "ord", "target")
 
 
 def contacts_with_fallback(first: DataFrame, second: DataFrame, site: str = "school") -> tuple[DataFrame, DataFrame]:
@@ -386,14 +411,13 @@ def _card_starts(root: _Node) -> list[tuple[_Node, str]]:
     return out
 
 
-def page_cards(html: str) -> Iterator[tuple[int, str, bool, str, list[str]]]:
+def page_cards(root: _Node) -> Iterator[tuple[int, str, bool, str, list[str]]]:
     """(place, class signature, candidate, mail address, lines) of the elements that may hold one person.
 
     A candidate is the first of up to eight enclosing elements of a signal that holds an image
     and is neither the page nor a paragraph without a class. Other elements with a class come
     along, as those of the site's usual class are cards too.
     """
-    root = _Tree(html).root
     nodes = [x for x in root.walk() if isinstance(x, _Node)]
     place = {id(x): k for k, x in enumerate(nodes)}
     pictured = set()
@@ -418,16 +442,31 @@ def page_cards(html: str) -> Iterator[tuple[int, str, bool, str, list[str]]]:
             yield place[id(x)], signature(x), id(x) in found, found.get(id(x), ""), x.lines()
 
 
-CARD_SCHEMA = "page_id bigint, url string, block_ord int, signature string, candidate boolean, link_email string, lines array<string>"
+def extract_cards(pages: DataFrame) -> DataFrame:
+    return cards_of(parse_pages(pages, ("card",)))
 
 
-def extract_cards(pages: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(p, u, *card) for p, u, html in zip(pdf["page_id"], pdf["url"], pdf["html"]) for card in page_cards(html or "")]
-            yield pd.DataFrame(rows, columns=["page_id", "url", "block_ord", "signature", "candidate", "link_email", "lines"])
+def cards_of(parsed: DataFrame) -> DataFrame:
+    return parsed.filter("part = 'card'").select("page_id", "url", F.col("ord").alias("block_ord"), "signature", "candidate", "link_email", "lines")
+
 
-    return pages.filter(_may_signal("html")).select("page_id", "url", "html").mapInPandas(run, CARD_SCHEMA)
+def site_contacts(pages: DataFrame, site: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From fetched pages to contacts: records (school, page_url, page_id, name, title, phone, email), pages with records, pagers.
+
+    The first extractor takes blocks around signals, the second one cards for the sites where the
+    first found none. Both and the pagers work on one parse of each page, which is stored.
+    """
+    path = fresh_path(pages.sparkSession, "parsed")
+    parse_pages(pages).write.parquet(path)
+    parsed = pages.sparkSession.read.parquet(path)
+    columns = ["school", "page_url", "page_id", "name", "title", "phone", "email"]
+    first = assign_fields(blocks_of(parsed)).select(site.alias("school"), F.col("url").alias("page_url"), "page_id", "name", "title", "phone", "email")
+    cards = cards_of(parsed)
+    second = card_contacts(cards, site).withColumnRenamed("site", "school")
+    # A page's address belongs to its id; equal contacts of a site stand at their first page.
+    where = cards.select("page_id", F.col("url").alias("page_url")).dropDuplicates(["page_id"])
+    records, found = contacts_with_fallback(first, second.join(where, "page_id").select(*columns))
+    return records, found, pagers_of(parsed)
 
 
 def card_contacts(cards: DataFrame, site: Column, least: int = 5) -> DataFrame:

@@ -297,6 +297,14 @@ def card_contacts(v: Views) -> DataFrame:
     return extract.card_contacts(extract.extract_cards(v.staff_pages), host)
 
 
+@query("site_contacts", f"SELECT 'https://d' || (page_id - 1000000000) || '.example.org' AS school, page_id, name, title, phone, email FROM ({FIELDS_SQL}) f")
+def site_contacts(v: Views) -> DataFrame:
+    """Pages of two kinds of sites from fetch to contacts: records of the first extractor."""
+    host = F.regexp_extract("url", "^(https?://[^/]+)", 1)
+    records = extract.site_contacts(v.site_pages, host)[0]
+    return records.filter("page_id >= 1000000000").select("school", "page_id", "name", "title", "phone", "email")
+
+
 @query(
     "extract_enrollment",
     """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE cast(n_chars AS integer) END AS enrollment FROM documents""",

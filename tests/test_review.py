@@ -1,5 +1,7 @@
 """Import checks, plausibility, and extraction from pages."""
 
+import random
+
 from frames import rows
 from pyspark.sql import functions as F
 
@@ -162,6 +164,57 @@ def test_page_filter_keeps_every_page_with_a_signal(spark):
     assert {k for k, page in enumerate(pages) if extract._signals(extract._Tree(page).root)} <= kept
 
 
+def test_page_filter_against_random_references(spark):
+    """Signals spelt with named and numeric references, as the parser reads them."""
+    from html.entities import html5
+
+    rnd = random.Random(11)
+    spelt: dict[str, list[str]] = {}
+    for name, value in html5.items():
+        spelt.setdefault(value, []).append("&" + name)
+    folded = {"i": "iıIİ", "k": "kK\u212a", "s": "sS\u017f"}
+    words = ["email", "message", "a@b.org", "mailto:x", "sendto:y", "plain", "&amp;", "fish&nbsp;chips"]
+
+    def spell(ch):
+        ch = rnd.choice(folded.get(ch, ch + ch.upper()))
+        refs = [*spelt.get(ch, []), f"&#{ord(ch)};", f"&#x{ord(ch):X};"]
+        return rnd.choice(refs) if rnd.random() < 0.25 else ch
+
+    pages = []
+    for k in range(600):
+        text = "".join(w if w[0] == "&" or "&" in w else "".join(map(spell, w)) for w in rnd.choices(words, k=2))
+        pages.append(f"<div>one<br>two<p>{text}</p></div>" if k % 2 else f"<div>one<br>two<a href='{text}'>x</a></div>")
+    pages += ["<p>Ema&imath;l me</p>", "<a href='mailto&colon;office'>x</a>"]
+    df = spark.createDataFrame(list(enumerate(pages)), "k int, html string")
+    kept = {r.k for r in df.filter(extract._may_signal("html")).collect()}
+    told = {k for k, page in enumerate(pages) if extract._signals(extract._Tree(page).root)}
+    assert told <= kept and {600, 601} <= told and len(told) > 150 and len(kept) < len(pages)
+
+
+def test_site_contacts_parse_a_page_once(spark, monkeypatch):
+    card = "<div class='c'><img><p>{0} Doe</p><p>Principal</p><a href='mailto:{0}@x.org'>write</a></div>"
+    # A title that stands alone on no line: only the second extractor reads it.
+    rough = "<div class='c'><img><p>{0} Doe Dean</p><span>x</span><p>the dean's deputy of everything, Services</p><a href='mailto:{0}@x.org'>write</a></div>"
+    many = lambda shape, names: "<html>" + "".join(shape.format(n) for n in names) + "<a rel='next' href='/2'>n</a></html>"
+    pages = [
+        (1, "https://a.org/p", many(card, ["Ann", "Bo"])), (2, "https://b.org/p", many(rough, ["Cy", "Di", "Ed", "Flo", "Gus"])),
+        (3, "https://c.org/p", "<p>no signal</p>"), (4, None, None),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    host = F.regexp_extract("url", "^(https?://[^/]+)", 1)
+    records, found, pagers = extract.site_contacts(df, host)
+    assert rows(pagers) == [(1, 0, "https://a.org/2"), (2, 0, "https://b.org/2")]
+    first = extract.assign_fields(extract.extract_blocks(df)).select(host.alias("school"), "page_id", "name", "email")
+    second = extract.card_contacts(extract.extract_cards(df), host).select(F.col("site").alias("school"), "page_id", "name", "email")
+    seen = {r.school for r in first.collect()}
+    want = [tuple(r) for r in first.collect()] + [tuple(r) for r in second.collect() if r.school not in seen]
+    assert sorted(rows(records, "school", "page_id", "name", "email")) == sorted(want)
+    assert rows(found) == sorted({(s, f"{s}/p") for s, *_ in want})
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan  # both extractors read the stored parse
+    assert extract.parse_pages(df)._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
 def test_whole_results_in_quarantine(spark):
     schools = spark.createDataFrame(
         [("A", None, None, [], ["school_urls is missing"]), ("B", "b", "alt", ["/p"], [])],
