@@ -50,9 +50,9 @@ def cursor_state(v: Views) -> DataFrame:
 
 @query(
     "cursor_stream",
-    """WITH c AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS at, count(*) OVER () AS n FROM customer)
-    SELECT cast(at // (n // 3 + 1) AS bigint) AS run, c_custkey, c_name FROM c
-    UNION ALL SELECT 3, c_custkey, c_name FROM c WHERE at <= n // 3""",
+    """WITH c AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS spot, count(*) OVER () AS n FROM customer)
+    SELECT cast(floor(spot / (floor(n / 3) + 1)) AS bigint) AS run, c_custkey, c_name FROM c
+    UNION ALL SELECT 3, c_custkey, c_name FROM c WHERE spot <= floor(n / 3)""",
 )
 def cursor_stream(v: Views) -> DataFrame:
     """Four runs of a third of the customers and one more row each; the last one begins again."""
