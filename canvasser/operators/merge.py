@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +95,23 @@ def change_counts(merged: DataFrame, table: str) -> DataFrame:
     return merged.groupBy(F.lit(table).alias("table"), F.col("_action").alias("action")).agg(F.count("*").alias("rows"))
 
 
+ACTIONS = ("insert", "update", "keep", "duplicate_in_batch")
+
+
+def write_counted(merged: DataFrame, path: str, table: str) -> list[tuple[str, str, int]]:
+    """Write a merge result and return (table, action, rows) of it, counted while it is written.
+
+    The merge is evaluated once. Beside the actions, ``unique_incoming`` is the rows that came in
+    with the batch, less repeats.
+    """
+    counts = Observation(f"load of {table}")
+    seen = merged.observe(counts, *[F.count_if(F.col("_action") == a).alias(a) for a in ACTIONS])
+    seen.drop("_action").write.parquet(path)
+    found = [(table, a, int(counts.get[a])) for a in ACTIONS]
+    came = sum(n for _, a, n in found if a in ("insert", "update"))
+    return [(t, a, n) for t, a, n in [*found, (table, "unique_incoming", came)] if n]
+
+
 # --- spreadsheet import -------------------------------------------------------------------
 
 
@@ -258,30 +276,49 @@ def _staff_key(df: DataFrame) -> DataFrame:
     return df.withColumns({f"_k_{c}": X.normalize_text(c) for c in STAFF_KEY})
 
 
+_SALTS = 64
+
+
 def upsert_staff(staff: DataFrame, incoming: DataFrame, seq: Sequence[str], reset_verification: bool = False) -> DataFrame:
     """Merge staff on the normalised (name, email, job, school); the last incoming row wins.
 
     A row found takes over the existing id (the highest, should several share a key), others
     insert with a null id for the table to number. ``reset_verification`` clears the verified
     flag and date of rows whose phone changed.
+
+    The target is read once. Of the stored rows of a key only the one of the highest id can
+    change, and it is found in two steps: the highest in each of ``_SALTS`` parts of the key,
+    then among those. Rows that are not the highest of their part go on in partitions of their
+    own, so neither step gathers a hot key in one task.
     """
     keys = [f"_k_{c}" for c in STAFF_KEY]
+    types = {f.name: f.dataType for f in staff.schema.fields}
+    overlay = [c for c in ("phone", *STAFF_KEY) if c in types]
     unique = latest_per_key(_staff_key(incoming), keys, *seq)
-    known = latest_per_key(_staff_key(staff).filter("staff_id is not null"), keys, "staff_id")
-    known = known.select(*keys, "staff_id", F.col("phone").alias("_old_phone"))
-    rows = unique.join(known, keys, "left")
-    columns = ["staff_id", "phone", *STAFF_KEY]
-    if reset_verification:
-        changed = F.col("staff_id").isNotNull() & ~F.col("phone").eqNullSafe(F.col("_old_phone"))
-        merged = merge_upsert(staff, rows.select(*columns, changed.alias("_changed")), ["staff_id"], carry=["_changed"])
-        hit = F.coalesce("_changed", F.lit(False))
-        return merged.withColumns(
-            {
-                "is_verified": F.when(hit, F.lit(False)).otherwise(F.col("is_verified")),
-                "last_verified_at": F.when(hit, F.lit(None)).otherwise(F.col("last_verified_at")),
-            }
-        ).drop("_changed")
-    return merge_upsert(staff, rows.select(*columns), ["staff_id"])
+    new = unique.select(*keys, F.lit(0).cast("bigint").alias("_salt"), F.struct(*[F.col(c).cast(types[c]).alias(c) for c in overlay]).alias("_in"), F.lit(True).alias("_new"))
+
+    part = F.pmod(F.xxhash64("staff_id"), F.lit(_SALTS))
+    old = _staff_key(staff).withColumn("_salt", part)
+    highest = F.rank().over(W.partitionBy(*keys, "_salt").orderBy(F.desc_nulls_last("staff_id"))) == 1
+    may_change = highest & F.col("staff_id").isNotNull() & _complete(keys)
+    old = old.withColumn("_salt", F.when(may_change, F.lit(0).cast("bigint")).otherwise(1 + F.pmod(F.xxhash64("staff_id", *overlay), F.lit(2**40))))
+
+    key = W.partitionBy(*keys, "_salt")
+    both = old.withColumn("_new", F.lit(False)).unionByName(new, allowMissingColumns=True)
+    both = both.withColumns({"_best": F.max("staff_id").over(key), "_row": F.max("_in").over(key)})
+    is_new = F.col("_new")
+    hit = ~is_new & (F.col("_salt") == 0) & F.coalesce(F.col("staff_id") == F.col("_best"), F.lit(False)) & F.col("_row").isNotNull()
+    rows = both.filter(~is_new | F.col("_best").isNull())
+    changed = hit & ~F.col("_row")["phone"].eqNullSafe(F.col("phone")) if "phone" in overlay else F.lit(False)
+    reset = {"is_verified": F.lit(False), "last_verified_at": F.lit(None)} if reset_verification else {}
+
+    def value(c: str) -> Column:
+        if c in overlay:
+            return F.when(hit | is_new, F.col("_row")[c]).otherwise(F.col(c))
+        return F.when(changed, reset[c]).otherwise(F.col(c)) if c in reset else F.col(c)
+
+    action = F.when(is_new, "insert").when(hit, "update").otherwise("keep")
+    return rows.select(*[value(c).alias(c) for c in types], action.alias("_action"))
 
 
 def city_staff_rows(directory: DataFrame, seq: str = "seq") -> DataFrame:

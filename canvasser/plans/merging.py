@@ -9,8 +9,9 @@ from canvasser.functions import text as X
 from canvasser.operators import catalog, joins, merge
 from canvasser.plans.bindings import AS_OF, Views
 from canvasser.plans.load import URL_CLEAN, city_directory, clean_sql, norm_sql, results, rules, strip_sql
-from canvasser.plans.registry import query
 from canvasser.plans.lookup import FACILITIES_SQL, LINKED_SQL, completed_with_list_names, plain_name_sql
+from canvasser.plans.registry import query
+from canvasser.session import fresh_path
 
 # --- set operations -----------------------------------------------------------------------
 
@@ -715,33 +716,42 @@ def upsert_calendar_events(v: Views) -> DataFrame:
     ci AS (SELECT contact_name AS name, phone, job_name, facility_key AS school_worked_at, seq, slot FROM p),
     co AS (SELECT seq * 10 + slot AS staff_id, name, job_name, school_worked_at FROM ci WHERE phone IS NOT NULL),
     cm AS (SELECT co.staff_id FROM ci LEFT JOIN co ON co.name = ci.name AND co.school_worked_at = ci.school_worked_at AND co.job_name IS NOT DISTINCT FROM ci.job_name),
-    z AS (SELECT facility_key FROM fn GROUP BY 1), cy AS (SELECT DISTINCT {norm_sql('County')} AS cn FROM facility_list)
-    SELECT 'county' AS "table", 'insert' AS action, count(*) AS rows FROM cy WHERE cn <> '' HAVING count(*) > 0
-    UNION ALL SELECT 'schools', 'insert', count(*) FROM z HAVING count(*) > 0
-    UNION ALL SELECT 'staff', CASE WHEN staff_id IS NULL THEN 'insert' ELSE 'update' END, count(*) FROM mt GROUP BY ALL
-    UNION ALL SELECT 'staff', 'keep', count(*) FROM old WHERE staff_id NOT IN (SELECT staff_id FROM mt WHERE staff_id IS NOT NULL) HAVING count(*) > 0
-    UNION ALL SELECT 'staff', 'skipped_unknown_school', count(*) FROM cp WHERE {norm_sql('nm')} NOT IN (SELECT name_key FROM fby)
-    UNION ALL SELECT 'staff', 'unique_incoming', count(*) FROM inc
-    UNION ALL SELECT 'city_schools', CASE WHEN ct.facility_key IS NULL THEN 'insert' WHEN d.facility_key IS NULL THEN 'keep' ELSE 'update' END, count(*)
-      FROM ct FULL JOIN d ON ct.facility_key = d.facility_key GROUP BY ALL
-    UNION ALL SELECT 'city_staff', CASE WHEN staff_id IS NULL THEN 'insert' ELSE 'update' END, count(*) FROM cm GROUP BY ALL
-    UNION ALL SELECT 'city_staff', 'unique_incoming', count(*) FROM ci""",
+    z AS (SELECT facility_key FROM fn GROUP BY 1),
+    zt AS (SELECT facility_key FROM z WHERE length(facility_key) % 2 = 0 UNION ALL SELECT 'kept|' || s_suppkey FROM supplier),
+    cy AS (SELECT DISTINCT {norm_sql('County')} AS cn FROM facility_list), cn AS (SELECT {COUNTY_TITLE} AS county_name FROM cy WHERE cn <> ''),
+    nt AS (SELECT county_name FROM cn WHERE length(county_name) % 2 = 0 UNION ALL SELECT 'Kept ' || n_name FROM nation),
+    all_rows AS (SELECT 'county' AS "table", CASE WHEN nt.county_name IS NULL THEN 'insert' WHEN cn.county_name IS NULL THEN 'keep' ELSE 'update' END AS action
+      FROM cn FULL JOIN nt ON cn.county_name = nt.county_name
+    UNION ALL SELECT 'schools', CASE WHEN zt.facility_key IS NULL THEN 'insert' WHEN z.facility_key IS NULL THEN 'keep' ELSE 'update' END
+      FROM z FULL JOIN zt ON z.facility_key = zt.facility_key
+    UNION ALL SELECT 'staff', CASE WHEN staff_id IS NULL THEN 'insert' ELSE 'update' END FROM mt
+    UNION ALL SELECT 'staff', 'keep' FROM old WHERE staff_id NOT IN (SELECT staff_id FROM mt WHERE staff_id IS NOT NULL)
+    UNION ALL SELECT 'city_schools', CASE WHEN ct.facility_key IS NULL THEN 'insert' WHEN d.facility_key IS NULL THEN 'keep' ELSE 'update' END
+      FROM ct FULL JOIN d ON ct.facility_key = d.facility_key
+    UNION ALL SELECT 'city_staff', CASE WHEN staff_id IS NULL THEN 'insert' ELSE 'update' END FROM cm)
+    SELECT "table", action, count(*) AS rows FROM all_rows GROUP BY ALL
+    UNION ALL SELECT "table", 'unique_incoming', count(*) FROM all_rows WHERE action <> 'keep' GROUP BY ALL
+    UNION ALL SELECT 'staff', 'skipped_unknown_school', count(*) FROM cp WHERE {norm_sql('nm')} NOT IN (SELECT name_key FROM fby) HAVING count(*) > 0""",
 )
 def load_summary(v: Views) -> DataFrame:
-    """Rows per action of a whole load, with the city directory's schools and staff."""
-    linked = _linked(v)
-    counties = merge.upsert_counties(merge.county_rows(v.facility_list).limit(0), v.facility_list)
+    """Rows per action of a whole load, counted while each merged table is written."""
+    counties = merge.county_rows(v.facility_list)
+    county_target = counties.filter(F.length("county_name") % 2 == 0).unionByName(v.table("nation").select(F.concat(F.lit("Kept "), "n_name").alias("county_name")))
     schools = merge.facility_rows(v.facility_list)
-    merged_schools = merge.merge_upsert(schools.limit(0), schools, ["facility_key"])
-    staff = merge.upsert_staff(_old_staff(linked), linked, ["seq", "pos"])
-    single = lambda df, action, table="staff": df.agg(F.count("*").alias("rows")).select(F.lit(table).alias("table"), F.lit(action).alias("action"), "rows")
-    skipped = joins.unknown_schools(completed_with_list_names(v), v.facility_list)
-    out = merge.change_counts(counties, "county").unionByName(merge.change_counts(merged_schools, "schools"))
-    out = out.unionByName(merge.change_counts(staff, "staff")).unionByName(single(skipped, "skipped_unknown_school"))
-    out = out.unionByName(single(staff.filter("_action <> 'keep'"), "unique_incoming"))
-    city_staff = _city_staff(v)
-    out = out.unionByName(merge.change_counts(_city_schools(v), "city_schools")).unionByName(merge.change_counts(city_staff, "city_staff"))
-    return out.unionByName(single(city_staff.filter("_action <> 'keep'"), "unique_incoming", "city_staff"))
+    kept = v.supplier.select(F.concat(F.lit("kept|"), F.col("s_suppkey").cast("string")).alias("facility_key"))
+    school_target = schools.filter(F.length("facility_key") % 2 == 0).unionByName(kept, allowMissingColumns=True)
+    linked = _linked(v)
+    merges = {
+        "county": merge.upsert_counties(county_target, v.facility_list),
+        "schools": merge.upsert_facilities(school_target, v.facility_list),
+        "staff": merge.upsert_staff(_old_staff(linked), linked, ["seq", "pos"]),
+        "city_schools": _city_schools(v),
+        "city_staff": _city_staff(v),
+    }
+    found = [row for table, merged in merges.items() for row in merge.write_counted(merged, fresh_path(v.spark, f"load-{table}"), table)]
+    skipped = joins.unknown_schools(completed_with_list_names(v), v.facility_list).count()
+    found += [("staff", "skipped_unknown_school", skipped)] if skipped else []
+    return v.spark.createDataFrame(found, "`table` string, action string, rows bigint")
 
 
 def _rule_documents(v: Views) -> DataFrame:

@@ -108,6 +108,54 @@ def test_staff(spark):
     assert reset.is_verified is False and reset.last_verified_at is None
 
 
+STAFF = "staff_id bigint, name string, email string, job_name string, school_worked_at string, phone string, is_verified boolean"
+
+
+def test_staff_keys_with_many_rows(spark):
+    """Many stored rows of one key (with ids, without, with repeated ids): only the highest id changes."""
+    hot = [(k, "Ann Lee", "a@b.c", "Dean", "s1", str(k), True) for k in range(300)] + [(299, "Ann Lee", "a@b.c", "Dean", "s1", "again", True)]
+    hot += [(None, "Ann Lee", "a@b.c", "Dean", "s1", "no id", True)] * 40 + [(900 + k, None, None, None, None, "x", False) for k in range(20)]
+    staff = spark.createDataFrame([*hot, (7000, "Bo", None, None, "s2", "1", False)], STAFF)
+    new = spark.createDataFrame(
+        [(" ann  LEE", "A@B.C", "dean", "S1", "new", 1), ("Ann Lee", "a@b.c", "Dean", "s1", "newest", 2), ("Cy", None, None, "s3", "3", 3), ("Bo", None, None, "s2", None, 4)],
+        "name string, email string, job_name string, school_worked_at string, phone string, seq int",
+    )
+    out = merge.upsert_staff(staff, new, ["seq"])
+    assert out.columns == [*staff.columns, "_action"] and out.count() == staff.count() + 1
+    changed = rows(out.filter("_action <> 'keep'"), "staff_id", "name", "phone", "_action")
+    assert changed == [(None, "Cy", "3", "insert"), (299, "Ann Lee", "newest", "update"), (299, "Ann Lee", "newest", "update"), (7000, "Bo", None, "update")]
+    kept = rows(out.filter("_action = 'keep'").drop("_action"))
+    assert kept == rows(staff.filter("staff_id is null or staff_id not in (299, 7000)"))
+
+
+def test_staff_target_is_read_once(spark, tmp_path):
+    spark.createDataFrame([(1, "Ann", "a", "Dean", "s", "1", True)], STAFF).write.parquet(str(tmp_path / "staff"))
+    new = spark.createDataFrame([("Ann", "a", "Dean", "s", "2", 1)], "name string, email string, job_name string, school_worked_at string, phone string, seq int")
+    out = merge.upsert_staff(spark.read.parquet(str(tmp_path / "staff")), new, ["seq"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
+    assert rows(out, "staff_id", "phone", "_action") == [(1, "2", "update")]
+
+
+def test_merges_are_counted_while_written(spark, tmp_path):
+    target = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v int")
+    evaluated = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def seen(v):
+        evaluated.add(1)
+        return v
+
+    incoming = spark.createDataFrame([("a", 9), ("d", 4)], "k string, v int").withColumn("v", seen("v"))
+    merged = merge.merge_upsert(target, incoming, ["k"])
+    found = merge.write_counted(merged, str(tmp_path / "out"), "t")
+    assert found == [("t", "insert", 1), ("t", "update", 1), ("t", "keep", 2), ("t", "unique_incoming", 2)]
+    assert evaluated.value == 2  # once per incoming row
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == [("a", 9), ("b", 2), ("c", 3), ("d", 4)]
+    none = merge.merge_upsert(target.limit(0), incoming.limit(0), ["k"])
+    assert merge.write_counted(none, str(tmp_path / "none"), "t") == []
+
+
 def test_city_directory_contacts(spark):
     slots = lambda a, b: {"administrator": {"title": "P", "name": a}, "second": {"title": "AP", "name": b}}
     directory = spark.createDataFrame(
