@@ -25,10 +25,10 @@ tables give empty results. Other columns play no part.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canvasser.llm.bpe import byte_letters
+from canvasser.llm import bpe
 from canvasser.llm.common import pieces, saved
 from canvasser.llm.incidence import Rows, members, ranges
 
@@ -61,35 +61,28 @@ class Pieces:
 
 
 class Tokenizers:
-    """Both tokenizers with the bytes of their ids."""
+    """Both tokenizers with the bytes of their ids.
+
+    A's ids are those of the library (``bpe.py``), with words met before remembered.
+    """
 
     def __init__(self, json_path: str, model_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
-        import tokenizers
 
-        self.a = tokenizers.Tokenizer.from_file(json_path)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
+        plain = bpe.Vocabulary(bpe.without_special(Path(json_path).read_text(encoding="utf-8")))
+        self.a = bpe.Remembered(plain)
         self.b = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        of_letter = {c: b for b, c in byte_letters().items()}
-        by_id = {i: p for p, i in self.a.get_vocab(with_added_tokens=True).items()}
-        self.bytes_a = Pieces([self._plain(by_id.get(i, ""), of_letter) for i in range(max(by_id) + 1)])
+        self.bytes_a = Pieces(plain.pieces)
         self.bytes_b = Pieces([self._piece(i) for i in range(self.b.get_piece_size())])
 
-    @staticmethod
-    def _plain(piece: str, of_letter: dict) -> bytes:
-        return bytes(of_letter[c] for c in piece) if all(c in of_letter for c in piece) else piece.encode()
-
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> tuple[list, list]:
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of A of a blank and the text, and of B of the text (which adds the blank)."""
-        first = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        return first, self.b.encode(texts, num_threads=1)
+        ids, counts = self.a.encode([" " + t for t in texts])
+        return np.split(ids, np.cumsum(counts)[:-1]), [np.array(x, np.int64) for x in self.b.encode(texts, num_threads=1)]
 
 
 @lru_cache(maxsize=2)
@@ -159,8 +152,7 @@ def group_text(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_
 
 def _figures(texts: list[str], both: Tokenizers) -> Iterator[tuple]:
     """Per text: the figures, the digest, its linked pairs (a << 32 | b) and how often each occurs."""
-    first, second = both.encode(texts)
-    ids_a, ids_b = [np.array(x, np.int64) for x in first], [np.array(x, np.int64) for x in second]
+    ids_a, ids_b = both.encode(texts)
     for i, text in enumerate(texts):
         raw = (" " + text).encode("utf-8", "surrogatepass")
         if not text or both.bytes_a.joined(ids_a[i]) != raw or both.bytes_b.joined(ids_b[i]) != raw:

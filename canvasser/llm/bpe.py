@@ -10,11 +10,14 @@ behind the pairs it was made from and the rounds end where one-by-one merging en
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
+import pandas as pd
 import regex
 
+from canvasser.llm.hashing import segments
+
 # White space other than blanks and line feeds, by Unicode.
 _ODD_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _ODD = _ODD_ASCII + "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -93,8 +96,22 @@ class Vocabulary:
             mark = "\n"
         return out
 
+    @staticmethod
+    def text_of(unit: str) -> str:
+        """The part of the text that a unit stands for."""
+        mark = unit[:1]
+        return unit if mark == "\n" else unit[1:] if mark in ("\t", "\r") and mark else " " + unit
+
+    @cached_property
+    def piece_bytes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all pieces in one array, where each begins, and its size."""
+        sizes = np.fromiter(map(len, self.pieces), np.int64, self.size)
+        return np.frombuffer(b"".join(self.pieces), np.uint8), np.cumsum(sizes) - sizes, sizes
+
     def tokens_of(self, unit: str) -> list[str]:
         """Pre-tokens of a unit."""
+        if unit.isalpha():  # letters behind a blank
+            return [" " + unit]
         mark = unit[:1]
         if mark == "\r":
             return [unit[1:]]
@@ -167,6 +184,46 @@ def merge(symbols: np.ndarray, counts: np.ndarray, vocabulary: Vocabulary) -> tu
     return ids[order], np.bincount(owners, minlength=len(counts))
 
 
+class Remembered:
+    """Ids of whole texts, where units met before are not merged again.
+
+    At most ``most`` units (and those of one call) are remembered.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, most: int = 400_000):
+        self.vocabulary, self.most = vocabulary, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and the number of ids of each."""
+        units = [self.vocabulary.units(t) for t in texts]
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        codes, distinct = pd.factorize(np.array([u for part in units for u in part], dtype=object))
+        fresh = [u for u in distinct if u not in self.number]
+        if len(self.number) + len(fresh) > self.most:
+            self._clear()
+            fresh = list(distinct)
+        if fresh:
+            ids, counts = self.vocabulary.encode_units(fresh)
+            self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        at = np.fromiter((self.number[u] for u in distinct), np.int64, len(distinct))[codes]
+        starts = (np.cumsum(self.counts) - self.counts)[at]
+        unit, place = segments(self.counts[at])
+        owner = np.repeat(np.arange(len(units)), sizes)
+        totals = np.bincount(owner, weights=self.counts[at], minlength=len(units)).astype(np.int64)
+        return self.ids[starts[unit] + place], totals
+
+
+def without_special(source: str) -> str:
+    """A vocabulary file in which the strings of special tokens are ordinary text."""
+    return json.dumps(json.loads(source) | {"added_tokens": []})
+
+
 @lru_cache(maxsize=4)
 def vocabulary(source: str) -> Vocabulary:
     """The vocabulary of a file's text, built once per worker."""

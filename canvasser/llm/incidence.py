@@ -26,9 +26,11 @@ class Rows:
 
     def transposed(self) -> Rows:
         """Columns become rows: a stable count sort of the entries."""
-        order = np.argsort(self.columns, kind="stable")
         owner = np.repeat(np.arange(self.height), np.diff(self.starts))
         starts = np.concatenate(([0], np.cumsum(np.bincount(self.columns, minlength=self.width))))
+        if _ascending(self.columns):  # as of ranges one behind the other
+            return Rows(starts, owner, self.values, self.height)
+        order = np.argsort(self.columns, kind="stable")
         return Rows(starts, owner[order], self.values[order], self.height)
 
     def times(self, vector: np.ndarray) -> np.ndarray:
@@ -51,8 +53,9 @@ class Rows:
             at = other.starts[inner][entry] + place
             key = row * other.width + other.columns[at]
             value = self.values[a:b][entry] * other.values[at]
-            order = np.argsort(key, kind="stable")
-            key, value = key[order], value[order]
+            if not _ascending(key):
+                order = np.argsort(key, kind="stable")
+                key, value = key[order], value[order]
             new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
             sizes.append(np.bincount(key[new] // other.width, minlength=last - first))
             columns.append(key[new] % other.width)
@@ -63,6 +66,10 @@ class Rows:
         return Rows(starts, np.concatenate([none, *columns]), np.concatenate([none, *values]), other.width)
 
 
+def _ascending(x: np.ndarray) -> bool:
+    return bool((x[1:] >= x[:-1]).all())
+
+
 def ranges(begins: np.ndarray, ends: np.ndarray, width: int) -> Rows:
     """One row per range, a one at each place from its begin up to its end."""
     _, place = segments(ends - begins)

@@ -7,7 +7,7 @@ from helpers import clashing, odd_rows, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from canvasser.llm import alignment, incidence
+from canvasser.llm import alignment, bpe, incidence
 from canvasser.llm.queries import vocabulary_path
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -15,6 +15,7 @@ sentencepiece = pytest.importorskip("sentencepiece")
 PATHS = vocabulary_path(), vocabulary_path("piece_bpe_32k.model")
 A = tokenizers.Tokenizer.from_file(PATHS[0])
 A.encode_special_tokens = True
+PLAIN = bpe.Vocabulary(bpe.without_special(open(PATHS[0], encoding="utf-8").read()))
 B = sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
 
 
@@ -74,7 +75,7 @@ def tokens_of(text):
     """Ids and bytes of both sides by the libraries alone; nothing where they differ."""
     if not text:
         return [], [], [], []
-    letters = {c: b for b, c in alignment.byte_letters().items()}
+    letters = {c: b for b, c in bpe.byte_letters().items()}
     ids_a, ids_b = A.encode(" " + text, add_special_tokens=False).ids, B.encode(text)
     a = [bytes(letters[c] for c in A.id_to_token(i)) for i in ids_a]
     b = [bytes([int(B.id_to_piece(i)[3:5], 16)]) if B.is_byte(i) else B.id_to_piece(i).replace("▁", " ").encode() for i in ids_b]
@@ -119,6 +120,16 @@ def test_against_the_libraries(documents, none, most):
     assert alignment.report(none, *PATHS, most=most).count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("  \n\t'sdtrevml<|endoftext|>aaAé漢  \x1c\x85\U0001f600"), st.characters(exclude_categories=["Cs"])), max_size=30), min_size=1, max_size=6))
+def test_remembered_ids_are_those_of_the_library(texts):
+    for most in (3, 400_000):
+        own = bpe.Remembered(PLAIN, most)
+        for _ in range(2):
+            ids, counts = own.encode(texts)
+            assert ids.tolist() == [i for t in texts for i in A.encode(t, add_special_tokens=False).ids] and counts.sum() == len(ids)
+
+
 def test_pieces_do_not_change_results(documents, monkeypatch):
     rows = [(k, prose(k, 30 + 7 * k) if k % 5 else None, "en", "s", 0) for k in range(25)]
     monkeypatch.setattr(alignment, "PIECE", 150)
