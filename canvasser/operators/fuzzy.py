@@ -53,6 +53,26 @@ def _needed_grams(token: F.Column) -> F.Column:
     return F.when(F.length(token) >= 3, _grams(token, 3)).otherwise(F.array(token))
 
 
+# Classes of letters whose counts are compared; every other character is the last class.
+_CLASSES = ("a", "e", "i", "o", "u", "nm", "r", "l", "st")
+_WIDTH = 6
+_MOST = 2**_WIDTH - 1
+
+
+def _letter_counts(text: F.Column) -> F.Column:
+    """Counts of the letter classes in one long, ``_WIDTH`` bits each; null for texts too long for that."""
+    counts = [F.length(text) - F.length(F.regexp_replace(text, f"[{letters}]", "")) for letters in _CLASSES]
+    counts.append(F.length(text) - sum(counts[1:], counts[0]))
+    packed = [F.shiftleft(n.cast("bigint"), _WIDTH * i) for i, n in enumerate(counts)]
+    return F.when(F.length(text) <= _MOST, sum(packed[1:], packed[0]))
+
+
+def _most_common(a: F.Column, b: F.Column) -> F.Column:
+    """The longest common subsequence two texts can have by their letter counts."""
+    shared = [F.least(*[F.shiftright(x, _WIDTH * i).bitwiseAND(F.lit(_MOST)) for x in (a, b)]) for i in range(len(_CLASSES) + 1)]
+    return sum(shared[1:], shared[0])
+
+
 def fuzzy_best_match(left: DataFrame, right: DataFrame, threshold: float = 70.0, on: Sequence[str] = ()) -> DataFrame:
     """Best label per school name: highest ratio strictly above the threshold, first on ties.
 
@@ -65,9 +85,24 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, threshold: float = 70.0,
     an equi join, and as nothing beats it, such names need no comparison. For the others, each
     qualifying label contains every three-letter piece of both words: the join runs on the
     piece that the fewest labels of the scope have, and its condition checks the words and the
-    best ratio the two lengths allow. So no pair is lost and no cap is needed.
+    best ratio that the two lengths and the counts of their letters allow. So no pair is lost
+    and no cap is needed.
     """
     on = list(on)
+    same, pairs = candidate_pairs(left, right, threshold, on)
+    # Scoring is the expensive step: spread the pairs evenly, whatever block they come from,
+    # with equal pairs of different scopes side by side for the cache.
+    pairs = pairs.hint("rebalance", "_text", "label")
+    # The threshold is applied inside the aggregate: a filter would run the ratio twice.
+    scored = pairs.select(*on, "school_name", "label", "pos", indel_ratio("_text", "label").alias("score"))
+    rank = F.struct("score", (-F.col("pos")).alias("back"), "label")
+    best = scored.groupBy(*on, "school_name").agg(F.max(F.when(F.col("score") > threshold, rank)).alias("b"))
+    best = best.filter("b is not null").select(*on, "school_name", "b.label", "b.score")
+    return same.unionByName(best)
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Names that equal a label, as results; and for the others the pairs that have to be scored."""
     words = F.split(F.lower(F.trim("school_name")), r"\s+")
     short = lambda w, long: F.when(w.isin(M.SCHOOL_ABBREVIATIONS), long).otherwise(w)
     names = left.select(*on, "school_name").distinct().withColumn("_w", words).filter(F.size("_w") >= 2)
@@ -77,11 +112,11 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, threshold: float = 70.0,
         F.lower(F.trim("school_name")).alias("_text"),
         short(F.element_at("_w", 2), "high").alias("_first"),
         short(F.element_at("_w", -1), "school").alias("_last"),
-    )
+    ).withColumn("_name_letters", _letter_counts(F.col("_text")))
     labels = right.select(*on, F.lower(F.trim("label")).alias("label"), "pos").filter(
         (F.col("label") != "") & (F.size(F.split("label", r"\s+")) <= 7)
     )
-    labels = labels.groupBy(*on, "label").agg(F.min("pos").alias("pos"))
+    labels = labels.groupBy(*on, "label").agg(F.min("pos").alias("pos")).withColumn("_label_letters", _letter_counts(F.col("label")))
     has_words = F.contains("label", "_first") & F.contains("label", "_last")
 
     same = names.join(labels.withColumn("_text", F.col("label")), [*on, "_text"]).filter(has_words)
@@ -89,24 +124,18 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, threshold: float = 70.0,
     names = names.join(same.select(*on, "school_name"), [*on, "school_name"], "left_anti")
 
     grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col("label"), n) for n in (1, 2, 3)])))
-    gram_rows = labels.select(*on, "label", "pos", F.explode(grams).alias("gram"))
+    gram_rows = labels.select(*on, "label", "pos", "_label_letters", F.explode(grams).alias("gram"))
     spread = gram_rows.groupBy(*on, "gram").agg(F.count("*").alias("_n"))
     needed = F.array_distinct(F.concat(_needed_grams(F.col("_first")), _needed_grams(F.col("_last"))))
     # A needed piece that no label has rules the name out; the left join keeps it as count 0.
     needs = names.withColumn("gram", F.explode(needed)).join(spread, [*on, "gram"], "left")
-    rarest = needs.groupBy(*on, "school_name", "_text", "_first", "_last").agg(
+    rarest = needs.groupBy(*on, "school_name", "_text", "_first", "_last", "_name_letters").agg(
         F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram")
     )
     name_len, label_len = F.length("_text"), F.length("label")
     # 200 * min / (sum) is the highest ratio two lengths allow.
     reachable = 200.0 * F.least(name_len, label_len) > F.lit(threshold) * (name_len + label_len)
-    pairs = rarest.join(gram_rows, [*on, "gram"]).filter(has_words & reachable)
-    # Scoring is the expensive step: spread the pairs evenly, whatever block they come from,
-    # with equal pairs of different scopes side by side for the cache.
-    pairs = pairs.select(*on, "school_name", "_text", "label", "pos").hint("rebalance", "_text", "label")
-    # The threshold is applied inside the aggregate: a filter would run the ratio twice.
-    scored = pairs.select(*on, "school_name", "label", "pos", indel_ratio("_text", "label").alias("score"))
-    rank = F.struct("score", (-F.col("pos")).alias("back"), "label")
-    best = scored.groupBy(*on, "school_name").agg(F.max(F.when(F.col("score") > threshold, rank)).alias("b"))
-    best = best.filter("b is not null").select(*on, "school_name", "b.label", "b.score")
-    return same.unionByName(best)
+    common = _most_common(F.col("_name_letters"), F.col("_label_letters"))
+    spelt = F.coalesce(200.0 * common > F.lit(threshold) * (name_len + label_len), F.lit(True))
+    pairs = rarest.join(gram_rows, [*on, "gram"]).filter(has_words & reachable & spelt)
+    return same, pairs.select(*on, "school_name", "_text", "label", "pos")

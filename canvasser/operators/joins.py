@@ -42,18 +42,11 @@ def recent_activity_feed(activities: DataFrame, schools: DataFrame, n: int = 12)
     return newest.join(found, "school_id", "left").orderBy(F.desc("date"), "activity_id")
 
 
-def county_cards(summary: DataFrame, engagement: DataFrame) -> DataFrame:
-    rate = engagement.select("county", "engaged_schools", "engagement_pct")
-    joined = summary.filter("county <> ''").join(rate, "county", "left")
-    joined = joined.withColumns(
-        {
-            "engaged_schools": F.coalesce("engaged_schools", F.lit(0)),
-            "engagement_pct": F.coalesce("engagement_pct", F.lit(0.0)),
-        }
-    )
+def county_cards(summary: DataFrame) -> DataFrame:
+    """Cards of the counties with a name; ``summary`` holds the engaged schools (``metrics.county_school_summary``)."""
     pct = F.col("engagement_pct")
     band = F.when(pct >= 30, "success").when(pct >= 10, "warning").otherwise("error")
-    return joined.withColumn("band", band).orderBy("county")
+    return summary.filter("county <> ''").withColumn("band", band).orderBy("county")
 
 
 def resolve_school_name(rows: DataFrame, schools: DataFrame, imported: DataFrame | None = None) -> DataFrame:

@@ -454,6 +454,12 @@ def cascade_delete_school(schools: DataFrame, staff: DataFrame, junction: DataFr
     )
 
 
+def delete_contacts(staff: DataFrame, junction: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staff and links without the contacts listed in ``doomed`` (staff_id); unknown ids change nothing."""
+    ids = doomed.select("staff_id").distinct()
+    return tuple(df.join(ids, "staff_id", "left_anti").select(*df.columns) for df in (staff, junction))
+
+
 def mark_verified(target: DataFrame, ids: DataFrame, key: str, as_of: AsOf) -> DataFrame:
     """Set the verified flag and date of the rows listed in ``ids`` (key)."""
     marks = ids.select(key).distinct().withColumn("_mark", F.lit(True))

@@ -217,24 +217,28 @@ def dashboard_overview(schools: DataFrame, contacts: DataFrame, activities: Data
     return both.withColumn("avg_contacts", X.one_decimal("_contacts", "total_schools")).drop("_contacts")
 
 
-def county_school_summary(schools: DataFrame, contacts: DataFrame, participation: DataFrame, programs: DataFrame) -> DataFrame:
+def county_school_summary(schools: DataFrame, contacts: DataFrame, participation: DataFrame, programs: DataFrame, engaged: bool = False) -> DataFrame:
     """Schools, verified schools, contacts, distinct events and programs per county.
 
     Every child is reduced before it meets the schools. Distinct events are the distinct
-    (county, event) pairs, which is a plain two-step aggregate.
+    (county, event) pairs, which is a plain two-step aggregate. With ``engaged`` also the
+    schools with an event and their share in percent, from the same facts.
     """
     located = has_county(schools).select("school_id", "county", "is_verified")
     facts = located
-    for child, name in ((contacts, "_contacts"), (programs, "_programs")):
+    children = [(contacts, "_contacts"), (programs, "_programs"), *([(participation, "_events")] if engaged else [])]
+    for child, name in children:
         facts = facts.join(child.groupBy("school_id").agg(F.count("*").alias(name)), "school_id", "left")
+    reach = [F.count("_events").alias("engaged_schools")] if engaged else []
     per_county = facts.groupBy("county").agg(
         F.count("*").alias("total_schools"), F.count_if("is_verified").alias("verified_schools"),
-        F.coalesce(F.sum("_contacts"), F.lit(0)).alias("total_contacts"), F.coalesce(F.sum("_programs"), F.lit(0)).alias("total_programs"),
+        F.coalesce(F.sum("_contacts"), F.lit(0)).alias("total_contacts"), F.coalesce(F.sum("_programs"), F.lit(0)).alias("total_programs"), *reach,
     )
     pairs = participation.select("school_id", "event_id").distinct().join(located.select("school_id", "county"), "school_id")
     events = pairs.select("county", "event_id").distinct().groupBy("county").agg(F.count("*").alias("total_events"))
     out = per_county.join(events, "county", "left").withColumn("total_events", _n("total_events"))
-    return out.select("county", "total_schools", "verified_schools", "total_contacts", "total_events", "total_programs")
+    share = [F.col("engaged_schools"), F.round(100.0 * F.col("engaged_schools") / F.col("total_schools"), 1).alias("engagement_pct")] if engaged else []
+    return out.select("county", "total_schools", "verified_schools", "total_contacts", "total_events", "total_programs", *share)
 
 
 def county_engagement_rate(schools: DataFrame, participation: DataFrame) -> DataFrame:

@@ -254,8 +254,7 @@ COUNTY_SUMMARY_SQL = f"""l AS (SELECT school_id, county, is_verified FROM school
     FROM summary s LEFT JOIN rate r USING (county)""",
 )
 def county_cards(v: Views) -> DataFrame:
-    summary = metrics.county_school_summary(v.schools, v.contacts, v.participation, v.programs)
-    return joins.county_cards(summary, metrics.county_engagement_rate(v.schools, v.participation))
+    return joins.county_cards(metrics.county_school_summary(v.schools, v.contacts, v.participation, v.programs, engaged=True))
 
 
 @query(
@@ -367,13 +366,18 @@ FUZZY_SQL = f"""nm AS (SELECT DISTINCT p_brand, p_name || ' ' || p_type || ' hs'
 @query("fuzzy_best_match", f"WITH {FUZZY_SQL} SELECT p_brand, school_name, label, round(score, 6) AS score FROM rk WHERE rn = 1")
 def fuzzy_best_match(v: Views) -> DataFrame:
     """Each product name of a brand against labels of the brand that repeat its words in another form."""
+    names, labels = fuzzy_inputs(v)
+    return fuzzy.fuzzy_best_match(names, labels, on=["p_brand"]).withColumn("score", F.round("score", 6))
+
+
+def fuzzy_inputs(v: Views) -> tuple[DataFrame, DataFrame]:
     names = v.part.select("p_brand", F.concat_ws(" ", "p_name", "p_type", F.lit("hs")).alias("school_name"))
     labels = v.part.select(
         "p_brand",
         F.concat_ws(" ", F.lit("the"), "p_name", "p_type", F.when(F.col("p_size") % 2 == 0, "high").otherwise("jr"), F.lit("school")).alias("label"),
         F.col("p_partkey").alias("pos"),
     )
-    return fuzzy.fuzzy_best_match(names, labels, on=["p_brand"]).withColumn("score", F.round("score", 6))
+    return names, labels
 
 
 # --- first and last per key ---------------------------------------------------------------

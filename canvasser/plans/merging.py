@@ -420,13 +420,14 @@ def _city_staff(v: Views) -> DataFrame:
 @query(
     "upsert_counties",
     f"""WITH c AS (SELECT DISTINCT {norm_sql('County')} AS cn FROM facility_list), t AS (SELECT {COUNTY_TITLE} AS county_name FROM c WHERE cn <> ''),
-    o AS (SELECT 'Nation_1 Dekalb O''Brien' AS county_name UNION ALL SELECT 'Elsewhere')
+    o AS (SELECT n_name || ' Dekalb O''Brien' AS county_name FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'Kept ' || n_name FROM nation)
     SELECT coalesce(t.county_name, o.county_name) AS county_name, CASE WHEN o.county_name IS NULL THEN 'insert' WHEN t.county_name IS NULL THEN 'keep'
       ELSE 'update' END AS action FROM t FULL JOIN o ON t.county_name = o.county_name""",
 )
 def upsert_counties(v: Views) -> DataFrame:
-    names = F.array(F.lit("Nation_1 Dekalb O'Brien"), F.lit("Elsewhere"))
-    old = v.region.filter("r_regionkey = 0").select(F.explode(names).alias("county_name"))
+    nation = v.table("nation")
+    old = nation.filter("n_nationkey % 2 = 0").select(F.concat("n_name", F.lit(" Dekalb O'Brien")).alias("county_name"))
+    old = old.unionByName(nation.select(F.concat(F.lit("Kept "), "n_name").alias("county_name")))
     return merge.upsert_counties(old, v.facility_list).withColumnRenamed("_action", "action")
 
 
@@ -592,6 +593,20 @@ def cascade_delete_school(v: Views) -> DataFrame:
     )
 
 
+@query(
+    "delete_contacts",
+    """WITH d AS (SELECT contact_id * 3 AS staff_id FROM contacts WHERE contact_id % 2 = 0)
+    SELECT 'staff' AS entity, cast(NULL AS varchar) AS school_id, staff_id FROM staff_rows WHERE staff_id IS NULL OR staff_id NOT IN (FROM d)
+    UNION ALL SELECT 'links', school_id, staff_id FROM junction_rows WHERE staff_id IS NULL OR staff_id NOT IN (FROM d)""",
+)
+def delete_contacts(v: Views) -> DataFrame:
+    """Staff and links that are left when every third id of the even contacts goes; some of these exist."""
+    doomed = v.contacts.filter("contact_id % 2 = 0").select((F.col("contact_id") * 3).alias("staff_id"))
+    staff, links = merge.delete_contacts(v.staff_rows, v.junction_rows, doomed)
+    out = staff.select(F.lit("staff").alias("entity"), F.lit(None).cast("string").alias("school_id"), F.col("staff_id").cast("bigint").alias("staff_id"))
+    return out.unionByName(links.select(F.lit("links").alias("entity"), "school_id", F.col("staff_id").cast("bigint").alias("staff_id")))
+
+
 @query(
     "mark_verified",
     f"""SELECT facility_key, school_id IN (SELECT school_id FROM contacts) OR coalesce(is_verified, false) AS is_verified,

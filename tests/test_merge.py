@@ -241,6 +241,9 @@ def test_edits(spark):
     t = merge.cascade_delete_school(schools, staff, links, spark.createDataFrame([("s1",)], "school_id string"))
     assert rows(t.schools) == [("s2",)] and rows(t.staff, "staff_id") == [(2,), (3,)] and rows(t.junction) == [("s2", 3)]
     assert rows(t.deleted_staff) == [(1,)]
+    left, linked = merge.delete_contacts(staff, links, spark.createDataFrame([(1,), (1,), (9,), (None,)], "staff_id int"))
+    assert rows(left, "staff_id") == [(2,), (3,)] and rows(linked) == [("s1", 2), ("s2", 3)]
+    assert left.columns == staff.columns and linked.columns == links.columns
     patches = spark.createDataFrame(
         [(1, 1, None, "Zed", None, None, ["last_name"]), (1, 2, None, None, None, None, ["email"]), (2, 3, None, None, None, "s9", ["school_id"])],
         "staff_id int, seq int, first_name string, last_name string, email string, school_id string, provided array<string>",

@@ -94,7 +94,11 @@ def test_counties(crm):
     assert metrics.missing_county_count(crm["schools"]).first()[0] == 3
     summary = metrics.county_school_summary(*pick(crm, "schools", "contacts", "participation", "programs"))
     assert rows(summary.filter("county = 'Cook'")) == [("Cook", 2, 1, 6, 2, 4)]
-    cards = joins.county_cards(summary, metrics.county_engagement_rate(crm["schools"], crm["participation"]))
+    with_rate = metrics.county_school_summary(*pick(crm, "schools", "contacts", "participation", "programs"), engaged=True)
+    assert rows(with_rate.drop("engaged_schools", "engagement_pct")) == rows(summary)
+    rate = metrics.county_engagement_rate(crm["schools"], crm["participation"])
+    assert rows(with_rate, "county", "engaged_schools", "engagement_pct") == rows(rate, "county", "engaged_schools", "engagement_pct")
+    cards = joins.county_cards(with_rate)
     assert rows(cards, "county", "engagement_pct", "band") == [("Cook", 100.0, "success"), ("County of 13c", 50.0, "success"), ("Lake", 0.0, "error")]
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from canvasser.functions.ordering import latest_per_key
-from canvasser.operators import joins, merge, metrics
+from canvasser.operators import fuzzy, joins, merge, metrics
+from canvasser.plans import lookup
 from canvasser.plans.bindings import AS_OF, views
 from canvasser.sources import sinks
 
@@ -74,7 +75,7 @@ def test_join_with_a_hot_key(spark, hot, no_broadcast):
     assert out.count() == N and out.filter("school_name = '0'").count() == hot.filter("k = 0").count()
 
 
-WRITES = {"incremental_ingest", "progress_stream", "streaming_school_activity", "stream_changes", "upsert_sink", "append_records", "export_snapshot", "import_snapshot", "read_csv_records", "read_json_records"}
+WRITES = {"incremental_ingest", "progress_stream", "streaming_school_activity", "stream_changes", "upsert_sink", "append_records", "export_snapshot", "import_snapshot", "read_csv_records", "read_json_records", "read_keyed_json", "cursor_stream", "load_summary", "site_contacts"}
 
 
 def test_no_pairwise_joins_and_no_row_python(spark, no_broadcast):
@@ -115,5 +116,15 @@ def test_tables_saved_by_school_need_no_exchange(spark, no_broadcast, tmp_path):
             spark.sql(f"DROP TABLE by_school_{name}")
 
 
+def test_scored_pairs_grow_with_the_rows(spark):
+    """Pairs that reach the similarity ratio, per name, at ten times the data."""
+    per_name = []
+    for sf in ("sf0.01", "sf0.1"):
+        names, labels = lookup.fuzzy_inputs(views(spark, f"/root/testdata/{sf}"))
+        pairs = fuzzy.candidate_pairs(names, labels, 70.0, ["p_brand"])[1]
+        per_name.append(pairs.count() / names.distinct().count())
+    assert per_name[1] <= 2 * per_name[0], per_name
+
+
 def test_rows_helper(table):
     assert rows(table([(2,), (1,), (None,)], "a int")) == [(None,), (1,), (2,)]
