@@ -90,15 +90,19 @@ def fuzzy_best_match(left: DataFrame, right: DataFrame, threshold: float = 70.0,
     """
     on = list(on)
     same, pairs = candidate_pairs(left, right, threshold, on)
-    # Scoring is the expensive step: spread the pairs evenly, whatever block they come from,
-    # with equal pairs of different scopes side by side for the cache.
-    pairs = pairs.hint("rebalance", "_text", "label")
-    # The threshold is applied inside the aggregate: a filter would run the ratio twice.
-    scored = pairs.select(*on, "school_name", "label", "pos", indel_ratio("_text", "label").alias("score"))
+    # Scoring is the expensive step: equal texts of different scopes are scored once.
+    scored = pairs.join(scored_texts(pairs, threshold), ["_text", "label"]).select(*on, "school_name", "label", "pos", "score")
     rank = F.struct("score", (-F.col("pos")).alias("back"), "label")
-    best = scored.groupBy(*on, "school_name").agg(F.max(F.when(F.col("score") > threshold, rank)).alias("b"))
-    best = best.filter("b is not null").select(*on, "school_name", "b.label", "b.score")
-    return same.unionByName(best)
+    best = scored.groupBy(*on, "school_name").agg(F.max(rank).alias("b"))
+    return same.unionByName(best.select(*on, "school_name", "b.label", "b.score"))
+
+
+def scored_texts(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(_text, label, score) of the distinct texts of the pairs whose ratio is above the threshold."""
+    texts = pairs.select("_text", "label").distinct()
+    # The threshold is applied behind a generator: a plain filter would run the ratio twice.
+    scored = texts.select("_text", "label", F.explode(F.array(indel_ratio("_text", "label"))).alias("score"))
+    return scored.filter(F.col("score") > threshold)
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float, on: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,7 @@
 """Hot keys, and the shape of plans once tables are too large to broadcast."""
 
+import random
+
 import pytest
 from frames import rows
 from pyspark.sql import functions as F
@@ -117,13 +119,26 @@ def test_tables_saved_by_school_need_no_exchange(spark, no_broadcast, tmp_path):
 
 
 def test_scored_pairs_grow_with_the_rows(spark):
-    """Pairs that reach the similarity ratio, per name, at ten times the data."""
-    per_name = []
+    """Texts that have to be scored, per row, at ten times the data; no pair is scored twice."""
+    per_row = []
     for sf in ("sf0.01", "sf0.1"):
-        names, labels = lookup.fuzzy_inputs(views(spark, f"/root/testdata/{sf}"))
+        v = views(spark, f"/root/testdata/{sf}")
+        names, labels = lookup.fuzzy_inputs(v)
         pairs = fuzzy.candidate_pairs(names, labels, 70.0, ["p_brand"])[1]
-        per_name.append(pairs.count() / names.distinct().count())
-    assert per_name[1] <= 2 * per_name[0], per_name
+        per_row.append(fuzzy.scored_texts(pairs, -1.0).count() / v.part.count())
+        assert fuzzy.scored_texts(pairs, 70.0).dropDuplicates(["_text", "label"]).count() == fuzzy.scored_texts(pairs, 70.0).count()
+    assert 0 < per_row[1] <= 2 * per_row[0], per_row
+
+
+def test_letter_counts_lose_no_pair(spark):
+    """Every pair above the threshold passes the bound, long and odd texts too."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices("aeiounmrlst xyz-É", k=rnd.randrange(1, 30))) for _ in range(120)] + ["long " * 20 + "end", "long " * 21 + "end"]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    common = fuzzy._most_common(fuzzy._letter_counts(F.col("a")), fuzzy._letter_counts(F.col("b")))
+    bound = df.select("a", "b", (200.0 * common / (F.length("a") + F.length("b"))).alias("bound")).collect()
+    assert all(r.bound is None or r.bound >= 200.0 * fuzzy._common_length(r.a, r.b) / (len(r.a) + len(r.b)) - 1e-9 for r in bound)
+    assert any(r.bound is None for r in bound) and sum(r.bound is not None and r.bound < 70 for r in bound) > 1000
 
 
 def test_rows_helper(table):
