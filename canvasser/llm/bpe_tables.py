@@ -2,7 +2,9 @@
 
 1. Documents are split into words (``Vocabulary.units``) and counted; the count of a frequent
    word is combined on the map side, so a word of a third of the corpus is one row per task.
-2. Every distinct word is encoded once; the table (word, n, ids) is saved.
+2. Every distinct word that occurs again is encoded once; the table (word, n, ids) is saved. A
+   word that occurs once in the corpus is encoded where it stands, which is once as well, and
+   takes no place in the table (two of three distinct words of the check tables).
 3. Ids are joined back by position. If the whole table fits ``TABLE_BYTES`` it is broadcast and
    texts are not shuffled at all. Beyond that only the most frequent words are broadcast, as many
    as surely fit; the other words of a document travel as rows (document, word) to the table and
@@ -32,7 +34,8 @@ from canvasser.llm.common import saved, spans
 from canvasser.llm.hashing import LONGEST as LONGEST_HASHED
 from canvasser.llm.hashing import digest, prefix_sums, segments, slice_hashes
 
-TABLE_BYTES = 96 * 1024 * 1024
+TABLE_BYTES = 48 * 1024 * 1024
+PIECE = 500_000  # bytes of text encoded at once, about
 SLICES = 8  # parts in which the broadcast table is fetched (a power of two)
 LONGEST = 64  # bytes of a word in a table that holds only the frequent words
 FLUSH = 200_000  # distinct words a task holds before it hands them on
@@ -56,8 +59,8 @@ def _source(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
 
-def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Every distinct word of the texts once: word, n, hash, ids (32-bit integers as bytes)."""
+def word_table(docs: DataFrame, path: str, text: str = "text", least: int = 2) -> DataFrame:
+    """Every distinct word that occurs ``least`` times or more: word, n, hash, ids (32-bit integers as bytes)."""
     shared = _source(docs, path)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,7 +87,7 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             yield pd.DataFrame({"word": words, "n": batch["n"], "hash": _hashes(words), "ids": cut})
 
     found = docs.select(F.col(text).alias("body")).dropna().mapInPandas(count, "word string, n long")
-    distinct = found.groupBy("word").agg(F.sum("n").alias("n"))
+    distinct = found.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return saved(distinct.mapInPandas(encode, "word string, n long, hash long, ids binary"), "words")
 
 
@@ -125,8 +128,26 @@ def _ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return first[group] + place
 
 
-def _positions(texts: list, vocabulary: bpe.Vocabulary, table) -> tuple[np.ndarray, np.ndarray, list, list]:
-    """All ids with the bounds of each text's, the tail words of each text (distinct), and where they go (place in ids, word)."""
+def _spelt(words: list[str], first: np.ndarray, n: np.ndarray, ids: np.ndarray, vocabulary: bpe.Vocabulary) -> np.ndarray:
+    """Whether the pieces of ids[first : first + n] spell each word."""
+    want = [vocabulary.text_of(w).encode("utf-8", "surrogatepass") for w in words]
+    raw, starts, sizes = vocabulary.piece_bytes
+    mine = ids[_ragged(first, n)].astype(np.int64)
+    length = np.bincount(np.repeat(np.arange(len(n)), n), weights=sizes[mine], minlength=len(n)).astype(np.int64)
+    fits = length == np.fromiter(map(len, want), np.int64, len(want))
+    if not fits.all():
+        some = np.flatnonzero(fits)
+        fits[some] = _spelt([words[k] for k in some.tolist()], first[some], n[some], ids, vocabulary)
+        return fits
+    same = raw[_ragged(starts[mine], sizes[mine])] == np.frombuffer(b"".join(want), np.uint8)
+    return np.bincount(np.repeat(np.arange(len(n)), length), weights=same, minlength=len(n)) == length
+
+
+def _positions(texts: list, vocabulary: bpe.Vocabulary, table, whole: bool) -> tuple[np.ndarray, np.ndarray, list, list]:
+    """All ids with the bounds of each text's, the tail words of each text (distinct), and where they go (place in ids, word).
+
+    If the table is ``whole``, words it lacks occur once: they are encoded here, and there are no tails.
+    """
     hashes, bounds, ids = table
     tokens = [vocabulary.units(t) for t in texts]
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
@@ -136,7 +157,20 @@ def _positions(texts: list, vocabulary: bpe.Vocabulary, table) -> tuple[np.ndarr
     known = hashes[at] == own if len(hashes) else np.zeros(len(own), bool)
     first = bounds[at].astype(np.int64)
     n = np.where(known, bounds[at + 1] - first, 0) if len(hashes) else np.zeros(len(own), np.int64)
-    flat = ids[_ragged(first[codes], n[codes])].astype(np.int32)
+    alike = np.flatnonzero(known)
+    wrong = alike[~_spelt([distinct[k] for k in alike.tolist()], first[alike], n[alike], ids, vocabulary)]
+    known[wrong], n[wrong] = False, 0  # another word of the same hash
+    if whole and not known.all():
+        new = np.flatnonzero(~known)
+        more, counts = vocabulary.encode_units([distinct[k] for k in new.tolist()])
+        first[new], n[new] = len(ids) + np.cumsum(counts) - counts, counts
+        flat = np.empty(int(n[codes].sum()), np.int32)
+        place = _ragged(first[codes], n[codes])
+        late = place >= len(ids)
+        flat[~late], flat[late] = ids[place[~late]], more[place[late] - len(ids)]
+        known = np.ones(len(own), bool)
+    else:
+        flat = ids[_ragged(first[codes], n[codes])].astype(np.int32)
     places = np.concatenate(([0], np.cumsum(n[codes])))
     words_to = np.concatenate(([0], np.cumsum(sizes)))
     ends = places[words_to]
@@ -174,14 +208,15 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", de
     while any(c.startswith(own) for c in docs.columns):
         own += "_"
     added = T.StructType([T.StructField(own + n, t) for n, t in (("ids", T.ArrayType(T.IntegerType())), ("tail", T.ArrayType(T.StringType())), ("gaps", T.ArrayType(T.IntegerType())), ("text", T.StringType()))])
-    body, decodes = docs.columns.index(text), bool(decoded) and rest is None
+    whole = rest is None
+    body, decodes = docs.columns.index(text), bool(decoded) and whole
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = bpe.vocabulary(shared.value)
         for batch in batches:
-            for a, b in spans(pc.binary_length(batch.column(body)).to_pylist(), 1_000_000):
+            for a, b in spans(pc.binary_length(batch.column(body)).to_pylist(), PIECE):
                 part = batch.slice(a, b - a)
-                flat, ends, tails, gaps = _positions(part.column(body).to_pylist(), vocabulary, words.value)
+                flat, ends, tails, gaps = _positions(part.column(body).to_pylist(), vocabulary, words.value, whole)
                 texts = [_joined(flat[x:y].tolist(), piece.value) if decodes else None for x, y in zip(ends, ends[1:])]
                 new = [
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), pa.array(tails, pa.list_(pa.string())),
@@ -191,22 +226,24 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", de
 
     rows = docs.mapInArrow(lookup, T.StructType([*docs.schema.fields, *added.fields]))
     if rest is not None:
-        rows = _filled(rows, rest, own)
+        rows = _filled(rows, rest, own, shared)
     rows = rows.select(*docs.columns, F.col(own + "ids").alias(into), *([F.col(own + "text").alias(decoded)] if decodes else []))
     return decode(rows, path, into, decoded) if decoded and not decodes else rows
 
 
-def _filled(rows: DataFrame, rest: DataFrame, own: str) -> DataFrame:
-    """The rows with the ids of their tail words put in place."""
+def _filled(rows: DataFrame, rest: DataFrame, own: str, source) -> DataFrame:
+    """The rows with the ids of their tail words put in place; words that no table has are encoded here."""
 
     @F.pandas_udf("array<int>")
     def fill(ids: pd.Series, gaps: pd.Series, tail: pd.Series, known: pd.Series) -> pd.Series:
-        out = []
+        out, vocabulary = [], bpe.vocabulary(source.value)
         for have, places, names, pairs in zip(ids, gaps, tail, known):
             if len(places):
-                of = {p["word"]: np.frombuffer(p["ids"], "<i4") for p in pairs}
+                of = {p["word"]: np.frombuffer(p["ids"], "<i4") if p["ids"] is not None else None for p in pairs}
                 parts, at = [], 0
                 for place, k in zip(places[::2], places[1::2]):
+                    if of[names[k]] is None:  # occurs once
+                        of[names[k]] = vocabulary.encode_units([names[k]])[0]
                     parts += [have[at:place], of[names[k]]]
                     at = place
                 have = np.concatenate([*parts, have[at:]])
@@ -216,7 +253,7 @@ def _filled(rows: DataFrame, rest: DataFrame, own: str) -> DataFrame:
     key, known = own + "key", own + "known"
     rows = saved(rows.withColumn(key, F.expr("uuid()")), "positions")  # saved, so the keys are settled
     wanted = rows.select(key, F.explode(own + "tail").alias("word"))
-    found = wanted.join(rest.select("word", "ids"), "word").groupBy(key).agg(F.collect_list(F.struct("word", "ids")).alias(known))
+    found = wanted.join(rest.select("word", "ids"), "word", "left").groupBy(key).agg(F.collect_list(F.struct("word", "ids")).alias(known))
     none = F.array().cast("array<struct<word:string,ids:binary>>")
     ids = fill(own + "ids", own + "gaps", own + "tail", F.coalesce(known, none))
     return rows.join(found, key, "left").withColumn(own + "ids", ids)

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from helpers import clashing, odd_rows, prose
 from hypothesis import given, settings
@@ -60,6 +61,21 @@ def test_round_trip(documents, none, table_bytes):
     assert bpe_tables.round_trip(none, PATH, table_bytes=table_bytes).count() == 0
 
 
+def test_words_of_one_hash_are_told_apart():
+    """A table whose hash belongs to another word does not give that word's ids."""
+    ids, counts = OWN.encode_units(["house", "\tfirst"])
+    for word, other in (("house", "mouse"), ("house", "houses"), ("\tfirst", "\tthirst")):
+        k = 0 if word == "house" else 1
+        mine = ids[: counts[0]] if k == 0 else ids[counts[0] :]
+        table = (bpe_tables._hashes([other]), np.array([0, len(mine)], np.int32), mine.astype(np.uint16))
+        flat, ends, tails, gaps = bpe_tables._positions([OWN.text_of(other).replace(" ", "", 1) if k else "x " + other], OWN, table, True)
+        text = OWN.text_of(other) if k else "x " + other
+        assert flat.tolist() == ids_of(text)
+    right = (bpe_tables._hashes(["house"]), np.array([0, counts[0]], np.int32), ids[: counts[0]].astype(np.uint16))
+    assert bpe_tables._positions(["x house"], OWN, right, True)[0].tolist() == ids_of("x house")
+    assert [OWN.text_of(u) for u in OWN.units("a b\nc")] == ["a", " b", "\nc"]
+
+
 def test_decode_any_ids(spark):
     rows = spark.createDataFrame([(1, [50256, 0, 255]), (2, []), (3, None), (4, [10**9, 1])], "k int, ids array<int>")
     got = {r.k: r.decoded for r in bpe_tables.decode(rows, PATH).collect()}
