@@ -304,6 +304,13 @@ def test_one_measure_at_all_lengths(documents):
     assert [r.n_removed for r in lines.report(documents(pair)).orderBy("doc_id").collect()] == [0, 1]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bb", "ccc", "dd", "e", ""]), max_size=12), st.lists(st.sampled_from(["a", "bb", "ccc", "dd", "e", ""]), max_size=12))
+def test_one_way_is_a_bound(v, w):
+    assert lines._one_way(v, w, 1e9) >= lines.edit_distance(" ".join(v), " ".join(w))
+    assert lines._one_way(v, v, 0) == 0 and (lines._one_way(v, w, 3) <= 3) == (lines._one_way(v, w, 1e9) <= 3)
+
+
 def test_counts_of_letters_rule_out_only_what_is_far():
     draw = np.random.default_rng(9)
     for _ in range(60):
