@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from html.entities import html5
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -168,7 +169,10 @@ def parse_pages(pages: DataFrame, wanted: Sequence[str] = PARTS) -> DataFrame:
     """The wanted parts of every page (columns ``PARSED``); each page is parsed once."""
     columns = [c.split()[0] for c in PARSED.split(", ")]
     telling = _may_signal("html")
-    rows = pages if "pager" in wanted else pages.filter(telling)
+    if "pager" in wanted:
+        rows = pages.withColumn("_telling", F.coalesce(telling, F.lit(False)))
+    else:
+        rows = pages.filter(telling).withColumn("_telling", F.lit(True))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple] = []
@@ -181,7 +185,7 @@ def parse_pages(pages: DataFrame, wanted: Sequence[str] = PARTS) -> DataFrame:
         if found:
             yield pd.DataFrame(found, columns=columns)
 
-    return rows.select("page_id", "url", "html", F.coalesce(telling, F.lit(False)).alias("_telling")).mapInPandas(run, PARSED)
+    return rows.select("page_id", "url", "html", "_telling").mapInPandas(run, PARSED)
 
 
 def _term_pattern(terms: Sequence[str]) -> str:
@@ -201,14 +205,23 @@ def title_match(line: Column, mode: str = "substring") -> Column:
     return low.rlike(wanted) & ~low.rlike(unwanted)
 
 
+def _spells(value: str) -> bool:
+    """Whether a character may be part of what a signal is told by: "@", ":" or a letter of a-z in any case."""
+    return any(c in "@:" or any(x[:1].isascii() and x[:1].isalpha() for x in (c.lower(), c.upper(), c.casefold())) for c in value)
+
+
+# Names of the character references that can spell a part of a signal.
+_SPELLING = "|".join(sorted({name.rstrip(";") for name, value in html5.items() if _spells(value)}))
+
+
 def _may_signal(html: str) -> Column:
     """Necessary condition for a contact signal, so that other pages are never parsed.
 
-    Letter case is folded as the parser folds it, by Unicode. Character references could spell
-    any part of a signal, so a page with any of them passes, save those of marks and blanks.
+    Letter case is folded as the parser folds it, by Unicode. Numeric character references could
+    spell any part of a signal, and so could some named ones.
     """
     page = F.col(html)
-    possible = page.rlike("(?iU)email|message|mailto:|sendto:") | page.rlike("&(?!(?:amp|lt|gt|quot|apos|nbsp);)[A-Za-z]")
+    possible = page.rlike("(?iU)email|message|mailto:|sendto:") | page.rlike(f"&(?:{_SPELLING})")
     for mark in ("@", "&#"):
         possible = page.contains(mark) | possible
     return possible
