@@ -76,3 +76,26 @@ def test_temperature_and_network():
     weights = quality.train(x, y, epochs=150)
     assert np.mean((quality.logits(x, weights) > 0) == (y > 0)) > 0.9
     assert quality.temperature(np.array([8.0, -8, 8, -8]), np.array([1.0, 0, 0, 1])) == 8
+
+
+def test_new_forms_of_known_words_rank_above_ordinary_texts(spark, documents):
+    """Every new word occurs in one text only, some in capitals outside ASCII; its beginning tells."""
+    texts, labels = [], []
+    for k in range(400):
+        text, toxic = prose(k, 60), k % 5 == 0
+        new = "éclat" if toxic else ("lampe", "écran", "table", "nuage")[k % 4]
+        text = " ".join([w for n, w in enumerate(text.split()) for w in ([w, f"{new}{k}x{n}"] if n % 6 == 0 else [w])])
+        texts.append(text.upper() if k % 10 == 5 else text)
+        labels.append((k, 1, int(toxic)))
+    rows = toxicity.report(documents(texts), spark.createDataFrame(labels, LABELS)).filter("held_out").collect()
+    bad, good = [r.score for r in rows if r.doc_id % 5 == 0], [r.score for r in rows if r.doc_id % 5]
+    assert len(bad) >= 5 and np.mean([[b > g for g in good] for b in bad]) >= 0.95
+
+
+def test_beginnings():
+    from canvasser.llm.hashing import beginnings, join_texts, words
+
+    data, _ = join_texts(["réeuxon RÉEUX réeu rée"])  # the table folds ASCII only
+    starts, ends, hashes = words(data)
+    a, b, c, d = beginnings(data, starts, ends, 4).tolist()
+    assert a == c and len({a, b, d, *hashes.tolist()}) == 7
