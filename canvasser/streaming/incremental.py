@@ -15,15 +15,14 @@ Folders of former batches stay; what removes old files of the storage may remove
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from canvasser.functions.ordering import first_per_key, slice_of_order
 from canvasser.operators.merge import merge_upsert
@@ -110,41 +109,26 @@ def progress_dedupe(rows: DataFrame, progress: DataFrame, keys: Sequence[str], s
     return first_per_key(new, keys, seq)
 
 
-_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
-
-
 def first_rows(stream: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
-    """The first row of each key that was never seen before; the state holds one mark per key.
+    """The first row of each key that was never seen before, for update mode; the state holds a row per key.
 
     Of the rows of one micro-batch the one of least ``seq`` counts (null last, then by content).
-    Each Arrow batch is reduced to one row per key before the shuffle, so a hot key is as many
-    rows as there are Arrow batches. Rows travel as JSON, which keeps every type exact.
+    One aggregate with a map-side part, so a hot key is one row a task. A key is new if all its
+    rows came with this run (its mark, drawn at the start) and this micro-batch (its time, which
+    the checkpoint keeps, so a batch that comes again has the same).
     """
-    body = F.to_json(F.struct(*stream.columns), _EXACT)
-    packed = stream.select(F.to_json(F.struct(*keys), _EXACT).alias("key"), F.col(seq).alias("seq"), body.alias("row"))
-
-    def least(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.sort_values(["seq", "row"], na_position="last", kind="stable").drop_duplicates("key")
-
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from map(least, batches)
-
-    def unseen(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first = None
-        for batch in batches:
-            first = least(batch if first is None else pd.concat([first, batch]))
-        if not state.exists:
-            state.update((True,))
-            yield first[["row"]]
-
-    found = packed.mapInPandas(reduce, packed.schema).groupBy("key").applyInPandasWithState(unseen, "row string", "seen boolean", "append", GroupStateTimeout.NoTimeout)
-    back = F.from_json("row", stream.schema, {k: v for k, v in _EXACT.items() if k != "ignoreNullFields"})
-    return found.select(back.alias("r")).select("r.*")
+    run = uuid.uuid4().hex
+    now = F.struct(F.current_timestamp().alias("time"), F.lit(run).alias("run"))
+    order = F.struct(F.col(seq).isNull(), F.col(seq), F.to_json(F.struct(*stream.columns), {"ignoreNullFields": "false"}))
+    rows = stream.select(*[F.col(k).alias(f"_key{n}") for n, k in enumerate(keys)], F.struct(*stream.columns).alias("_row"), order.alias("_order"), now.alias("_now"))
+    names = [f"_key{n}" for n in range(len(keys))]
+    found = rows.groupBy(*names).agg(F.min_by("_row", "_order").alias("_row"), F.min("_now").alias("_from"), F.max("_now").alias("_to"))
+    return found.filter((F.col("_from") == now) & (F.col("_to") == now)).select("_row.*")
 
 
 def progress_stream(stream: DataFrame, path: str, keys: Sequence[str], checkpoint: str, seq: str, every: str | None = None) -> StreamingQuery:
     """Write the first row ever seen of each key, across runs; nothing written is touched again."""
-    return _start(first_rows(stream, keys, seq), lambda rows, k: write_changes(rows, k, path), checkpoint, every=every)
+    return _start(first_rows(stream, keys, seq), lambda rows, k: write_changes(rows, k, path), checkpoint, "update", every)
 
 
 def progress_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

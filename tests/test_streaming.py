@@ -99,6 +99,18 @@ def test_first_rows_of_a_hot_key_are_reduced_before_the_shuffle(spark, feed, tmp
     assert got.count() == 1000 and got.filter("id = 1").collect() == [(1, "1", 1)]
 
 
+def test_first_rows_compare_large_numbers_exactly(spark, feed, tmp_path):
+    """Numbers that a double cannot tell apart, beside a missing one; many batches see each key again."""
+    path, progress = str(tmp_path / "t"), str(tmp_path / "p")
+    big = 2**60
+    feed.add([(1, "a", big + 1), (1, "b", big), (1, "c", None), (2, "d", None)], SCHEMA)
+    feed.add([(1, "e", 0), (2, "f", 0), (3, "g", 5)], SCHEMA)
+    feed.add([(3, "h", 1), (1, "i", 0)], SCHEMA)
+    stream = incremental.read_parquet_stream(spark, feed.path, spark.read.parquet(feed.path).schema, files_per_run=1)
+    incremental.progress_stream(stream, path, ["id"], progress, "seq").awaitTermination()
+    assert rows(incremental.progress_rows(spark, path, stream.schema)) == [(1, "b", big), (2, "d", None), (3, "g", 5)]
+
+
 def test_counts_over_runs(spark, feed, tmp_path):
     path, progress = str(tmp_path / "t"), str(tmp_path / "p")
     schema = "school_id int, date timestamp_ntz"
