@@ -185,7 +185,11 @@ def parse_pages(pages: DataFrame, wanted: Sequence[str] = PARTS) -> DataFrame:
         if found:
             yield pd.DataFrame(found, columns=columns)
 
-    return rows.select("page_id", "url", "html", "_telling").mapInPandas(run, PARSED)
+    # Parsing costs far more than reading and a small file is one task, so pages are dealt out first,
+    # in a given number of parts, as similar pages shrink to so few bytes that these would be joined.
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("page_id", "url", "html", "_telling").repartition(parts, F.xxhash64("page_id", "url", "html"))
+    return dealt.mapInPandas(run, PARSED)
 
 
 def _term_pattern(terms: Sequence[str]) -> str:

@@ -238,3 +238,10 @@ def test_cards_need_a_picture_until_the_site_has_a_usual_class(spark):
     names = [(1, "Ann Doe"), *[(2, f"P{k} Doe") for k in range(5)]]
     assert [x for x in rows(got, "page_id", "name") if x[1] not in ("Cy Doe", "Di Doe")] == names
     assert (2, "Cy Doe") in rows(got, "page_id", "name")
+
+
+def test_pages_of_one_file_are_parsed_by_several_tasks(spark, table):
+    html = "<html><body><div><p>Ann Lee</p><p>Principal</p><p>a@x.example.org</p></div></body></html>"
+    pages = table([(k, "https://x.example.org", html) for k in range(200)], "page_id bigint, url string, html string").coalesce(1)
+    parsed = extract.parse_pages(pages, ("block",))
+    assert parsed.select(F.spark_partition_id().alias("p")).distinct().count() > 1
