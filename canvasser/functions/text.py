@@ -82,8 +82,10 @@ def slug(c: Column | str) -> Column:
 
 def normalize_facility_key(c: Column | str) -> Column:
     """Each part between bars trimmed, lowered and squeezed."""
-    parts = F.split(_col(c), r"\|", -1)
-    return F.array_join(F.transform(parts, normalize_text), "|")
+    # One blank at most is left beside a bar, so the whole key is cleaned at once, part by part.
+    text = F.regexp_replace(F.lower(_col(c)), BLANK, " ")
+    bar = F.lit("|")
+    return F.trim(F.replace(F.replace(text, F.lit(" |"), bar), F.lit("| "), bar))
 
 
 def facility_key(existing, county, name, city, zipcode, nces) -> Column:

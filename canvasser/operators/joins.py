@@ -71,18 +71,25 @@ def resolve_school_name(rows: DataFrame, schools: DataFrame, imported: DataFrame
     return joined.withColumn("school_id", F.coalesce(found, F.lit(""))).drop("_key", "_salt")
 
 
-def facility_keys(schools_list: DataFrame) -> DataFrame:
-    """Normalised name and key per listed school, last row of a name wins."""
+KEY = "_facility_key"
+
+
+def with_facility_key(schools_list: DataFrame) -> DataFrame:
+    """The listed schools that have a key, with it in its normalised form (``KEY``)."""
+    if KEY in schools_list.columns:
+        return schools_list
     key = X.facility_key(
         F.col("FacilityKey"), F.col("County"), F.col("FacilityName"), F.col("City"), F.col("Zip"), F.col("NCES_ID")
     )
-    rows = schools_list.select(
-        X.normalize_text("FacilityName").alias("name_key"),
-        X.normalize_facility_key(key).alias("facility_key"),
-        "seq",
+    return schools_list.filter(key.isNotNull()).withColumn(KEY, X.normalize_facility_key(key))
+
+
+def facility_keys(schools_list: DataFrame) -> DataFrame:
+    """Normalised name and key per listed school, last row of a name wins."""
+    rows = with_facility_key(schools_list).select(
+        X.normalize_text("FacilityName").alias("name_key"), F.col(KEY).alias("facility_key"), "seq"
     )
-    rows = rows.filter("name_key <> '' and facility_key is not null")
-    return latest_per_key(rows, ["name_key"], "seq").drop("seq")
+    return latest_per_key(rows.filter("name_key <> ''"), ["name_key"], "seq").drop("seq")
 
 
 def link_scraped_contacts(completed: DataFrame, schools_list: DataFrame) -> DataFrame:
@@ -91,6 +98,11 @@ def link_scraped_contacts(completed: DataFrame, schools_list: DataFrame) -> Data
     ``completed`` (school_name, contacts array, seq). Contacts of unknown schools are left out;
     ``unknown_schools`` counts those.
     """
+    return link_to_keys(completed, facility_keys(schools_list))
+
+
+def link_to_keys(completed: DataFrame, keys: DataFrame) -> DataFrame:
+    """``link_scraped_contacts`` for the rows of ``facility_keys``."""
     keyed = completed.withColumn("name_key", X.normalize_text("school_name"))
     rows = keyed.select(
         "name_key", "seq", F.posexplode(F.coalesce("contacts", F.array())).alias("pos", "c")
@@ -102,15 +114,20 @@ def link_scraped_contacts(completed: DataFrame, schools_list: DataFrame) -> Data
         X.clean_text("c.email").alias("email"),
         X.clean_text("c.title").alias("job_name"),
     ).filter("name is not null")
-    joined = rows.join(facility_keys(schools_list), "name_key")
+    joined = rows.join(keys, "name_key")
     return joined.select(
         "name", "phone", "email", "job_name", F.col("facility_key").alias("school_worked_at"), "seq", "pos"
     )
 
 
 def unknown_schools(completed: DataFrame, schools_list: DataFrame) -> DataFrame:
+    return without_key(completed, facility_keys(schools_list))
+
+
+def without_key(completed: DataFrame, keys: DataFrame) -> DataFrame:
+    """``unknown_schools`` for the rows of ``facility_keys``."""
     keyed = completed.withColumn("name_key", X.normalize_text("school_name"))
-    return keyed.join(facility_keys(schools_list), "name_key", "left_anti")
+    return keyed.join(keys, "name_key", "left_anti")
 
 
 def attach_district(schools: DataFrame, districts: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from canvasser.functions.ordering import (
     latest_per_key,
     next_in_key,
 )
-from canvasser.operators.joins import facility_match_key
+from canvasser.operators.joins import KEY, facility_match_key, with_facility_key
 
 
 def _complete(keys: Sequence[str]) -> Column:
@@ -197,11 +197,8 @@ def import_contacts(staff: DataFrame, junction: DataFrame, rows: DataFrame) -> C
 
 def facility_rows(schools_list: DataFrame, districts: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """School rows of a listed file, last row per normalised key; rows without a key are dropped."""
-    key = X.facility_key(
-        F.col("FacilityKey"), F.col("County"), F.col("FacilityName"), F.col("City"), F.col("Zip"), F.col("NCES_ID")
-    )
     county = X.clean_text("County")
-    rows = schools_list.withColumn("facility_key", X.normalize_facility_key(key)).filter("facility_key is not null")
+    rows = with_facility_key(schools_list).withColumn("facility_key", F.col(KEY))
     rows = latest_per_key(rows, ["facility_key"], "seq").select(
         "facility_key",
         F.coalesce(X.clean_text("FacilityName"), F.lit("Unknown School")).alias("name"),

@@ -282,6 +282,12 @@ class Views:
         self.spark, self.sf_dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
 
+    def with_table(self, name: str, rows: DataFrame) -> Views:
+        """The same views over other rows of one table."""
+        other = Views(self.spark, self.sf_dir)
+        other._made[f"table:{name}"] = rows
+        return other
+
     def table(self, name: str) -> DataFrame:
         key = f"table:{name}"
         if key not in self._made:

@@ -342,13 +342,13 @@ def upsert_city_schools(v: Views) -> DataFrame:
     return _city_schools(v).withColumnRenamed("_action", "action")
 
 
-def _city_schools(v: Views) -> DataFrame:
+def _city_schools(v: Views, directory: DataFrame | None = None) -> DataFrame:
     none = F.lit(None).cast("string")
     target = v.directory_rows.filter("trim(administrator_name) = ''").select(
         X.city_school_key("school_name").alias("facility_key"), F.lit("old").alias("name"),
         none.alias("phone_number"), none.alias("website"), none.alias("admin"),
     )
-    return merge.upsert_city_schools(target, _directory(v))
+    return merge.upsert_city_schools(target, _directory(v) if directory is None else directory)
 
 
 def _key_sql(*cols: str) -> str:
@@ -408,8 +408,8 @@ def upsert_staff_city(v: Views) -> DataFrame:
     return _city_staff(v).withColumnRenamed("_action", "action")
 
 
-def _city_staff(v: Views) -> DataFrame:
-    rows = merge.city_staff_rows(_directory(v))
+def _city_staff(v: Views, rows: DataFrame | None = None) -> DataFrame:
+    rows = merge.city_staff_rows(_directory(v)) if rows is None else rows
     slot = F.when(F.col("job_name") == "Principal", 0).otherwise(1)
     old = rows.filter("phone is not null").select(
         (F.col("seq") * 10 + slot).alias("staff_id"), "name", F.lit("x").alias("phone"), "email", "job_name", "school_worked_at"
@@ -749,26 +749,43 @@ def upsert_calendar_events(v: Views) -> DataFrame:
     UNION ALL SELECT 'staff', 'skipped_unknown_school', count(*) FROM cp WHERE {norm_sql('nm')} NOT IN (SELECT name_key FROM fby) HAVING count(*) > 0""",
 )
 def load_summary(v: Views) -> DataFrame:
-    """Rows per action of a whole load, counted while each merged table is written."""
-    counties = merge.county_rows(v.facility_list)
+    """Rows per action of a whole load, counted while each merged table is written.
+
+    The customers are dealt out first: a small file is one task's scan, and the texts made of its
+    rows are costly to clean. What several merges read is made once and written to the shared folder.
+    """
+    v = v.with_table("customer", _made(v.customer.repartition(v.spark.sparkContext.defaultParallelism, "c_custkey"), "customers"))
+    counties = _made(merge.county_rows(v.facility_list), "counties")
     county_target = counties.filter(F.length("county_name") % 2 == 0).unionByName(v.table("nation").select(F.concat(F.lit("Kept "), "n_name").alias("county_name")))
-    schools = merge.facility_rows(v.facility_list)
+    listed = _made(joins.with_facility_key(v.facility_list), "list")
+    schools = _made(merge.facility_rows(listed), "schools")
     kept = v.supplier.select(F.concat(F.lit("kept|"), F.col("s_suppkey").cast("string")).alias("facility_key"))
     school_target = schools.filter(F.length("facility_key") % 2 == 0).unionByName(kept, allowMissingColumns=True)
-    linked = _linked(v)
+    completed = completed_with_list_names(v)
+    keys = _made(joins.facility_keys(listed), "keys")
+    linked = _made(joins.link_to_keys(completed, keys), "linked")
+    directory = _made(_directory(v).repartition(v.spark.sparkContext.defaultParallelism, "seq"), "directory")
+    city_staff = _made(merge.city_staff_rows(directory), "city-staff")
     merges = {
-        "county": merge.upsert_counties(county_target, v.facility_list),
-        "schools": merge.upsert_facilities(school_target, v.facility_list),
+        "county": merge.merge_upsert(county_target, counties, ["county_name"]),
+        "schools": merge.merge_upsert(school_target, schools, ["facility_key"]),
         "staff": merge.upsert_staff(_old_staff(linked), linked, ["seq", "pos"]),
-        "city_schools": _city_schools(v),
-        "city_staff": _city_staff(v),
+        "city_schools": _city_schools(v, directory),
+        "city_staff": _city_staff(v, city_staff),
     }
     found = [row for table, merged in merges.items() for row in merge.write_counted(merged, fresh_path(v.spark, f"load-{table}"), table)]
-    skipped = joins.unknown_schools(completed_with_list_names(v), v.facility_list).count()
+    skipped = joins.without_key(completed, keys).count()
     found += [("staff", "skipped_unknown_school", skipped)] if skipped else []
     return v.spark.createDataFrame(found, "`table` string, action string, rows bigint")
 
 
+def _made(df: DataFrame, label: str) -> DataFrame:
+    """The rows written to the shared folder and read again."""
+    path = fresh_path(df.sparkSession, f"load-{label}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _rule_documents(v: Views) -> DataFrame:
     """Every rule as a JSON document in one of the four shapes."""
     k, name = F.col("seq") % 4, F.col("school")

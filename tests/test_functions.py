@@ -74,6 +74,8 @@ def test_keys(spark, apply):
     key = X.facility_key(*[F.col(c) for c in df.columns])
     assert [r[0] for r in df.select(key).collect()] == ["own", "|Alpha  HS|Chicago|60601", "nces|77", None]
     assert apply(X.normalize_facility_key, [" Cook | Alpha\t HS|X", "a||b "]) == ["cook|alpha hs|x", "a||b"]
+    odd = [None, "", " | ", "a |  | b", "\u2003A\u3000b |\n|ΣΑΣ|ΟΔΟΣ ", "|| x  y ||", "||"]
+    assert apply(X.normalize_facility_key, odd) == [None, "", "|", "a||b", "a b||σας|οδος", "||x y||", "||"]
     assert apply(X.slug, [" Lane -- Tech! HS "]) == ["lane-tech-hs"]
     assert apply(X.city_school_key, ["Lane Tech"]) == ["cps|lane-tech"]
     assert apply(X.normalize_facility_name, ["St. X & Co Sch, IL", "Sr Jr St illinois", None]) == ["saint x and co school", "senior junior saint", ""]

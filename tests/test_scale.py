@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from canvasser.functions.ordering import latest_per_key
 from canvasser.operators import fuzzy, joins, merge, metrics
-from canvasser.plans import lookup
+from canvasser.plans import lookup, merging
 from canvasser.plans.bindings import AS_OF, views
 from canvasser.sources import sinks
 
@@ -142,3 +142,21 @@ def test_letter_counts_lose_no_pair(spark):
 
 def test_rows_helper(table):
     assert rows(table([(2,), (1,), (None,)], "a int")) == [(None,), (1,), (2,)]
+
+
+def test_a_load_makes_its_inputs_once(spark, monkeypatch):
+    """No merge reads the customers' one file again, and its rows are dealt out before texts are cleaned."""
+    plans, files = {}, {}
+    made = merging._made
+
+    def noted(df, label):
+        out = made(df, label)
+        files[label] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(merging, "_made", noted)
+    monkeypatch.setattr(merge, "write_counted", lambda merged, path, table: plans.setdefault(table, plan_of(merged)) and [])
+    entry.queries()["load_summary"](spark, SF)
+    assert set(plans) == {"county", "schools", "staff", "city_schools", "city_staff"}
+    assert not [t for t, p in plans.items() if "customer.parquet" in p]
+    assert files["customers"] > 1 and files["directory"] > 1
