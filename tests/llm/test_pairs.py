@@ -241,6 +241,23 @@ def test_recall_of_near_lines(documents):
     assert more >= got and len(more) >= 0.97 * len(true) and more <= true
 
 
+def misspelt(text, every):
+    """One letter in so many changed."""
+    return "".join("q" if k % every == every - 1 and c != " " else c for k, c in enumerate(text))
+
+
+def test_every_pair_is_compared_on_demand(documents, monkeypatch):
+    """Lines misspelt throughout share no block; with ``exact`` they are found like any others, in small cells too."""
+    texts = [x for n in (1, 2, 4, 12, 30) for seed in range(4) for x in (prose(70 * n + seed, n), misspelt(prose(70 * n + seed, n), 6))]
+    texts += [x for n in (6, 40) for seed in range(4) for x in changed("letters", 300 * n + seed, n)] + [None, "", "漢字", "漢字 x", texts[4]]
+    want = brute_lines(list(enumerate(texts)))
+    assert sorted(map(tuple, lines.report(documents(texts)).collect())) != want
+    assert sorted(map(tuple, lines.report(documents(texts), exact=True).collect())) == want
+    monkeypatch.setattr(lines, "EXACT_BLOCK", 3)
+    assert sorted(map(tuple, lines.report(documents(texts), exact=True, block=3).collect())) == want
+    assert sum(r[2] for r in want) >= 20
+
+
 def test_line_dedup_of_odd_rows(documents):
     rows = odd_rows()
     got = Counter(map(tuple, lines.report(clashing(documents(rows))).collect()))
