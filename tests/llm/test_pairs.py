@@ -241,6 +241,14 @@ def test_recall_of_near_lines(documents):
     assert more >= got and len(more) >= 0.97 * len(true) and more <= true
 
 
+@given(st.text("ab ", max_size=12), st.text("ab ", max_size=12))
+def test_middle(a, b):
+    x, y = lines._middle(a, b)
+    k = next((k for k, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
+    e = next((e for e, (p, q) in enumerate(zip(a[k:][::-1], b[k:][::-1])) if p != q), min(len(a), len(b)) - k)
+    assert (x, y) == (a[k : len(a) - e], b[k : len(b) - e])
+
+
 def misspelt(text, every):
     """One letter in so many changed."""
     return "".join("q" if k % every == every - 1 and c != " " else c for k, c in enumerate(text))
