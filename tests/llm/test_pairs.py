@@ -168,6 +168,25 @@ def line_groups(names, linked):
     return groups
 
 
+@pytest.mark.parametrize("width", [8, 14, 15, 21])
+def test_rows_near_another_one_of_their_bucket(width):
+    """Against all pairs, in buckets of one row to many, whose further bits fill one long or two."""
+    draw = np.random.default_rng(width)
+    further = lines._ROOM - width
+    key = np.sort(draw.choice(40, 300, p=np.arange(1, 41) / 820).astype(np.uint64))
+    base = draw.integers(0, 2**63, 300, dtype=np.uint64)
+    noise = draw.integers(0, 2**63, 300, dtype=np.uint64) & draw.integers(0, 2**63, 300, dtype=np.uint64) & draw.integers(0, 2**63, 300, dtype=np.uint64)
+    base[1::2] = base[::2] ^ noise[1::2]
+    first = (key << np.uint64(further)) | (base & np.uint64(2**further - 1))
+    second = (base ^ noise[::-1]) & np.uint64(2**64 - 1)
+    bits = [(int(a) % 2**further) << lines._EXTRA | int(b) % 2**lines._EXTRA for a, b in zip(first, second)]
+    most = lines.SLACK * 0.23 * (further + lines._EXTRA)
+    want = [any(i != j and key[i] == key[j] and (bits[i] ^ bits[j]).bit_count() <= most for j in range(300)) for i in range(300)]
+    assert lines.near_in_buckets(first, second, width, 0.23).tolist() == want
+    assert 0 < sum(want) < 300
+    assert lines.near_in_buckets(first[:0], second[:0], width, 0.23).tolist() == []
+
+
 def brute_lines(docs, linked=lines.similar):
     """docs in order of id; equal (id, text) share their positions."""
     spots = []
