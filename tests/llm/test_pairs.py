@@ -168,6 +168,31 @@ def line_groups(names, linked):
     return groups
 
 
+def test_distances_side_by_side():
+    """Pairs of all lengths around the limits of a long, with letters outside the first plane and carries over many longs."""
+    draw = np.random.default_rng(5)
+    sizes = [1, 2, 62, 63, 64, 65, 127, 128, 129, 300]
+    letters = list("ab \u00e9\U0001f600")
+    pairs = [("".join(draw.choice(letters, n)), "".join(draw.choice(letters, m))) for n in sizes for m in sizes]
+    pairs += [(a, a[:50] + "zz" + a[51:]) for a, _ in pairs[::7]] + [("a" * 400, "a" * 401), ("a" * 400, "b" * 400), ("\ud800x", "x")]
+    assert lines.edit_distances(pairs).tolist() == [lines.edit_distance(a, b) for a, b in pairs]
+
+
+@pytest.mark.parametrize("lanes", [1, 64, 8192])
+def test_links_wait_for_the_cheap_ones(monkeypatch, lanes):
+    """Components are those of all similar pairs, in whatever order and however many are compared at once."""
+    monkeypatch.setattr(lines, "LANES", lanes)
+    draw = np.random.default_rng(6)
+    texts = [prose(k // 6, 40) for k in range(60)]
+    texts = ["".join(c if draw.random() > share else "q" for c in t) for t, share in zip(texts, draw.choice([0.0, 0.05, 0.12, 0.2], 60))]
+    names = [lines.normalised(t) for t in [*texts, "a", "b", "ab"]]
+    a, b = np.triu_indices(len(names), 1)
+    got = lines.link_similar(names, iter([(a[::2], b[::2]), (a[1::2], b[1::2])]), 0.8)
+    groups = line_groups(names, lines.similar)
+    assert all((got[i] == got[j]) == (groups.find(i) == groups.find(j)) for i, j in zip(a.tolist(), b.tolist()))
+    assert all(r <= k for k, r in enumerate(got)) and 5 < len(set(got)) < 63
+
+
 @pytest.mark.parametrize("width", [8, 14, 15, 21])
 def test_rows_near_another_one_of_their_bucket(width):
     """Against all pairs, in buckets of one row to many, whose further bits fill one long or two."""
